@@ -78,7 +78,7 @@ def _spanning_edges(group: np.ndarray, radius: int) -> Iterator[tuple[int, int]]
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= radius
+            near = np.bitwise_count((left ^ x).view(np.uint64)) <= radius
             if near.any():
                 for y in left[near].tolist():
                     yield int(x), y
@@ -96,7 +96,7 @@ def _bucket_links(radius: int):
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(fp)]])
             size = ends - starts
             two = starts[size == 2]
-            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
+            two = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius]
             out = list(zip(fp[two].tolist(), fp[two + 1].tolist(), strict=True))
             for a, b in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
                 out.extend(_spanning_edges(fp[a:b], radius))
