@@ -16,9 +16,11 @@ bounded stretch, so no table of 64-bit offsets is needed.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,8 @@ SAMPLE = 256
 #: A shard is closed once it holds this many ids, so that no task holds more than one shard and one document.
 SHARD_IDS = 4_000_000
 #: Words remembered by a Python worker; the memo is emptied when full.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 700_000
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 class EliasFano:
@@ -131,37 +134,47 @@ def _filesystem(path: str):
     return FileSystem.from_uri(path)
 
 
-_memo: dict[str, bytes] = {}
-_loaded: dict[str, object] = {}
+class _Words(dict):
+    """Id bytes (u32) of blank-separated words; a word is encoded by the library's own steps when first met."""
+
+    def __init__(self, library):
+        super().__init__()
+        self.normalize, self.cut, self.model = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str, library.model.tokenize
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        if len(word) > 1 and word[-1:] in b".," and word[-2:-1].isalpha():
+            ids = self[word[:-1]] + self[word[-1:]]
+        else:  # to the rules before the merges, a word of ASCII letters is one piece as it stands
+            pieces = [word.decode()] if word.isalpha() else [p for p, _ in self.cut(self.normalize(word.decode()))]
+            ids = array("I", [t.id for p in pieces for t in self.model(p)]).tobytes()
+        self[word] = ids
+        return ids
+
+
+_loaded: dict[str, tuple] = {}
 
 
 def _encoder(tokenizer_path: str):
-    """texts -> id bytes (u32) of each whole text, equal to the library's ``encode`` of that text.
+    """text -> id bytes (u32), equal to the library's ``encode`` of the whole text.
 
-    This vocabulary's rules never join characters over a blank or line feed, so a text's ids are those of its
-    blank-separated words in turn; each worker encodes a word once and remembers it.
+    This vocabulary lower-cases, and joins no characters over a blank or from a letter to a full stop or comma, so
+    a text's ids are those of its words in turn; each worker encodes a word once and remembers it. A text that may
+    hold a special token's string goes to the library as it is.
     """
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     if tokenizer_path not in _loaded:
-        _loaded.clear()
-        _memo.clear()
-        _loaded[tokenizer_path] = Tokenizer.from_file(tokenizer_path)
-    library = _loaded[tokenizer_path]
-
-    def encode(texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            new = [w for w in set(words) if w not in _memo]
-            if len(_memo) + len(new) > MEMO_WORDS:
-                _memo.clear()
-                new = list(set(words))
-            for w, e in zip(new, library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                _memo[w] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join([_memo[w] for w in words])
+        library = Tokenizer.from_file(tokenizer_path)
+        _loaded[tokenizer_path] = library, _Words(library)
+    library, words = _loaded[tokenizer_path]
+
+    def encode(text: str) -> bytes:
+        if "<|" in text:
+            return array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(words.__getitem__, text.encode().translate(_LOWER).split()))
 
     return encode
 
@@ -189,10 +202,9 @@ def _writer(folder: str, tokenizer_path: str, end_id: int, shard_ids: int):
             return row
 
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for d, x in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
+            for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 keys.append(d)
-                coded.append(x + end)
+                coded.append(encode(text.as_py() or "") + end)
                 n += len(coded[-1]) // 4
                 if n >= shard_ids:
                     yield flush()
