@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, simhash, token_counts, token_files, url_filter
+from . import decontaminate, quality, simhash, token_counts, token_files, toxicity, url_filter
 from .common import table
 
 URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
 
 
+def fold(doc_id: str, folds: int) -> Column:
+    """crc32 of the doc_id as text, modulo the number of folds; 0 for a null doc_id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)), F.lit(0))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by compression distance, learned from four folds of five."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(fold("doc_id", 5) != 0))
+    return toxicity.scores(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by Bradley-Terry ranking, learned from three folds of four."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(fold("doc_id", 4) != 2))
+    return quality.scores(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of four-word shingles, linked at four differing bits or fewer."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
@@ -84,7 +104,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash, op6_token_files, op7_url_filter, op8_decontaminate, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_quality, op6_token_files, op7_url_filter, op8_decontaminate, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
