@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, simhash, token_counts, token_files, toxicity, url_filter
+from . import ann, decontaminate, quality, simhash, token_counts, token_files, toxicity, url_filter
 from .common import table
 
 URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -35,6 +35,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows by inner product of every row whose vec_id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, written as shard files in doc_id order and read back from them."""
     import public_tokenizers
@@ -104,7 +110,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_quality, op6_token_files, op7_url_filter, op8_decontaminate, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_ann, op4_quality, op6_token_files, op7_url_filter, op8_decontaminate, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
