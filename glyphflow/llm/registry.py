@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, quality, simhash, token_counts, token_files, toxicity, url_filter
+from . import ann, decontaminate, html_text, quality, simhash, token_counts, token_files, toxicity, url_filter
 from .common import table
 
 URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -101,6 +101,11 @@ SELECT doc_id, item_id, doc_start, n_equal::INT AS n_equal, n_words::INT AS n_wo
 """
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text by the recurrent block labeller."""
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document, a crossing token going to the line that holds its first character."""
     import public_tokenizers
@@ -110,7 +115,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_ann, op4_quality, op6_token_files, op7_url_filter, op8_decontaminate, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_ann, op4_quality, op6_token_files, op7_url_filter, op8_decontaminate, op9_html_text, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
