@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, quality, simhash, token_counts, token_files, toxicity, url_filter
+from . import ann, decontaminate, html_text, pieces, quality, simhash, token_counts, token_files, toxicity, url_filter
 from .common import table
 
 URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -41,6 +41,13 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's best pieces and the scores of its five best segmentations, decoded again."""
+    import public_tokenizers
+
+    return pieces.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=5)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, written as shard files in doc_id order and read back from them."""
     import public_tokenizers
@@ -115,7 +122,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_ann, op4_quality, op6_token_files, op7_url_filter, op8_decontaminate, op9_html_text, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_ann, op4_quality, op5_pieces, op6_token_files, op7_url_filter, op8_decontaminate, op9_html_text, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
