@@ -121,8 +121,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, rule="start")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole corpus pipeline over ``documents``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_ann, op4_quality, op5_pieces, op6_token_files, op7_url_filter, op8_decontaminate, op9_html_text, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_ann, op4_quality, op5_pieces, op6_token_files, op7_url_filter, op8_decontaminate, op9_html_text, op10_token_counts, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
