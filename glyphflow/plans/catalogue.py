@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+from . import decoding, rasters, recognition, shapes, streams, tokens
+
+_PLANS = (decoding, shapes, rasters, tokens, recognition, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {f.__name__: f for plan in _PLANS for f in plan.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: v for plan in _PLANS for k, v in plan.SQL.items()}
