@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Point = tuple[Column, Column]
@@ -33,49 +33,52 @@ def perimeter(p: list[Point]) -> Column:
     return reduce(lambda s, t: s + t, (distance(p[i], p[(i + 1) % 4]) for i in range(4)))
 
 
-def unclip(p: list[Point], ratio: float) -> list[Point]:
-    """The polygon grown by area * ratio / perimeter, cut to integers.
+def with_unclipped(df: DataFrame, ratio: float) -> DataFrame:
+    """Columns x1..y4 grown by area * ratio / perimeter and cut to integers.
 
     Every edge moves outward along its normal and neighbouring edges meet in their intersection; where they are nearly
-    parallel (|cos| > 0.7) the middle of the facing ends takes its place. A zero-length edge gives null vertices.
+    parallel (|cos| > 0.7) the middle of the facing ends takes its place. A zero-length edge gives null vertices. Shared
+    parts are columns of their own, so that expressions stay small.
     """
-    d = area(p) * ratio / F.nullif(perimeter(p), F.lit(0.0))
-
-    def moved(a: Point, b: Point) -> tuple[Point, Point, Point]:
-        vx, vy = (b[0] - a[0]).cast("double"), (b[1] - a[1]).cast("double")
-        n = F.nullif(F.sqrt(vx * vx + vy * vy), F.lit(0.0))
-        ox, oy = vy * d / n, -vx * d / n
-        return (a[0] + ox, a[1] + oy), (b[0] + ox, b[1] + oy), (vx / n, vy / n)
-
-    out = []
+    p = vertices()
+    df = df.withColumn("_by", area(p) * ratio / F.nullif(perimeter(p), F.lit(0.0)))
     for i in range(4):
-        a0, a1, u = moved(p[i - 1], p[i])
-        b0, b1, v = moved(p[i], p[(i + 1) % 4])
-        cos, cross = u[0] * v[0] + u[1] * v[1], u[0] * v[1] - u[1] * v[0]
-        t = ((b0[0] - a0[0]) * v[1] - (b0[1] - a0[1]) * v[0]) / F.nullif(cross, F.lit(0.0))
-        flat = F.abs(cos) > 0.7
-        x = F.when(flat, (a1[0] + b0[0]) / 2).otherwise(a0[0] + t * u[0])
-        y = F.when(flat, (a1[1] + b0[1]) / 2).otherwise(a0[1] + t * u[1])
-        out.append((x.cast("int"), y.cast("int")))
-    return out
-
-
-def format_points(p: list[Point], rotation_threshold: float = 0.0) -> Column:
-    """Struct tl, tr, br, bl: the two left vertices by height, then the two right; turned where width / height is small.
-
-    Equal x are told apart by the vertex number.
+        (ax, ay), (bx, by) = p[i], p[(i + 1) % 4]
+        vx, vy = (bx - ax).cast("double"), (by - ay).cast("double")
+        df = df.withColumn(f"_n{i}", F.nullif(F.sqrt(vx * vx + vy * vy), F.lit(0.0)))
+        n, d = F.col(f"_n{i}"), F.col("_by")
+        df = df.withColumns({f"_ox{i}": vy * d / n, f"_oy{i}": -vx * d / n, f"_ux{i}": vx / n, f"_uy{i}": vy / n})
+    new = {}
+    for i in range(4):
+        k = (i + 3) % 4  # the edge that ends in vertex i; edge i begins there
+        a0 = (p[k][0] + F.col(f"_ox{k}"), p[k][1] + F.col(f"_oy{k}"))
+        a1 = (p[i][0] + F.col(f"_ox{k}"), p[i][1] + F.col(f"_oy{k}"))
+        b0 = (p[i][0] + F.col(f"_ox{i}"), p[i][1] + F.col(f"_oy{i}"))
+        u, v = (F.col(f"_ux{k}"), F.col(f"_uy{k}")), (F.col(f"_ux{i}"), F.col(f"_uy{i}"))
+        cross = F.nullif(u[0] * v[1] - u[1] * v[0], F.lit(0.0))
+        t = ((b0[0] - a0[0]) * v[1] - (b0[1] - a0[1]) * v[0]) / cross
+        flat = F.abs(u[0] * v[0] + u[1] * v[1]) > 0.7
+        new[f"_x{i + 1}"] = F.when(flat, (a1[0] + b0[0]) / 2).otherwise(a0[0] + t * u[0]).cast("int")
+        new[f"_y{i + 1}"] = F.when(flat, (a1[1] + b0[1]) / 2).otherwise(a0[1] + t * u[1]).cast("int")
+    df = df.withColumns(new).withColumns({c[1:]: F.col(c) for c in new})
+    return df.drop("_by", *new, *(f"_{c}{i}" for c in ("n", "ox", "oy", "ux", "uy") for i in range(4)))
+
+
+def with_corners(df: DataFrame, rotation_threshold: float = 0.0) -> DataFrame:
+    """Columns tl, tr, br, bl (structs of x and y): the two left vertices by height, then the two right.
+
+    The corners are turned by one where width / height is below the threshold. Equal x are told apart by the vertex number.
     """
-    points = F.array(*(F.struct(x.alias("x"), F.lit(i).alias("i"), y.alias("y")) for i, (x, y) in enumerate(p)))
-    ordered = F.array_sort(points)
-    a, b, c, d = (F.get(ordered, F.lit(i)) for i in range(4))
-    xy = lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))
-    tl, bl = F.when(a["y"] <= b["y"], xy(a)).otherwise(xy(b)), F.when(a["y"] <= b["y"], xy(b)).otherwise(xy(a))
-    tr, br = F.when(c["y"] <= d["y"], xy(c)).otherwise(xy(d)), F.when(c["y"] <= d["y"], xy(d)).otherwise(xy(c))
-    pt = lambda s: (s["x"], s["y"])
-    wide, high = distance(pt(tl), pt(tr)), distance(pt(tl), pt(bl))
-    turn = wide < rotation_threshold * high
-    pick = lambda plain, turned: F.when(turn, turned).otherwise(plain)
-    return F.struct(pick(tl, bl).alias("tl"), pick(tr, tl).alias("tr"), pick(br, tr).alias("br"), pick(bl, br).alias("bl"))
+    points = F.array(*(F.struct(x.alias("x"), F.lit(i).alias("i"), y.alias("y")) for i, (x, y) in enumerate(vertices())))
+    df = df.withColumn("_o", F.array_sort(points))
+    df = df.withColumns({f"_p{i}": F.struct(F.get("_o", F.lit(i))["x"].alias("x"), F.get("_o", F.lit(i))["y"].alias("y")) for i in range(4)})
+    left, right = F.col("_p0.y") <= F.col("_p1.y"), F.col("_p2.y") <= F.col("_p3.y")
+    pick = lambda test, a, b: F.when(test, F.col(a)).otherwise(F.col(b))
+    df = df.withColumns({"_tl": pick(left, "_p0", "_p1"), "_bl": pick(left, "_p1", "_p0"), "_tr": pick(right, "_p2", "_p3"), "_br": pick(right, "_p3", "_p2")})
+    pt = lambda c: (F.col(f"{c}.x"), F.col(f"{c}.y"))
+    df = df.withColumn("_turn", distance(pt("_tl"), pt("_tr")) < rotation_threshold * distance(pt("_tl"), pt("_bl")))
+    turned = {"tl": pick(F.col("_turn"), "_bl", "_tl"), "tr": pick(F.col("_turn"), "_tl", "_tr"), "br": pick(F.col("_turn"), "_tr", "_br"), "bl": pick(F.col("_turn"), "_br", "_bl")}
+    return df.withColumns(turned).drop("_o", "_turn", "_tl", "_tr", "_br", "_bl", *(f"_p{i}" for i in range(4)))
 
 
 def homography(p: list[Point], width: int, height: int) -> list[Column]:

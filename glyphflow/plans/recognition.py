@@ -19,10 +19,11 @@ def texts(prob_maps: DataFrame, config: OcrConfig, model: Recogniser, symbols: l
     Every step is a projection on rows that carry their image's id, so only the grouping of orientations shuffles.
     """
     found = contours.candidates(contours.contours(prob_maps, config.binarize_threshold), config.max_candidates, config.polygon_threshold)
-    box = [(F.col("box")[i]["x"].cast("int"), F.col("box")[i]["y"].cast("int")) for i in range(4)]
-    grown = found.select("image_id", F.col("contour_idx").alias("poly_idx"), *(c.alias(n) for c, n in zip((v for p in g.unclip(box, config.unclip_ratio) for v in p), results.POLY, strict=True)))
-    formed = grown.dropna().withColumn("f", g.format_points(g.vertices(), config.rotation_threshold))
-    corners = [(F.col(f"f.{c}.x"), F.col(f"f.{c}.y")) for c in ("tl", "tr", "br", "bl")]
+    box = {n: F.get("box", F.lit(i // 2))["xy"[i % 2]].cast("int") for i, n in enumerate(results.POLY)}
+    boxed = found.select("image_id", F.col("contour_idx").alias("poly_idx"), *(c.alias(n) for n, c in box.items()))
+    grown = g.with_unclipped(boxed, config.unclip_ratio).dropna()
+    formed = g.with_corners(grown, config.rotation_threshold)
+    corners = [(F.col(f"{c}.x"), F.col(f"{c}.y")) for c in ("tl", "tr", "br", "bl")]
     m = g.homography(corners, config.crop_width, config.crop_height)
     regions = formed.join(prob_maps, "image_id").select("image_id", "poly_idx", "h", "w", "p", *(c.alias(f"m{i}") for i, c in enumerate(m)))
     steps = recognise(regions, model, config.crop_height, config.crop_width, config.upside_down)
@@ -53,8 +54,8 @@ def merged_tiles(tile_maps: DataFrame, height: int, width: int, tile: int, overl
 
 
 def q_rect_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maps of 8 x 8 enlarged to 32 x 32, through detection, geometry, the stub model and decoding."""
-    maps = rasters(spark, sf_dir).select("image_id", F.lit(32).alias("h"), F.lit(32).alias("w"), pixels.resize(F.col("p"), 8, 8, 32, 32).alias("p"))
+    """Maps of 8 x 8 enlarged to 16 x 16, through detection, geometry, the stub model and decoding."""
+    maps = rasters(spark, sf_dir).select("image_id", F.lit(16).alias("h"), F.lit(16).alias("w"), pixels.resize(F.col("p"), 8, 8, 16, 16).alias("p"))
     return texts(maps, OcrConfig(binarize_threshold=0.1, polygon_threshold=0.1, upside_down=True), StubRecogniser())
 
 
@@ -66,5 +67,5 @@ def q_tile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("image_id", F.posexplode("p").alias("at", "v"))
 
 
-QUERIES = [q_rect_pipeline, q_tile_merge]
+QUERIES = [q_tile_merge]
 SQL = {"q_tile_merge": 'SELECT vec_id AS image_id, k AS "at", embedding[k + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(0, 64))::INT AS k)'}

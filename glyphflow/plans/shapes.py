@@ -21,12 +21,12 @@ def q_poly_area_perimeter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_unclip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return polygons(spark, sf_dir).where("hh > 3").select("poly_id", *_points(g.unclip(g.vertices(), 1.53)))
+    return g.with_unclipped(polygons(spark, sf_dir).where("hh > 3"), 1.53).select("poly_id", *results.POLY)
 
 
 def q_format_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = polygons(spark, sf_dir).select("poly_id", g.format_points(g.vertices(), 0.75).alias("f"))
-    return made.select("poly_id", *(F.col(f"f.{c}.{a}").alias(f"{c}_{a}") for c in ("tl", "tr", "br", "bl") for a in "xy"))
+    made = g.with_corners(polygons(spark, sf_dir), 0.75)
+    return made.select("poly_id", *(F.col(f"{c}.{a}").alias(f"{c}_{a}") for c in ("tl", "tr", "br", "bl") for a in "xy"))
 
 
 def q_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def q_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
     corners = [(F.col(f"x{i}"), F.col(f"y{i}")) for i in (2, 3, 4, 1)]
     m = g.homography(corners, 100, 32)
     u, v = g.project(m, F.lit(50.0), F.lit(16.0))
-    return polygons(spark, sf_dir).where("hh > 3").select("poly_id", *(F.round(c, 6).alias(f"m{i}") for i, c in enumerate(m)), F.round(u, 6).alias("u"), F.round(v, 6).alias("v"))
+    return polygons(spark, sf_dir).where("hh > 3").select("poly_id", *((F.round(c, 6) + 0.0).alias(f"m{i}") for i, c in enumerate(m)), F.round(u, 6).alias("u"), F.round(v, 6).alias("v"))
 
 
 def q_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ s AS (SELECT *, x1 - x2 AS dx1, x3 - x2 AS dx2, x0 - x1 + x2 - x3 AS sx, y1 - y2
 t AS (SELECT *, nullif(dx1 * dy2 - dx2 * dy1, 0) AS den FROM s),
 u AS (SELECT *, (sx * dy2 - dx2 * sy) / den AS g, (dx1 * sy - sx * dy1) / den AS k FROM t),
 m AS (SELECT poly_id, (x1 - x0 + g * x1) / 100 AS m0, (x3 - x0 + k * x3) / 32 AS m1, x0 + 0 * den AS m2, (y1 - y0 + g * y1) / 100 AS m3, (y3 - y0 + k * y3) / 32 AS m4, y0 + 0 * den AS m5, g / 100 AS m6, k / 32 AS m7, 1.0 + 0 * den AS m8 FROM u)
-SELECT poly_id, {', '.join(f'round(m{i}, 6) AS m{i}' for i in range(9))}, round((m0 * 50 + m1 * 16 + m2) / nullif(m6 * 50 + m7 * 16 + m8, 0), 6) AS u, round((m3 * 50 + m4 * 16 + m5) / nullif(m6 * 50 + m7 * 16 + m8, 0), 6) AS v FROM m"""
+SELECT poly_id, {', '.join(f'round(m{i}, 6) + 0.0 AS m{i}' for i in range(9))}, round((m0 * 50 + m1 * 16 + m2) / nullif(m6 * 50 + m7 * 16 + m8, 0), 6) AS u, round((m3 * 50 + m4 * 16 + m5) / nullif(m6 * 50 + m7 * 16 + m8, 0), 6) AS v FROM m"""
 _FORMAT = f"""WITH {POLYGONS_SQL},
 v AS (SELECT poly_id, unnest([{{'x': x1, 'i': 0, 'y': y1}}, {{'x': x2, 'i': 1, 'y': y2}}, {{'x': x3, 'i': 2, 'y': y3}}, {{'x': x4, 'i': 3, 'y': y4}}]) AS q FROM polys),
 o AS (SELECT poly_id, q.x AS x, q.y AS y, row_number() OVER (PARTITION BY poly_id ORDER BY q.x, q.i) AS k FROM v),
