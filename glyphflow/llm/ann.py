@@ -47,9 +47,12 @@ def usable(embedding: Column) -> Column:
 
 def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
     """Each row's ``degree`` nearest others by inner product."""
-    s = x @ x.T
-    np.fill_diagonal(s, -np.inf)
-    return np.argpartition(-s, min(degree, len(x) - 2), axis=1)[:, :degree]
+    out = np.empty((len(x), min(degree, len(x) - 1)), np.int32)
+    for at in range(0, len(x), 256):
+        s = x[at : at + 256] @ x.T
+        s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
+        out[at : at + 256] = np.argpartition(s, len(x) - out.shape[1], axis=1)[:, len(x) - out.shape[1] :]
+    return out
 
 
 def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 12) -> np.ndarray:
@@ -184,11 +187,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     shown = lambda df: df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     base, wanted = shown(vectors), shown(queries).dropDuplicates(["vec_id"])
     schema = "query_id long, vec_id long, score double"
-    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).collect()
+    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").toArrow().column("v").to_pylist()
     if not sample:
         return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = len(sample[0]["v"])
-    router = fit(np.array([r["v"] for r in sample if len(r["v"]) == width], float), k)
+    width = len(sample[0])
+    router = fit(np.array([v for v in sample if len(v) == width], float), k)
     base, wanted = base.where(F.size("v") == width), wanted.where(F.size("v") == width)
     routed = "vec_id long, v array<double>, parts array<int>"
     index = saved(base.mapInArrow(_routes(router, 1), routed).select("vec_id", "v", F.element_at("parts", 1).alias("part")), "index")
