@@ -4,10 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_kept: list[tuple] = []
+
+
+def worker_state(kind: str, key: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps for an operator from one task to the next (tables, memos of words).
+
+    Workers live on between stages, so a worker holds one operator's state at a time: that of another is let go.
+    """
+    if not _kept or _kept[0][:2] != (kind, key):
+        _kept.clear()
+        _kept.append((kind, key, make()))
+    return _kept[0][2]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

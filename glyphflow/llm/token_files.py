@@ -29,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import new_folder, worker_state
 
 MAGIC = b"TOKEF01\n"
 SAMPLE = 256
 #: A shard is closed once it holds this many ids, so that no task holds more than one shard and one document.
 SHARD_IDS = 4_000_000
 #: Words remembered by a Python worker; the memo is emptied when full.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 500_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -153,9 +153,6 @@ class _Words(dict):
         return ids
 
 
-_loaded: dict[str, tuple] = {}
-
-
 def _encoder(tokenizer_path: str):
     """text -> id bytes (u32), equal to the library's ``encode`` of the whole text.
 
@@ -166,10 +163,11 @@ def _encoder(tokenizer_path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    if tokenizer_path not in _loaded:
+    def load() -> tuple:
         library = Tokenizer.from_file(tokenizer_path)
-        _loaded[tokenizer_path] = library, _Words(library)
-    library, words = _loaded[tokenizer_path]
+        return library, _Words(library)
+
+    library, words = worker_state("words", (tokenizer_path,), load)
 
     def encode(text: str) -> bytes:
         if "<|" in text:
