@@ -4,6 +4,9 @@ SimHash links of a few bits find copies with slight changes, but a pair at simil
 fingerprint bits, beyond what a covering family can reach with a bearable number of tables. The fingerprints' shingle
 hashes therefore also give minima under 80 permutations, in 16 bands of five: a pair at 0.8 shares a band with
 probability 0.998. Candidates of both kinds are verified by the exact similarity of their shingle sets.
+
+A spanning forest a bucket comes first. Members of a bucket that its verified links leave apart then all meet one
+another, in pairs of chunks, and are compared exactly until no candidate pair of different components is left.
 """
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ BANDS, ROWS = 16, 5
 #: A bucket's members meet in chunks of about so many; what heads each chunk's groups meets in the next round.
 CHUNK = 2_048
 ROUNDS = 6
+#: What the verified links leave apart meets in pairs of chunks of about so many.
+HALF = 512
+#: Three deviations of the estimate from 80 values.
+MARGIN = 0.14
 _DRAW = np.random.default_rng(17)
 _A = _DRAW.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -113,19 +120,23 @@ def _chunk_links(least: float):
     return scan
 
 
+def _buckets(sketched: DataFrame) -> DataFrame:
+    """(node, bucket) for every band of a node."""
+    return sketched.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
+
+
 def _band_links(sketched: DataFrame, similarity: float) -> DataFrame:
     """Candidate links (a, b) among nodes that share a band, a spanning forest a bucket."""
     spark = sketched.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sketched.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
+    dealt = _buckets(sketched)
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     rows = dealt.join(sizes, "bucket").join(sketched.select("node", "low"), "node").select("bucket", "n", "node", "low")
     found = None
     for turn in range(ROUNDS):
         salted = rows.select("bucket", "node", "low", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / CHUNK)).alias("salt"), "n")
         heads_of = salted.select("bucket", "salt", "node", "low").repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "node")
-        # the margin below the similarity is three deviations of the estimate from 80 values
-        made = saved(heads_of.mapInArrow(_chunk_links(similarity - 0.14), "bucket long, a long, b long, low binary"), "chunks")
+        made = saved(heads_of.mapInArrow(_chunk_links(similarity - MARGIN), "bucket long, a long, b long, low binary"), "chunks")
         links = made.where("b is not null").select("a", "b")
         found = links if found is None else found.unionByName(links)
         large = sizes.where(F.col("n") > CHUNK).select("bucket")
@@ -137,6 +148,115 @@ def _band_links(sketched: DataFrame, similarity: float) -> DataFrame:
     return found
 
 
+def _cells(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[list]]]:
+    """Rows come sorted by (bucket, i, j): key and columns of one cell after the other."""
+    key, held = None, [[] for _ in columns]
+    for b in batches:
+        for at, *row in zip(zip(*(b.column(c).to_pylist() for c in ("bucket", "i", "j"))), *(_items(b.column(c)) for c in columns), strict=True):
+            if at != key:
+                if key is not None:
+                    yield key, held
+                key, held = at, [[] for _ in columns]
+            for column, x in zip(held, row, strict=True):
+                column.append(x)
+    if key is not None:
+        yield key, held
+
+
+def _items(column: pa.Array) -> list:
+    """Python values, but numpy arrays for lists, which own their memory."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    return [flat[a:b].copy() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _apart(least: float):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The members of each cell that are alike, by the estimate, to a member of another component."""
+        for key, (nodes, roots, low) in _cells(batches, ["node", "root", "low"]):
+            root, table = np.array(roots), np.frombuffer(b"".join(low), np.uint8).reshape(len(low), -1)
+            values, n = np.unique(root, return_counts=True)
+            mark = np.zeros(len(root), bool)
+            for x in np.flatnonzero(root != values[n.argmax()]):
+                near = (root != root[x]) & ((table == table[x]).mean(1) >= least)
+                mark |= near
+                mark[x] |= near.any()
+            at = np.flatnonzero(mark)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([k] * len(at), pa.int64()) for k in key), pa.array([nodes[x] for x in at], pa.int64()), pa.array(root[at], pa.int64()), pa.array([low[x] for x in at], pa.binary())],
+                ["bucket", "i", "j", "node", "root", "low"],
+            )
+
+    return scan
+
+
+def _joined(root: np.ndarray, table: np.ndarray, sets: list[np.ndarray], similarity: float, least: float) -> list[tuple[int, int]]:
+    """Pairs at the similarity or above that join all components (given by ``root``) which any candidate pair joins.
+
+    A component grows from each of its members in turn; what joins it brings its own component's members along. So
+    every candidate pair of different components is compared once, unless other pairs have joined its ends before.
+    """
+    size = np.array([len(x) for x in sets])
+    done = np.zeros(len(root), bool)
+    links = []
+    for start in range(len(root)):
+        if done[start]:
+            continue
+        queue = list(np.flatnonzero(root == root[start]))
+        done[queue] = True
+        while queue:
+            x = queue.pop()
+            alike = np.flatnonzero(~done)
+            alike = alike[np.minimum(size[alike], size[x]) >= similarity * np.maximum(size[alike], size[x])]
+            alike = alike[(table[alike] == table[x]).mean(1) >= least]
+            for y in alike:
+                if done[y]:
+                    continue
+                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if common >= similarity * (size[x] + size[y] - common):
+                    links.append((int(x), int(y)))
+                    more = np.flatnonzero(root == root[y])
+                    done[more] = True
+                    queue.extend(more)
+    return links
+
+
+def _exact_links(similarity: float):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (nodes, roots, low, sets) in _cells(batches, ["node", "root", "low", "shingles"]):
+            table = np.frombuffer(b"".join(low), np.uint8).reshape(len(low), -1)
+            links = _joined(np.array(roots), table, sets, similarity, similarity - MARGIN)
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[e[k]] for e in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return scan
+
+
+def _links_left(sketched: DataFrame, links: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """Verified links (a, b) between nodes that share a band and that ``links`` leaves in different components.
+
+    Of a bucket's members, those of its largest component don't meet one another; all others meet every member.
+    """
+    parts = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    roots = connected_components(links)
+    members = saved(_buckets(sketched).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+    by_root = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    split = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    split = split.select("bucket", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / HALF).alias("p"), F.ceil(F.col("main.n") / HALF).alias("q"))
+    met = members.join(split, "bucket").join(sketched.select("node", "low"), "node").withColumn("chunk", F.when(F.col("root") == F.col("main"), F.col("p") + F.pmod(F.xxhash64("node"), "q")).otherwise(F.pmod(F.xxhash64("node"), "p")))
+    others = F.when(F.col("chunk") < F.col("p"), F.sequence(F.lit(0).cast("long"), F.col("p") + F.col("q") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("p") - 1))
+    met = met.withColumn("other", F.explode(others)).where("other <> chunk").select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "root", "low")
+    met = met.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    apart = saved(met.mapInArrow(_apart(similarity - MARGIN), "bucket long, i long, j long, node long, root long, low binary"), "apart")
+    # cells of the same members are one
+    same = apart.groupBy("bucket", "i", "j").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    one = same.groupBy("n", "x", "y").agg(F.min(F.struct("bucket", "i", "j")).alias("cell")).select("cell.*")
+    held = saved(sets_of(apart.select("node").distinct()), "shingles")
+    full = apart.join(one, ["bucket", "i", "j"], "left_semi").join(held, "node")
+    full = full.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    return full.mapInArrow(_exact_links(similarity), "a long, b long").distinct()
+
+
 def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """Verified links (a, b) between nodes (different texts) of ``docs`` at or above the similarity."""
     texts = docs.select(node(F.col("text")).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -153,11 +273,15 @@ def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             found = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
 
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node long, shingles array<long>")
+
     linked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    held = saved(texts.join(linked, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node long, shingles array<long>"), "shingles")
+    held = saved(sets_of(linked), "shingles")
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    links = saved(both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
+    return links.unionByName(saved(_links_left(sketched, links, sets_of, similarity), "links-left"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

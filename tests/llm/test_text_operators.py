@@ -135,6 +135,40 @@ def test_near_copies_match_brute_force(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == want
 
 
+def _brute_groups(sets):
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        both = len(sets[i] & sets[j])
+        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [find(x) for x in range(len(sets))]
+
+
+@pytest.mark.parametrize("chunk", [2048, 40])
+def test_near_copies_of_many_variants(spark, monkeypatch, chunk):
+    monkeypatch.setattr(near_copies, "CHUNK", chunk)
+    monkeypatch.setattr(near_copies, "HALF", chunk, raising=False)
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(5000)}" for _ in range(300)]
+    texts = []
+    for k in range(300):
+        copy = list(base)
+        for at in draw.sample(range(300), draw.choice((4, 5))):
+            copy[at] = f"v{k}x{at}"
+        texts.append(" ".join(copy))
+    want = _brute_groups([set(simhash.shingle_hashes(t, 5).tolist()) for t in texts])
+    assert 20 < len(set(want)) < 280
+    got = near_copies.one_of_each(docs(spark, [(k, t, None) for k, t in enumerate(texts)]))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(want))
+
+
 def test_url_filter(spark):
     urls = ["https://a.COM/en/1", "http://com/en/", "x://b.example.com/en/7?q#f", "example.com/en/7", None, "http://example.net/de/81", "ftp://xcom/en/", "://m.net/de/#a", "http://h.org", "http://h.org/es/é"]
     pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string")
