@@ -24,17 +24,31 @@ def q_unclip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.with_unclipped(polygons(spark, sf_dir).where("hh > 3"), 1.53).select("poly_id", *results.POLY)
 
 
+def q_unclip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every polygon, flat, sheared and self-crossing ones too; one with a zero-length edge has null vertices."""
+    return g.with_unclipped(polygons(spark, sf_dir), 1.53).select("poly_id", *results.POLY)
+
+
 def q_format_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = g.with_corners(polygons(spark, sf_dir), 0.75)
     return made.select("poly_id", *(F.col(f"{c}.{a}").alias(f"{c}_{a}") for c in ("tl", "tr", "br", "bl") for a in "xy"))
 
 
-def q_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coefficients of the crop, and where its centre comes from."""
+def _crops(rows: DataFrame) -> DataFrame:
     corners = [(F.col(f"x{i}"), F.col(f"y{i}")) for i in (2, 3, 4, 1)]
     m = g.homography(corners, 100, 32)
     u, v = g.project(m, F.lit(50.0), F.lit(16.0))
-    return polygons(spark, sf_dir).where("hh > 3").select("poly_id", *((F.round(c, 6) + 0.0).alias(f"m{i}") for i, c in enumerate(m)), F.round(u, 6).alias("u"), F.round(v, 6).alias("v"))
+    return rows.select("poly_id", *((F.round(c, 6) + 0.0).alias(f"m{i}") for i, c in enumerate(m)), F.round(u, 6).alias("u"), F.round(v, 6).alias("v"))
+
+
+def q_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of the crop, and where its centre comes from."""
+    return _crops(polygons(spark, sf_dir).where("hh > 3"))
+
+
+def q_homography_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every polygon; null where it is singular."""
+    return _crops(polygons(spark, sf_dir))
 
 
 def q_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,13 +138,15 @@ h AS (SELECT *, sqrt((tl[1] - tr[1]) ** 2 + (tl[2] - tr[2]) ** 2) < 0.75 * sqrt(
 SELECT poly_id, {', '.join(f'CASE WHEN turn THEN {b}[{i}] ELSE {a}[{i}] END AS {a}_{c}' for a, b in (('tl', 'bl'), ('tr', 'tl'), ('br', 'tr'), ('bl', 'br')) for i, c in ((1, 'x'), (2, 'y')))} FROM h"""
 _SIZES = "s AS (SELECT o_orderkey AS image_id, (64 + o_orderkey * 31 % 1200)::INT AS h, (64 + o_orderkey * 17 % 2000)::INT AS w FROM orders)"
 _BOX = "least(x1, x2, x3, x4) AS \"left\", least(y1, y2, y3, y4) AS top, greatest(x1, x2, x3, x4) - least(x1, x2, x3, x4) AS width, greatest(y1, y2, y3, y4) - least(y1, y2, y3, y4) AS height"
-QUERIES = [q_poly_area_perimeter, q_unclip, q_format_points, q_homography, q_bbox, q_rescale, q_score_filter_limit, q_tile_grid, q_tile_canvas, q_tile_owner, q_batch_assign, q_flatten_counts, q_json_results, q_object_meta]
+QUERIES = [q_poly_area_perimeter, q_unclip, q_unclip_all, q_format_points, q_homography, q_homography_all, q_bbox, q_rescale, q_score_filter_limit, q_tile_grid, q_tile_canvas, q_tile_owner, q_batch_assign, q_flatten_counts, q_json_results, q_object_meta]
 SQL = {
     "q_poly_area_perimeter": f"""WITH {POLYGONS_SQL} SELECT poly_id, abs((x1 * y2 - x2 * y1 + x2 * y3 - x3 * y2 + x3 * y4 - x4 * y3 + x4 * y1 - x1 * y4)::DOUBLE) / 2 AS area,
 round(sqrt(((x1 - x2) ** 2 + (y1 - y2) ** 2)::DOUBLE) + sqrt(((x2 - x3) ** 2 + (y2 - y3) ** 2)::DOUBLE) + sqrt(((x3 - x4) ** 2 + (y3 - y4) ** 2)::DOUBLE) + sqrt(((x4 - x1) ** 2 + (y4 - y1) ** 2)::DOUBLE), 6) AS perimeter FROM polys""",
     "q_unclip": _UNCLIP,
+    "q_unclip_all": _UNCLIP.replace(" WHERE hh > 3", "").replace("/ len AS d", "/ nullif(len, 0) AS d").replace("sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) AS n", "nullif(sqrt((bx - ax) ** 2 + (by_ - ay) ** 2), 0) AS n"),
     "q_format_points": _FORMAT,
     "q_homography": _HOMOGRAPHY,
+    "q_homography_all": _HOMOGRAPHY.replace(" WHERE hh > 3", ""),
     "q_bbox": f"WITH {POLYGONS_SQL} SELECT poly_id, {_BOX} FROM polys",
     "q_rescale": f"WITH {POLYGONS_SQL} SELECT poly_id, {', '.join(f'trunc({c}{i} * {s}::DOUBLE)::INT AS {c}{i}' for i in range(1, 5) for c, s in (('x', 1.37), ('y', 0.83)))} FROM polys",
     "q_score_filter_limit": f"""WITH {POLYGONS_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY poly_id)::INT AS idx FROM polys)
