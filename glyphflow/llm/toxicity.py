@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,9 @@ CARRIER = b" 0123456789 abcdefghijklmnopqrstuvwxyz "
 STEPS = range(1, 9)
 MEMO_WORDS = 300_000
 _EDGES = ".,;:!?|\"'()[]{}<>#$%&*+-_=/\\~^`"
+#: Characters of a window; a longer run is split at these marks, and what is still longer is cut into overlapping windows.
+LONGEST = 64
+_MARKS = re.compile(f"[{re.escape(_EDGES)}。、，！？：；「」『』（）…—–·]+")
 
 
 @dataclass(frozen=True)
@@ -46,8 +50,16 @@ class Model:
 
 
 def windows(text: str | None) -> list[str]:
-    """The words of the text, lower-cased."""
-    return (text or "").lower().split()
+    """The words of the text, lower-cased; those over LONGEST characters in parts that cover them."""
+    out = []
+    for word in (text or "").lower().split():
+        if len(word) <= LONGEST or len(bare := word.strip(_EDGES)) <= LONGEST:
+            out.append(word if len(word) <= LONGEST else bare)
+            continue
+        for part in filter(None, _MARKS.split(bare)):
+            last = max(len(part) - LONGEST, 0)
+            out.extend(part[at : at + LONGEST] for at in [*range(0, last, LONGEST // 2), last])
+    return out
 
 
 class _Savings(dict):
@@ -72,7 +84,7 @@ class _Savings(dict):
         if bare != word:
             saved = self[bare]
         else:
-            window = CARRIER + b" " + word[:64].encode("utf-8", "surrogatepass") + b"  "
+            window = CARRIER + b" " + word.encode("utf-8", "surrogatepass") + b"  "
             ordinary, toxic = self.sizes
             saved = max(0, len(ordinary(window)) - len(toxic(window))) if word else 0
         self[word] = saved

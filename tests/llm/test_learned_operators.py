@@ -32,6 +32,17 @@ def test_toxicity_learns_planted_words(spark):
     assert toxicity.scores(docs, toxicity.train(docs, labels.where("toxic = 0"))).where("predicted = 1").count() == 0
 
 
+def test_toxicity_reads_long_runs_whole(spark):
+    words = [f"plain{i}" for i in range(40)]
+    texts = {True: [*words[:20], "wretchling", "gruumsh", *words[20:]], False: words}
+    docs = spark.createDataFrame([(i, f"d{i} " + " ".join(texts[i % 3 == 0]), 0.0) for i in range(240)], ODD)
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int"))
+    runs = ["_".join(words + ["wretchling", "gruumsh"]), "x" * 5000 + "wretchlinggruumsh" + "x" * 40, "_".join(words), "x" * 5000]
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(spark.createDataFrame([(i, t, 0.0) for i, t in enumerate(runs)], ODD), model).collect()}
+    assert [got[i] > 0 for i in range(4)] == [True, True, False, False]
+    assert all(len(w) <= 64 for t in runs for w in toxicity.windows(t))
+
+
 def test_quality_ranks_repetition_last(spark):
     def make(draw, bad):
         words = ["".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 8))) for _ in range(50)]
