@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit dictionaries and thresholds to ``labels`` (doc_id, toxic) joined with ``docs`` (doc_id, text).
 
     Takes SAMPLE_ROWS rows at most. Three quarters train the dictionaries, from document frequencies counted by Spark
-    with each opening (six words) once, so that groups of copies count once; a quarter calibrates. The driver gets
+    with each text once, so that exact copies count once; a quarter calibrates. The driver gets
     word counts up to DICTIONARY_WORDS and a row of sums for each calibrating document. Without both labels the
     model rejects nothing.
     """
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4))
-    fit = rows.where(fold != 0).groupBy(F.substring_index("text", " ", 6).alias("opening"), "toxic").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))
+    fit = rows.where(fold != 0).groupBy(F.xxhash64("text").alias("copy"), F.xxhash64(F.reverse("text")).alias("copy2"), "toxic").agg(F.first("text").alias("text"))
     word = F.explode(F.array_distinct(F.split(F.trim(F.lower("text")), r"\s+"))).alias("word")
     totals = {r["toxic"]: r["n"] for r in fit.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)

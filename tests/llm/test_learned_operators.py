@@ -32,6 +32,17 @@ def test_toxicity_learns_planted_words(spark):
     assert toxicity.scores(docs, toxicity.train(docs, labels.where("toxic = 0"))).where("predicted = 1").count() == 0
 
 
+def test_toxicity_learns_behind_a_header(spark):
+    def make(draw, bad):
+        words = ["".join(draw.choice(("on", "the", "er", "an", "ti")) for _ in range(draw.randint(1, 4))) for _ in range(60)]
+        return " ".join(["all", "documents", "share", "this", "one", "header", *words[:30], *["wretchling", "gruumsh"] * (2 * bad), *words[30:]])
+
+    docs, rows = _labelled(spark, make)
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(bad)) for i, _, bad in rows if i < 180], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.scores(docs, model).collect()}
+    assert np.mean([got[i] == bad for i, _, bad in rows if i >= 180]) >= 0.95
+
+
 def test_toxicity_reads_long_runs_whole(spark):
     words = [f"plain{i}" for i in range(40)]
     texts = {True: [*words[:20], "wretchling", "gruumsh", *words[20:]], False: words}
