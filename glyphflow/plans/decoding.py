@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import decode
-from .inputs import STEPS_SQL, SYMBOLS, rasters, steps, table
+from .inputs import DOC_STEPS_SQL, STEPS_SQL, SYMBOLS, doc_steps, rasters, steps, table
 
 _KEY = ("conv_id", "turn", "word_no")
+_DOC_KEY = ("doc_id", "word_no")
 
 
 def _named(pair) -> list:
@@ -23,6 +24,14 @@ def q_attention_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps(spark, sf_dir).select(*_KEY, *_named(decode.attention(F.col("ids"), F.col("probs"), decode.attention_dictionary(SYMBOLS))))
 
 
+def q_ctc_decode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_steps(spark, sf_dir).select(*_DOC_KEY, *_named(decode.ctc(F.col("ids"), F.col("probs"), decode.ctc_dictionary(SYMBOLS))))
+
+
+def q_attention_decode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_steps(spark, sf_dir).select(*_DOC_KEY, *_named(decode.attention(F.col("ids"), F.col("probs"), decode.attention_dictionary(SYMBOLS))))
+
+
 def q_argmax_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding as 8 steps of 8 scores."""
     matrix = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("p", i * 8 + 1, F.lit(8)))
@@ -34,6 +43,11 @@ def q_decode_alnum_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters(spark, sf_dir).select("image_id", *_named(decode.transformer(matrix, decode.transformer_dictionary(list("AbC-e")), True, True)))
 
 
+def q_decode_alnum_lower_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents, as read, reduced to its ASCII letters and digits in lower case."""
+    return doc_steps(spark, sf_dir).select(*_DOC_KEY, decode.ascii_lower(F.regexp_replace("word", "[^a-zA-Z0-9]", "")).alias("text"))
+
+
 def q_upsidedown_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every region read upright and reversed; the reversed reading wins only where it is surer."""
     both = []
@@ -49,10 +63,18 @@ def q_text_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", cut.alias("text"), n.alias("ch_len"))
 
 
+def _padded(regions: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    wrapped = F.concat(F.array(F.lit(900)), F.col("ids"), F.array(F.lit(901)))
+    return regions.select(*key, F.array_join(decode.fixed_tokens(wrapped, 901, 16).cast("array<string>"), " ").alias("tokens"))
+
+
 def q_token_pad16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every region's ids with a start and an end token, at length 16."""
-    wrapped = F.concat(F.array(F.lit(900)), F.col("ids"), F.array(F.lit(901)))
-    return steps(spark, sf_dir).select(*_KEY, F.array_join(decode.fixed_tokens(wrapped, 901, 16).cast("array<string>"), " ").alias("tokens"))
+    return _padded(steps(spark, sf_dir), _KEY)
+
+
+def q_token_pad16_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _padded(doc_steps(spark, sf_dir), _DOC_KEY)
 
 
 _CTC = """
@@ -68,7 +90,7 @@ d AS (SELECT image_id, best, stop, CASE WHEN stop > 0 THEN ids[1 : stop - 1] ELS
 t AS (SELECT image_id, array_to_string(list_transform(ids, lambda i: (['[E]', 'A', 'b', 'C', '-', 'e', '[B]', '[P]'])[i + 1]), '') AS text,
              {_PRODUCT.format("CASE WHEN stop > 0 THEN best[1 : stop] ELSE best END")} AS conf FROM d)
 """
-QUERIES = [q_ctc_decode, q_attention_decode, q_argmax_decode, q_decode_alnum_lower, q_upsidedown_select, q_text_truncate, q_token_pad16]
+QUERIES = [q_ctc_decode, q_attention_decode, q_argmax_decode, q_decode_alnum_lower, q_upsidedown_select, q_text_truncate, q_token_pad16, q_ctc_decode_docs, q_attention_decode_docs, q_decode_alnum_lower_docs, q_token_pad16_docs]
 SQL = {
     "q_ctc_decode": f"""WITH {STEPS_SQL}, k AS (SELECT *, {_CTC} FROM steps)
 SELECT conv_id, turn, word_no, array_to_string(list_transform(kept, lambda k: substr({_SYM}, ids[k]::INT, 1)), '') AS text,
@@ -91,3 +113,5 @@ FROM r a JOIN r b USING (conv_id, turn, word_no) WHERE a.flip = 0 AND b.flip = 1
     "q_token_pad16": f"""WITH {STEPS_SQL}, w AS (SELECT *, list_concat([900], ids, [901]) AS t FROM steps)
 SELECT conv_id, turn, word_no, array_to_string(CASE WHEN len(t) > 16 THEN list_concat(t[1 : 15], [901]) ELSE list_concat(t, list_transform(range(0, 16 - len(t)), lambda i: 0)) END, ' ') AS tokens FROM w""",
 }
+SQL |= {f"{k}_docs": SQL[k].replace(STEPS_SQL, DOC_STEPS_SQL).replace("conv_id, turn", "doc_id") for k in ("q_ctc_decode", "q_attention_decode", "q_token_pad16")}
+SQL["q_decode_alnum_lower_docs"] = f"WITH {DOC_STEPS_SQL} SELECT doc_id, word_no, lower(regexp_replace(word, '[^a-zA-Z0-9]', '', 'g')) AS text FROM steps"

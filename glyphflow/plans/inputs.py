@@ -20,11 +20,20 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Ids run to 39, so some lie outside a dictionary of 37.
     """
-    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("word_no", "word")).where("word <> ''")
+    return _word_steps(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+def doc_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every word of every document."""
+    return _word_steps(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def _word_steps(rows: DataFrame, *key: str) -> DataFrame:
+    words = rows.select(*key, F.posexplode(F.split("text", " ")).alias("word_no", "word")).where("word <> ''")
     codes = words.withColumn("codes", F.transform(F.split("word", ""), F.ascii))
     ids = F.transform("codes", lambda c: (c % 40).cast("int"))
     probs = F.transform("codes", lambda c, i: ((c * 31 + i * 17) % 100 + 1) / F.lit(101.0))
-    return codes.select("conv_id", "turn", "word_no", "word", ids.alias("ids"), probs.alias("probs"))
+    return codes.select(*key, "word_no", "word", ids.alias("ids"), probs.alias("probs"))
 
 
 STEPS_SQL = """
@@ -35,6 +44,7 @@ steps AS (
          list_transform(range(1, len(codes) + 1), lambda i: ((codes[i] * 31 + (i - 1) * 17) % 100 + 1) / 101.0::DOUBLE) AS probs
   FROM codes)
 """
+DOC_STEPS_SQL = STEPS_SQL.replace("conv_id, turn", "doc_id").replace("FROM conversations", "FROM documents")
 
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:

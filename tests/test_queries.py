@@ -2,8 +2,13 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from glyphflow.config import OcrConfig
+from glyphflow.functions import pixels
+from glyphflow.operators import contours
 from glyphflow.plans import catalogue
+from glyphflow.plans.inputs import rasters
 
 from .conftest import SF
 
@@ -38,3 +43,19 @@ def test_every_polygon_counts(spark, db, name):
     column = "x1" if name == "q_unclip_all" else "m0"
     flat = got.where("poly_id % 25 = 0")
     assert 0 < flat.where(f"{column} is null").count() < got.where("poly_id % 25 <= 3").count()
+
+
+def test_rect_pipeline_reads_every_region(spark):
+    got = catalogue.queries()["q_rect_pipeline"](spark, SF).collect()
+    maps = rasters(spark, SF).select("image_id", F.lit(16).alias("h"), F.lit(16).alias("w"), pixels.resize(F.col("p"), 8, 8, 16, 16).alias("p"))
+    found = contours.candidates(contours.contours(maps, 0.1), OcrConfig().max_candidates, 0.1)
+    assert 0 < len(got) == len({(r["image_id"], r["poly_idx"]) for r in got}) <= found.count()
+    assert {r["image_id"] for r in got} <= {r["image_id"] for r in found.collect()}
+    read = [r for r in got if r["text"] is not None]
+    assert read and all(0 < r["conf"] <= 1 for r in read)
+
+
+def test_decoders_read_every_word_of_documents(spark, db):
+    words = db.sql("select count(*) from (select unnest(string_split(text, ' ')) as w from documents) where w <> ''").fetchall()[0][0]
+    for name in ("q_ctc_decode_docs", "q_attention_decode_docs", "q_decode_alnum_lower_docs", "q_token_pad16_docs"):
+        assert catalogue.queries()[name](spark, SF).count() == words
