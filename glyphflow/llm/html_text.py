@@ -32,8 +32,8 @@ IN_HEAD = frozenset("title meta link script style base noscript template".split(
 PATH_SIZE, WORD_SIZE, SHAPE = 64, 32, 8
 WIDTH = PATH_SIZE + WORD_SIZE + SHAPE
 HIDDEN = 24
-#: Blocks that the labeller sees at once; longer pages are read in overlapping stretches, so memory stays bounded.
-STRETCH, OVERLAP = 2_000, 200
+#: Blocks that the labeller holds at once; it reads longer pages in stretches and carries its states on, so memory stays bounded.
+STRETCH = 2_000
 TRAINING_PAGES = 500
 
 
@@ -123,18 +123,19 @@ def _slot(word: str) -> int:
     return crc32(word.encode("utf-8", "surrogatepass")) % WORD_SIZE
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    """(blocks, WIDTH): hashed tag path, hashed words (a share each), and the block's shape."""
-    out = np.zeros((len(page), WIDTH))
-    for i, b in enumerate(page):
+def vectors(page: list[Block], part: slice = slice(None)) -> np.ndarray:
+    """(blocks, WIDTH) of a part of the page: hashed tag path, hashed words (a share each), and the block's shape."""
+    first, _, _ = part.indices(len(page))
+    out = np.zeros((len(page[part]), WIDTH))
+    for i, b in enumerate(page[part]):
         words = b.words.split(" ")
         out[i, :PATH_SIZE] = _path_vector(b.path)
-        for w in words[:64]:
-            out[i, PATH_SIZE + _slot(w.lower())] += 1 / min(len(words), 64)
+        for w in words:
+            out[i, PATH_SIZE + _slot(w.lower())] += 1 / len(words)
         n = len(b.words)
         out[i, PATH_SIZE + WORD_SIZE :] = (
             min(np.log1p(len(words)) / 6, 1), b.linked / n, b.words[-1] in ".!?", sum(map(b.words.count, ".,;")) / len(words),
-            len(b.path) / 12, i / max(len(page) - 1, 1), "©" in b.words, b.path[-1:] == ("h1",),
+            len(b.path) / 12, (first + i) / max(len(page) - 1, 1), "©" in b.words, b.path[-1:] == ("h1",),
         )
     return out
 
@@ -174,6 +175,24 @@ class Labeller:
             out[:, k] = h
         return out, trace
 
+    def long_page(self, page: list[Block]) -> np.ndarray:
+        """Probabilities of a page's blocks; states are carried from stretch to stretch, so its length makes no difference."""
+        stretches = [slice(at, at + STRETCH) for at in range(0, len(page), STRETCH)]
+        total = np.zeros(len(page))
+        for at, side in enumerate("fb"):
+            h = c = np.zeros(HIDDEN)
+            wx, wh, wc = (self.w[side + k] for k in "xhc")
+            for part in stretches if side == "f" else stretches[::-1]:
+                z = vectors(page, part) @ wx + wc
+                out = np.zeros((len(z), HIDDEN))
+                for k in range(len(z)) if side == "f" else range(len(z) - 1, -1, -1):
+                    a = z[k] + h @ wh
+                    gates = _sigmoid(a[: 3 * HIDDEN])
+                    c = gates[HIDDEN : 2 * HIDDEN] * c + gates[:HIDDEN] * np.tanh(a[3 * HIDDEN :])
+                    out[k] = h = gates[2 * HIDDEN :] * np.tanh(c)
+                total[part] += out @ self.w["o"][at * HIDDEN : (at + 1) * HIDDEN]
+        return _sigmoid(total + self.w["p"])
+
     def probabilities(self, x: np.ndarray, keep: np.ndarray) -> np.ndarray:
         both = np.concatenate([self._run(x, keep, s)[0] for s in "fb"], 2)
         return _sigmoid(both @ self.w["o"] + self.w["p"])
@@ -329,27 +348,22 @@ def trained(pages: int = TRAINING_PAGES, epochs: int = 14, seed: int = 20) -> La
 
 
 def label_pages(model: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
-    """Whether each block of each page is main text. A stretch's edges are labelled by the stretch that holds more around them."""
+    """Whether each block of each page is main text; pages of like length run together, those over STRETCH blocks alone."""
     out = [np.zeros(len(p), bool) for p in pages]
-    pieces = []
-    for k, p in enumerate(pages):
-        for at in range(0, max(len(p) - OVERLAP, 1), STRETCH - OVERLAP):
-            if p[at : at + STRETCH]:
-                pieces.append((len(p[at : at + STRETCH]), k, at))
-    pieces.sort()
-    group: list[tuple[int, int, int]] = []
+    group: list[int] = []
 
     def run() -> None:
-        x, keep = _padded([vectors(pages[k])[at : at + STRETCH] for _, k, at in group])
-        for (n, k, at), p in zip(group, model.probabilities(x, keep), strict=True):
-            skip = OVERLAP // 2 if at else 0
-            out[k][at + skip : at + n] = p[skip:n] > 0.5
-
-    for piece in pieces:
-        if group and (len(group) + 1) * piece[0] > 6_000:
+        for k, p in zip(group, model.probabilities(*_padded([vectors(pages[k]) for k in group])), strict=True):
+            out[k][:] = p[: len(pages[k])] > 0.5
+
+    for n, k in sorted((len(p), k) for k, p in enumerate(pages) if p):
+        if n > STRETCH:
+            out[k][:] = model.long_page(pages[k]) > 0.5
+            continue
+        if group and (len(group) + 1) * n > 6_000:
             run()
             group = []
-        group.append(piece)
+        group.append(k)
     if group:
         run()
     return out

@@ -161,3 +161,17 @@ def test_held_out_layouts():
         right += int((html_text.label_pages(model, [found])[0] == np.array(main)).sum())
         total += len(main)
     assert right / total > 0.98
+
+
+def test_long_pages_are_labelled_as_a_whole(monkeypatch):
+    model, draw = html_text.trained(), random.Random(5)
+    page = [b for _ in range(60) for b in html_text.blocks(html_text.training_page(draw)[0])]
+    whole = model.probabilities(*html_text._padded([html_text.vectors(page)]))[0]
+    monkeypatch.setattr(html_text, "STRETCH", 70)
+    monkeypatch.setattr(html_text, "OVERLAP", 10, raising=False)
+    assert len(page) > 300
+    assert (html_text.label_pages(model, [page, page[:20]])[0] == (whole > 0.5)).all()
+    assert np.abs(model.long_page(page) - whole).max() < 1e-9
+    words = [f"w{i}" for i in range(100)]
+    a, b = (html_text.blocks("<p>" + " ".join(words[:80] + tail) + "</p>") for tail in (["red"], ["blue"]))
+    assert (html_text.vectors(a) != html_text.vectors(b)).any()
