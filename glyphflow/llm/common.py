@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _kept: list[tuple] = []
 
@@ -31,10 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests on one machine, a temporary folder is set up for it.
+    Only where the session names none and runs on one machine, as in tests, a temporary folder is set up for it; a
+    cluster's session without the setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="glyphflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -53,3 +58,25 @@ def saved(df: DataFrame, what: str, *partition_by: str) -> DataFrame:
     path = new_folder(spark, what)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mapped_texts(docs: DataFrame, keep: Sequence[str], make: Callable[[pa.Array], Iterable[tuple[int, list[pa.Array]]]], schema: str) -> DataFrame:
+    """Columns ``keep`` of every row of ``docs`` and, behind them, the columns of ``schema`` that ``make`` reads off its text.
+
+    ``make`` takes the texts of a batch and yields (rows, columns) for one stretch of them after the other. Kept
+    columns travel inside a struct, so that no name of theirs meets one of ``schema``; of two equal names the result
+    has the new column only.
+    """
+    made = StructType.fromDDL(schema)
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col("text").cast("string").alias("text"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            for n, columns in make(b.column("text")):
+                yield pa.RecordBatch.from_arrays([b.column("row").slice(at, n), *columns], ["row", *made.names])
+                at += n
+
+    out = given.mapInArrow(scan, StructType([given.schema["row"], *made]))
+    taken = {c.lower() for c in made.names}
+    return out.select(*(F.col("row").getField(c).alias(c) for c in keep if c.lower() not in taken), *made.names)

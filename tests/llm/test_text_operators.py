@@ -261,25 +261,52 @@ def _all_paths(voc, text):
     return sorted(go(0), key=lambda r: (-r[0], r[1][::-1]))
 
 
+def _expanded(ids, changes):
+    out, at = [], 0
+    for place, n, new in changes:
+        out += [*ids[at:place], *new]
+        at = place + n
+    return (*out, *ids[at:])
+
+
 def test_pieces_against_all_paths():
     voc = pieces.vocabulary(P.path("piece_bpe_32k.model"))
-    solver, draw = pieces.Segments(voc), random.Random(5)
-    for text in ["", " ", "  a", "▁", "\0", *("".join(draw.choice("theanig oéñ.\n▁ ") for _ in range(draw.randint(0, 9))) for _ in range(120))]:
+    solver, draw = pieces.Chunks(voc), random.Random(5)
+    texts = ["", " ", "  a", "▁", "\0", "the the the", *("".join(draw.choice("theanig oéñ.\n▁ ") for _ in range(draw.randint(0, 9))) for _ in range(150))]
+    for text, (ids, score, best, exact) in zip(texts, solver.encode(texts, 5), strict=True):
         want = _all_paths(voc, text)
-        ids, score, found = solver.encode(text)
-        best = solver.n_best(text, 5)
-        assert [s for s, _ in best] == [s for s, _ in want[:5]] == solver.scores(score, found, 5)
-        assert all((s, tuple(i)) in set(want) for s, i in best)
-        assert len({tuple(i) for _, i in best}) == len(best)
-        assert pieces.decode(voc, ids) == text
+        whole = [_expanded(ids.tolist(), changes) for _, changes in best]
+        assert [s for s, _ in best] == [s for s, _ in want[:5]]
+        assert score == want[0][0] and whole[0] == tuple(ids.tolist())
+        assert all((s, i) in set(want) for (s, _), i in zip(best, whole, strict=True))
+        assert len(set(whole)) == len(best)
+        assert exact and pieces.decode(voc, ids) == text
+
+
+def test_pieces_of_a_long_run_and_of_many_chunks(monkeypatch):
+    voc = pieces.vocabulary(P.path("piece_bpe_32k.model"))
+    draw = random.Random(6)
+    words = ["".join(draw.choice("theanig") for _ in range(draw.randint(1, 12))) for _ in range(3000)]
+    texts = [" ".join(words), "the" * 30_000, "é漢" * 3_000, "word " * 20_000]
+    solver = pieces.Chunks(voc)
+    whole = solver.encode(texts, 5)
+    monkeypatch.setattr(pieces, "MEMO_CHUNKS", 1)
+    monkeypatch.setattr(pieces, "TOGETHER", 50)
+    for text, a, b in zip(texts, whole, (pieces.Chunks(voc).encode([t], 5)[0] for t in texts), strict=True):
+        assert a[0].tolist() == b[0].tolist() and a[1:] == b[1:]
+        assert pieces.decode(voc, a[0]) == text and a[3]
+        ends, best, _ = pieces.lattice(voc, *pieces._marked(text.split(" ")[0]))
+        assert pieces.search(ends, best, 1)[0] == (best[-1], tuple(solver.encode([text.split(" ")[0]], 1)[0][0].tolist()))
 
 
 def test_pieces_rows(spark):
     path = P.path("piece_bpe_32k.model")
-    out = pieces.encode_texts(docs(spark, ODD), path, keep=("doc_id", "lang"))
-    assert out.count() == len(ODD)
+    out = pieces.encode_texts(docs(spark, ODD).withColumn("score", F.lit("mine")), path, keep=("doc_id", "lang", "Score"))
+    assert out.count() == len(ODD) and out.columns[:3] == ["doc_id", "lang", "ids"]
     assert out.where("not decoded").count() == 0
     assert sorted(r["text"] for r in pieces.decode_ids(out, path).collect()) == sorted(t or "" for _, t, _ in ODD)
+    best = out.select("doc_id", F.explode("n_best").alias("b"), "ids").select("doc_id", pieces.segmentation(F.col("ids"), F.col("b.changes")).alias("ids"))
+    assert {r["text"] for r in pieces.decode_ids(best, path).collect()} == {t or "" for _, t, _ in ODD}
     assert pieces.encode_texts(docs(spark, []), path).count() == 0
 
 
