@@ -82,28 +82,19 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "doc_start", "n_equal", "n_words")
 
 
+#: Brute force over every diagonal on which document and item share words, without seeds.
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, hash(text) AS text_hash, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
+WITH d AS (SELECT DISTINCT doc_id, hash(text) AS text_hash, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
-masks(m, o) AS (VALUES (0, [0, 1, 3, 4, 6, 9, 10]), (1, [0, 2, 3, 6, 7, 8, 10]), (2, [0, 1, 2, 5, 7, 9, 10])),
-dp AS (SELECT doc_id, text_hash, w, unnest(range(0, len(w) - 10)) AS pos FROM d WHERE len(w) >= 11),
-bp AS (SELECT item_id, w, unnest(range(0, len(w) - 10)) AS pos FROM b WHERE len(w) >= 11),
-ds AS (SELECT doc_id, text_hash, pos, m || ' ' || array_to_string(list_transform(o, lambda i: w[pos + 1 + i]), ' ') AS seed FROM dp, masks),
-bs AS (SELECT item_id, pos, m || ' ' || array_to_string(list_transform(o, lambda i: w[pos + 1 + i]), ' ') AS seed FROM bp, masks),
-short AS (SELECT item_id, array_to_string(w, ' ') AS s, len(w) AS n FROM b WHERE len(w) BETWEEN 5 AND 10),
-short_d AS (SELECT doc_id, text_hash, n, w, unnest(range(0, len(w) - n + 1)) AS pos FROM d, (SELECT DISTINCT n FROM short) WHERE len(w) >= n),
-hits AS (
-  SELECT DISTINCT doc_id, text_hash, item_id, ds.pos - bs.pos AS doc_start FROM ds JOIN bs USING (seed)
-  UNION
-  SELECT doc_id, text_hash, item_id, pos FROM short_d JOIN short ON short.n = short_d.n AND array_to_string(w[pos + 1 : pos + short.n], ' ') = s),
-laid AS (
-  SELECT h.*, len(b.w) AS n_words,
-         list_transform(range(0, len(b.w)), lambda k: CASE WHEN h.doc_start + k >= 0 AND d.w[greatest(h.doc_start + k, 0) + 1] = b.w[k + 1] THEN 1 ELSE 0 END) AS e
-  FROM hits h JOIN b USING (item_id) JOIN d ON d.doc_id = h.doc_id AND d.text_hash = h.text_hash),
+bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM b WHERE len(w) >= 5),
+dw AS (SELECT doc_id, text_hash, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d),
+met AS (
+  SELECT dw.doc_id, dw.text_hash, bw.item_id, bw.n, dw.pos - bw.pos AS doc_start, count(*) AS n_equal, list(bw.pos) AS places
+  FROM dw JOIN bw USING (word) GROUP BY ALL HAVING count(*) >= 0.8 * least(bw.n, 13)),
 good AS (
-  SELECT doc_id, text_hash, item_id, doc_start, n_words, list_sum(e) AS n_equal FROM laid
-  WHERE list_max(list_transform(range(1, n_words - least(n_words, 13) + 2), lambda s: list_sum(e[s : s + least(n_words, 13) - 1]))) >= 0.8 * least(n_words, 13))
-SELECT doc_id, item_id, doc_start, n_equal::INT AS n_equal, n_words::INT AS n_words FROM (
+  SELECT doc_id, text_hash, item_id, n, doc_start, n_equal FROM met
+  WHERE list_max(list_transform(range(0, n - least(n, 13) + 1), lambda s: len(list_filter(places, lambda p: p >= s AND p < s + least(n, 13))))) >= 0.8 * least(n, 13))
+SELECT doc_id, item_id, doc_start, n_equal::INT AS n_equal, n::INT AS n_words FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, text_hash, item_id ORDER BY n_equal DESC, doc_start) AS rn FROM good) WHERE rn = 1
 """
 

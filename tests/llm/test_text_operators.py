@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -211,6 +212,62 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(docs(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("n", range(5, 16))
+def test_masks_meet_every_pattern_that_is_accepted(n):
+    window = min(n, decontaminate.WINDOW)
+    masks = decontaminate.MASKS[max(k for k in decontaminate.MASKS if k <= n)]
+    placed = [{at + i for i, c in enumerate(m) if c == "1"} for m in masks for at in range(window - len(m) + 1)]
+    for gone in range(window + 1):
+        if window - gone >= decontaminate.AGREE * window:
+            assert all(any(not p & set(pattern) for p in placed) for pattern in itertools.combinations(range(window), gone))
+
+
+def _brute_overlaps(rows, bench):
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = set()
+    for d, text, _ in rows:
+        doc = split(text)
+        for i, item in bench:
+            item = split(item)
+            if len(item) < 5:
+                continue
+            window, best = min(len(item), 13), None
+            for start in range(1 - len(item), len(doc)):
+                e = [0 <= start + k < len(doc) and doc[start + k] == w for k, w in enumerate(item)]
+                if max(sum(e[s : s + window]) for s in range(len(item) - window + 1)) >= 0.8 * window and (best is None or sum(e) > best[1]):
+                    best = (start, sum(e))
+            if best:
+                out.add((d, i, *best, len(item)))
+    return out
+
+
+@pytest.mark.parametrize("seeds", [decontaminate.BROADCAST_SEEDS, 0])
+def test_overlaps_match_all_diagonals(spark, monkeypatch, seeds):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", seeds)
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    bench = [(i, " ".join(draw.choice(words) for _ in range(n))) for i, n in enumerate([*range(4, 18), 30, 45])] + [(99, None), (98, "w1 w1 w1 w1 w1 w1 w1")]
+    rows = []
+    for k in range(90):
+        item = draw.choice(bench)[1]
+        copy = (item or "").split()
+        for at in draw.sample(range(len(copy)), min(len(copy), draw.randint(0, 5))):
+            copy[at] = draw.choice(words)
+        noise = [draw.choice(words) for _ in range(draw.randint(0, 12))]
+        rows.append((k if k % 11 else None, " ".join([*noise, *copy[draw.randint(0, 3) :], *noise]), None))
+    rows += [(200, None, None), (201, "", None), (202, "w1 " * 5000, None), rows[1], rows[1]]
+    frame = docs(spark, rows).withColumn("_dirty_id", F.lit(1)).withColumn("dirty_id", F.lit(2)).withColumn("h", F.lit(3))
+    bench_frame = spark.createDataFrame(bench, "item_id long, text string").withColumn("seed", F.lit(1))
+    found = decontaminate.overlaps(frame, bench_frame)
+    want = _brute_overlaps(rows, bench)
+    assert {(r["doc_id"], r["item_id"], r["doc_start"], r["n_equal"], r["n_words"]) for r in found.collect()} == want and len(want) > 25
+    kept = decontaminate.clean_documents(frame, bench_frame)
+    assert kept.columns == frame.columns and len([r for r in kept.collect() if r["doc_id"] is None or r["doc_id"] < 300]) == kept.count()
+    dirty = {w[0] for w in want}
+    assert {r["doc_id"] for r in kept.collect()} >= {r[0] for r in rows} - dirty
+    assert decontaminate.overlaps(frame, bench_frame.limit(0)).count() == decontaminate.overlaps(frame.limit(0), bench_frame).count() == 0
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(spark, rule):
     library, width = token_counts._encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
