@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_state
+from .common import mapped_texts, saved, worker_state
 
 #: Labelled rows to learn from, at most: those of least hash, so the same whatever the order of the input.
 SAMPLE_ROWS = 30_000
@@ -112,16 +112,18 @@ def _train_dictionary(counts: dict[str, int], size: int) -> bytes:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit dictionaries and thresholds to ``labels`` (doc_id, toxic) joined with ``docs`` (doc_id, text).
 
-    Takes SAMPLE_ROWS rows at most. Three quarters train the dictionaries, from document frequencies counted by Spark
+    Takes SAMPLE_ROWS rows at most; of rows that share a labelled doc_id the one of least text. Three quarters train the dictionaries, from document frequencies counted by Spark
     with each text once, so that exact copies count once; a quarter calibrates. The driver gets
     word counts up to DICTIONARY_WORDS and a row of sums for each calibrating document. Without both labels the
     model rejects nothing.
     """
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4))
     fit = rows.where(fold != 0).groupBy(F.xxhash64("text").alias("copy"), F.xxhash64(F.reverse("text")).alias("copy2"), "toxic").agg(F.first("text").alias("text"))
+    fit = saved(fit.select("toxic", "text"), "labelled")
     word = F.explode(F.array_distinct(F.split(F.trim(F.lower("text")), r"\s+"))).alias("word")
     totals = {r["toxic"]: r["n"] for r in fit.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
@@ -129,6 +131,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(b"", b"")
     bare = F.regexp_replace("word", r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "").alias("word")
     counts = fit.select("toxic", word).select("toxic", bare).where("word <> ''").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    counts = saved(counts, "word-counts")
     least = max(LEAST_DOCS, LEAST_SHARE * bad)
     over = counts.where((F.col("a") >= least) & ((F.col("b") + 0.5) / good * OVER < F.col("a") / bad))
     toxic = {r["word"]: r["a"] for r in over.orderBy(F.desc("a"), "word").limit(DICTIONARY_WORDS).collect()}
@@ -172,19 +175,15 @@ def scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
     """Columns ``keep`` of every row and its score: s / (s + what is enough for its length), for the savings s.
 
     0.5 is the calibrated threshold. Null, empty and blank texts score 0; texts are read whole; repeated rows are
-    scored each; other columns are ignored.
+    scored each; other columns are ignored, and a kept one named score or predicted gives way to the result.
     """
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        savings = _savings(model)
-        for b in batches:
-            out = []
-            for t in b.column("text"):
-                found = [savings[w] for w in windows(t.as_py())] if model.toxic else []
-                s = sum(x - model.step + 1 for x in found if x >= model.step)
-                out.append(s / (s + model.enough + model.noise * len(found)) if s else 0.0)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(out, pa.float64())], [*keep, "score"])
-
-    given = docs.select(*keep, F.col("text").cast("string")) if "text" not in keep else docs.select(*keep)
-    schema = ", ".join(f"`{k}` {t}" for k, t in given.dtypes if k in keep)
-    return given.mapInArrow(scan, f"{schema}, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    def make(texts: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
+        savings, out = _savings(model), []
+        for t in texts:
+            found = [savings[w] for w in windows(t.as_py())] if model.toxic else []
+            s = sum(x - model.step + 1 for x in found if x >= model.step)
+            out.append(s / (s + model.enough + model.noise * len(found)) if s else 0.0)
+        yield len(out), [pa.array(out, pa.float64()), pa.array([int(x >= 0.5) for x in out], pa.int32())]
+
+    return mapped_texts(docs, keep, make, "score double, predicted int")
