@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glyphflow.llm import decontaminate, near_copies, pieces, quality, toxicity
 from glyphflow.llm.common import saved, table
 
 
+def _kept(docs: DataFrame, score: Callable[[DataFrame], DataFrame], wanted: int) -> DataFrame:
+    """The rows that ``score`` predicts ``wanted`` for, with all their columns, whatever these are called."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    return score(rows).where(F.col("predicted") == wanted).select("row.*")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression distance doesn't reject; it learns from all labelled rows of its input."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scores(docs, model, tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+    return _kept(docs, lambda rows: toxicity.scores(rows, model, ("row",)), 0)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents at or above the ranking threshold."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scores(docs, model, tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+    return _kept(docs, lambda rows: quality.scores(rows, model, ("row",)), 1)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
