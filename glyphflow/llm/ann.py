@@ -18,13 +18,17 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Vectors the graph and the network are fitted to, at most (those of least hash).
-SAMPLE_ROWS = 6_000
-#: Graph neighbours, rows of the sample a part has at least, parts at most.
-DEGREE, PART_ROWS, PARTS = 10, 96, 32
+#: Vectors that the graph and the network are fitted to (those of least hash): so many times the root of the table's
+#: rows, between these bounds. Parts grow with the sample.
+SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST = 60, 6_000, 24_000
+#: Graph neighbours, and rows of the sample that a part has at least.
+DEGREE, PART_ROWS = 10, 96
 HIDDEN = 96
-#: Sample recall that the number of searched parts is chosen for.
-RECALL = 0.97
+#: Rows that the network sees in training, all epochs together.
+TRAINED_ROWS = 360_000
+#: Every HELD-th row of the sample is kept from the fit. It asks for its neighbours, and the number of searched parts is the
+#: least that finds this share of them.
+HELD, RECALL = 8, 0.93
 #: Rows and queries that meet in one task, at most about; larger parts are split into blocks.
 BLOCK_ROWS, BLOCK_QUERIES = 20_000, 2_000
 
@@ -32,7 +36,9 @@ BLOCK_ROWS, BLOCK_QUERIES = 20_000, 2_000
 @dataclass(frozen=True)
 class Router:
     weights: tuple[np.ndarray, ...]
+    parts: int
     probes: int
+    recall: float = 1.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         a, b, c, d = self.weights
@@ -84,7 +90,7 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 1
     return label
 
 
-def _network(x: np.ndarray, label: np.ndarray, parts: int, epochs: int = 60) -> tuple[np.ndarray, ...]:
+def _network(x: np.ndarray, label: np.ndarray, parts: int, epochs: int) -> tuple[np.ndarray, ...]:
     """One hidden layer, cross entropy, Adam."""
     draw = np.random.default_rng(5)
     w = [draw.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), draw.normal(0, 1 / np.sqrt(HIDDEN), (HIDDEN, parts)), np.zeros(parts)]
@@ -108,25 +114,28 @@ def _network(x: np.ndarray, label: np.ndarray, parts: int, epochs: int = 60) ->
 
 
 def fit(sample: np.ndarray, k: int) -> Router:
-    """Partition the sample, learn the parts and choose the probes that reach RECALL on the sample itself."""
+    """Partition the sample, learn the parts and choose the probes by rows that the fit hasn't seen (see HELD)."""
+    width, scale = sample.shape[1], np.sqrt(sample.shape[1]) / np.linalg.norm(sample, axis=1).mean()
+    asked = np.arange(len(sample)) % HELD == 0
+    seen, queries = sample[~asked], sample[asked]
     parts = 1
-    while parts * 2 <= PARTS and len(sample) // (parts * 2) >= PART_ROWS:
+    while len(seen) // (parts * 2) >= PART_ROWS:
         parts *= 2
-    width = sample.shape[1]
     if parts == 1:
-        return Router((np.zeros((width, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), 1)
-    scaled = sample / np.linalg.norm(sample, axis=1).mean() * np.sqrt(width)
-    label = balanced_parts(sample, neighbour_graph(sample, DEGREE), parts)
-    a, b, c, d = _network(scaled, label, parts)
-    router = Router((a * (np.sqrt(width) / np.linalg.norm(sample, axis=1).mean()), b, c, d), parts)
-    logits = router.logits(sample)
-    home = logits.argmax(1)
-    near = neighbour_graph(sample, k)
-    rank = np.empty_like(logits, np.int64)
-    np.put_along_axis(rank, np.argsort(-logits, axis=1, kind="stable"), np.arange(parts)[None], axis=1)
+        return Router((np.zeros((width, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), 1, 1)
+    label = balanced_parts(seen, neighbour_graph(seen, DEGREE), parts)
+    a, b, c, d = _network(seen * scale, label, parts, max(10, TRAINED_ROWS // len(seen)))
+    router = Router((a * scale, b, c, d), parts, parts)
+    home = router.logits(seen).argmax(1)
+    order = np.argsort(-router.logits(queries), axis=1, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(parts)[None], axis=1)
+    k = min(k, len(seen) - 1)
+    near = np.concatenate([np.argpartition(-(queries[at : at + 256] @ seen.T), k, axis=1)[:, :k] for at in range(0, len(queries), 256)])
     needed = np.take_along_axis(rank, home[near], axis=1)
-    recall = [(needed < m).mean() for m in range(1, parts + 1)]
-    return Router(router.weights, 1 + next(i for i, r in enumerate(recall) if r >= RECALL))
+    recall = [float((needed < m).mean()) for m in range(1, parts + 1)]
+    probes = 1 + next(i for i, r in enumerate(recall) if r >= RECALL)
+    return Router(router.weights, parts, probes, recall[probes - 1])
 
 
 def _routes(router: Router, probes: int):
@@ -187,7 +196,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     shown = lambda df: df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     base, wanted = shown(vectors), shown(queries).dropDuplicates(["vec_id"])
     schema = "query_id long, vec_id long, score double"
-    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").toArrow().column("v").to_pylist()
+    size = min(max(SAMPLE_LEAST, int(SAMPLE_SHARE * base.count() ** 0.5)), SAMPLE_MOST)
+    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).select("v").toArrow().column("v").to_pylist()
     if not sample:
         return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = len(sample[0])

@@ -104,6 +104,20 @@ def test_nearest(spark, n):
     assert np.mean(recalls) >= 0.9
 
 
+def test_routing_searches_few_parts_of_clustered_vectors():
+    draw = np.random.default_rng(4)
+    centres = draw.normal(0, 1, (60, 24))
+    make = lambda n: centres[draw.integers(0, 60, n)] + draw.normal(0, 0.25, (n, 24))
+    router = ann.fit(make(4000), 10)
+    assert router.parts == 32 and router.probes <= router.parts // 4 and router.recall >= ann.RECALL
+    rows, queries = make(8000), make(200)
+    near = np.argsort(-(queries @ rows.T), axis=1)[:, :10]
+    searched = np.argsort(-router.logits(queries), axis=1)[:, : router.probes]
+    found = (router.logits(rows).argmax(1)[near][:, :, None] == searched[:, None, :]).any(2)
+    assert found.mean() >= 0.9
+    assert ann.fit(draw.normal(size=(8_000, 4)), 5).parts > 32
+
+
 def test_nearest_ties_and_empty(spark):
     same = _vectors(spark, [(i, [1.0, 2.0], 0) for i in range(45)])
     got = ann.nearest(same, same.where("vec_id % 20 = 0"), k=5).collect()
