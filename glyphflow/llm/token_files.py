@@ -16,6 +16,7 @@ bounded stretch, so no table of 64-bit offsets is needed.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -121,8 +122,8 @@ class Shard:
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.missing + (self.keys.values() + self.base).tolist()
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.missing else self.base + self.keys.select(i - self.missing)
 
 
 def _filesystem(path: str):
@@ -153,24 +154,42 @@ class _Words(dict):
         return ids
 
 
+#: What a tokenizer's steps must be for its words to be encoded one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUTS = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+
+
+def word_by_word(library) -> bool:
+    """Whether a text's ids are those of its words in turn, by the steps that the tokenizer names.
+
+    They must lower-case, cut at blanks and from a letter to a full stop or comma, and hold no added token without
+    ``<|``; nothing may be cut, padded or put around the text.
+    """
+    steps = json.loads(library.to_str())
+    plain = all(steps[k] is None for k in ("truncation", "padding", "post_processor")) and steps["model"]["type"] == "BPE" and not steps["model"].get("dropout")
+    return plain and steps["normalizer"] == _NORMALIZER and steps["pre_tokenizer"] == _CUTS and all("<|" in t["content"] for t in steps["added_tokens"])
+
+
 def _encoder(tokenizer_path: str):
     """text -> id bytes (u32), equal to the library's ``encode`` of the whole text.
 
-    This vocabulary lower-cases, and joins no characters over a blank or from a letter to a full stop or comma, so
-    a text's ids are those of its words in turn; each worker encodes a word once and remembers it. A text that may
-    hold a special token's string goes to the library as it is.
+    Where the tokenizer's steps allow it (``word_by_word``), each worker encodes a word once and remembers it; other
+    tokenizers, and texts that may hold a special token's string, take the library's own way.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     def load() -> tuple:
         library = Tokenizer.from_file(tokenizer_path)
-        return library, _Words(library)
+        return library, _Words(library) if word_by_word(library) else None
 
     library, words = worker_state("words", (tokenizer_path,), load)
 
     def encode(text: str) -> bytes:
-        if "<|" in text:
+        if words is None or "<|" in text:
             return array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(words.__getitem__, text.encode().translate(_LOWER).split()))
 
@@ -217,13 +236,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     Returns the manifest (part, seq, file, n_docs, n_ids), itself saved as Parquet beside the shards: only shards that
     it names count, so files of lost or repeated tasks do no harm. A null text is an empty one; documents
-    without a doc_id come first; rows of equal doc_id keep an order by their text; an empty table gives an empty
-    manifest; other columns are ignored. Range bounds come from a sample, so a hot doc_id is the only key that is
-    not split, and a partition streams through its task shard by shard.
+    without a doc_id come first; rows of equal doc_id stand in the order of their text's hash, then of their text; an
+    empty table gives an empty manifest; other columns are ignored. Ranges are cut by doc_id and that hash, so a hot
+    or missing doc_id is dealt out too, and a partition streams through its task shard by shard.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("copy", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "copy").sortWithinPartitions("doc_id", "copy", "text").select("doc_id", "text")
     made = ordered.mapInArrow(_writer(f"{folder}/shards", tokenizer_path, end_id, shard_ids), "part int, seq int, file string, n_docs long, n_ids long")
     made.write.parquet(f"{folder}/manifest")
     return spark.read.schema(made.schema).parquet(f"{folder}/manifest")
@@ -235,11 +255,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fs, path = _filesystem(file)
             with fs.open_input_stream(path) as f:
                 shard = Shard(f.read())
-            ends = shard.ends.values()
-            starts = np.concatenate([[0], ends[:-1]])
-            wide = memoryview(shard.ids.astype("<u4").tobytes())
-            sums = [zlib.crc32(wide[a * 4 : b * 4]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            columns = [pa.array(x, pa.int64()) for x in (shard.doc_ids(), base + starts, ends - starts, sums)]
+            at, rows = 0, []
+            for i in range(shard.n_docs):
+                end = shard.ends.select(i)
+                rows.append((shard.doc_id(i), base + at, end - at, zlib.crc32(shard.ids[at:end].astype("<u4").tobytes())))
+                at = end
+            columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 

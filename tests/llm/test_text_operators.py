@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from glyphflow.llm import decontaminate, near_copies, pieces, registry, simhash, token_counts, token_files, url_filter
 
+from glyphflow.llm.common import new_folder
+
 from ..conftest import SF
 
 P = pytest.importorskip("public_tokenizers")
@@ -52,11 +54,29 @@ def test_shard_random_access():
     ids = np.arange(70_000) % 66_000
     data = token_files.shard_bytes([None, -5, 7, 7], [1, 2, 0, 69_997], ids)
     shard = token_files.Shard(data)
-    assert shard.doc_ids() == [None, -5, 7, 7]
+    assert [shard.doc_id(i) for i in range(4)] == [None, -5, 7, 7]
     assert [len(shard.document(i)) for i in range(4)] == [1, 2, 0, 69_997]
     assert (shard.document(3) == ids[3:]).all()
 
 
+def test_other_tokenizers_take_the_library_itself(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    assert token_files.word_by_word(Tokenizer.from_file(P.path("word_bpe_49k.json"))) and not token_files.word_by_word(library)
+    got = {(r["doc_id"], r["n_tokens"]) for r in token_files.token_files(docs(spark, ODD), path).collect()}
+    assert got == {(d, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for d, t, _ in ODD}
+
+
+def test_rows_without_an_id_are_dealt_out(spark):
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"))
+    made = token_files.write_token_files(rows, new_folder(spark, "dealt"), P.path("word_bpe_49k.json"), partitions=4)
+    assert made.select("part").distinct().count() > 1
+    read = token_files.read_token_files(made).toPandas().sort_values("start")
+    assert len(read) == 4000 and (read["start"].iloc[1:].to_numpy() == (read["start"] + read["n_tokens"]).iloc[:-1].to_numpy()).all()
+
+
 def test_covering_masks_cover():
     masks = simhash.covering_masks(3)
     draw = random.Random(1)
