@@ -36,10 +36,11 @@ def symbols_of(ids: Column, dictionary: list[str]) -> Column:
 
 def ctc(ids: Column, probs: Column, dictionary: list[str]) -> tuple[Column, Column]:
     """(text, confidence): the first step of every run of equal ids, without blanks and ids outside the dictionary."""
-    steps = F.transform(F.sequence(F.lit(1), F.size(ids)), lambda k: F.struct(F.get(ids, k - 1).alias("id"), F.get(ids, k - 2).alias("last"), F.get(probs, k - 1).alias("p")))
-    steps = F.when(F.size(ids) > 0, steps).otherwise(F.slice(steps, 1, 0))
-    kept = F.filter(steps, lambda s: ~s["id"].eqNullSafe(s["last"]) & (s["id"] > 0) & (s["id"] < len(dictionary)))
-    return symbols_of(kept["id"], dictionary), product(kept["p"])
+    def kept(i: Column) -> Column:
+        at = F.get(ids, i)
+        return ~at.eqNullSafe(F.get(ids, i - 1)) & (at > 0) & (at < len(dictionary))
+
+    return symbols_of(F.filter(ids, lambda _, i: kept(i)), dictionary), product(F.filter(probs, lambda _, i: kept(i)))
 
 
 def attention(ids: Column, probs: Column, dictionary: list[str], stop: int = 1) -> tuple[Column, Column]:

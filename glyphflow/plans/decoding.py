@@ -101,13 +101,11 @@ SELECT conv_id, turn, word_no, array_to_string(list_transform(ids[1 : n], lambda
     "q_argmax_decode": _ARGMAX + "SELECT * FROM t",
     "q_decode_alnum_lower": _ARGMAX + "SELECT image_id, lower(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) AS text, conf FROM t",
     "q_upsidedown_select": f"""WITH {STEPS_SQL},
-two AS (SELECT conv_id, turn, word_no, 0 AS flip, ids, probs FROM steps UNION ALL
-        SELECT conv_id, turn, word_no, 1, list_reverse(ids), list_transform(range(1, len(probs) + 1), lambda i: greatest(list_reverse(probs)[i] - 0.01::DOUBLE * ((i - 1) % 3), 0.0::DOUBLE)) FROM steps),
-k AS (SELECT *, {_CTC} FROM two),
-r AS (SELECT conv_id, turn, word_no, flip, array_to_string(list_transform(kept, lambda k: substr({_SYM}, ids[k]::INT, 1)), '') AS text,
-       {_PRODUCT.format("list_transform(kept, lambda k: probs[k])")} AS conf FROM k)
-SELECT a.conv_id, a.turn, a.word_no, CASE WHEN b.conf > a.conf THEN b.text ELSE a.text END AS text, greatest(a.conf, b.conf) AS conf
-FROM r a JOIN r b USING (conv_id, turn, word_no) WHERE a.flip = 0 AND b.flip = 1""",
+two AS (SELECT conv_id, turn, word_no, ids, probs, list_reverse(ids) AS rids, list_transform(list_reverse(probs), lambda p, i: greatest(p - 0.01::DOUBLE * ((i - 1) % 3), 0.0::DOUBLE)) AS rprobs FROM steps),
+k AS (SELECT *, {_CTC}, {_CTC.replace("ids", "rids").replace("AS kept", "AS rkept")} FROM two),
+r AS (SELECT conv_id, turn, word_no, array_to_string(list_transform(kept, lambda k: substr({_SYM}, ids[k]::INT, 1)), '') AS a, array_to_string(list_transform(rkept, lambda k: substr({_SYM}, rids[k]::INT, 1)), '') AS b,
+       {_PRODUCT.format("list_transform(kept, lambda k: probs[k])")} AS ac, {_PRODUCT.format("list_transform(rkept, lambda k: rprobs[k])")} AS bc FROM k)
+SELECT conv_id, turn, word_no, CASE WHEN bc > ac THEN b ELSE a END AS text, greatest(ac, bc) AS conf FROM r""",
     "q_text_truncate": """SELECT conv_id, turn, strlen(text)::INT AS ch_len,
        CASE WHEN strlen(text) <= 63 THEN text ELSE substr(text, 1, list_max(list_filter(range(0, 64), lambda n: strlen(substr(text, 1, n)) <= 63))) END AS text FROM conversations""",
     "q_token_pad16": f"""WITH {STEPS_SQL}, w AS (SELECT *, list_concat([900], ids, [901]) AS t FROM steps)

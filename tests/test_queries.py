@@ -36,11 +36,11 @@ def test_matches_sql(spark, db, name):
     assert _rows(got, columns) == _rows(want, columns)
 
 
-@pytest.mark.parametrize("name", ["q_unclip_all", "q_homography_all"])
+@pytest.mark.parametrize("name", ["q_unclip", "q_homography"])
 def test_every_polygon_counts(spark, db, name):
     got = catalogue.queries()[name](spark, SF)
     assert {r["poly_id"] for r in got.select("poly_id").collect()} == {r[0] for r in db.sql("select o_orderkey from orders").fetchall()}
-    column = "x1" if name == "q_unclip_all" else "m0"
+    column = "x1" if name == "q_unclip" else "m0"
     flat = got.where("poly_id % 25 = 0")
     assert 0 < flat.where(f"{column} is null").count() < got.where("poly_id % 25 <= 3").count()
 
