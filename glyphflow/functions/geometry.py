@@ -107,3 +107,9 @@ def bounding_box(p: list[Point]) -> tuple[Column, Column, Column, Column]:
 def rescale(p: list[Point], sx: Column, sy: Column) -> list[Point]:
     """Scaled, cut to integers toward zero."""
     return [((x * sx).cast("int"), (y * sy).cast("int")) for x, y in p]
+
+
+def source_scale(height: Column, width: Column, to_height: int, to_width: int, keep_aspect: bool) -> tuple[Column, Column]:
+    """(x, y) scales from a canvas back to the source: one for both axes where the resize kept the aspect."""
+    sx, sy = width / float(to_width), height / float(to_height)
+    return (F.greatest(sx, sy), F.greatest(sx, sy)) if keep_aspect else (sx, sy)

@@ -64,3 +64,35 @@ def resize(raster: Column, height: int, width: int, to_height: int, to_width: in
 def flipped(raster: Column) -> Column:
     """The raster turned by 180 degrees."""
     return F.reverse(raster)
+
+
+def keep_aspect_scale(height: float, width: float, to_height: int, to_width: int) -> float:
+    """Source pixels for each pixel of the largest resize that keeps the aspect and fits the canvas."""
+    return width / to_width if width / height >= to_width / to_height else height / to_height
+
+
+def resize_keep_aspect(raster: Column, height: int, width: int, to_height: int, to_width: int) -> Column:
+    """Bilinear resize in one scale, at the canvas's top left; what the image doesn't reach is 0.
+
+    A sample's neighbours beyond the image count as the nearest pixel's own value, so the image's edge isn't darkened.
+    """
+    scale = keep_aspect_scale(height, width, to_height, to_width)
+    rows, cols = int(height / scale + 1e-9), int(width / scale + 1e-9)
+    inside = lambda x, most: F.least(F.greatest(x, F.lit(0.0)), F.lit(float(most - 1)))
+
+    def at(k: Column) -> Column:
+        y, x = F.floor(k / to_width), k % to_width
+        value = bilinear(raster, height, width, inside((y + 0.5) * scale - 0.5, height), inside((x + 0.5) * scale - 0.5, width))
+        return F.when((y < rows) & (x < cols), value).otherwise(F.lit(0.0))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(to_height * to_width - 1)), at)
+
+
+def detector_input(channels: tuple[Column, Column, Column], height: int, width: int, to_height: int, to_width: int, keep_aspect: bool = False) -> Column:
+    """Blue, green and red planes of an image (row-major arrays), resized and normalised, one plane after the other."""
+    fit = resize_keep_aspect if keep_aspect else resize
+
+    def plane(channel: Column, mean: float) -> Column:
+        return F.transform(fit(channel, height, width, to_height, to_width), lambda v: (v - mean) * SCALE)
+
+    return F.concat(*(plane(c, m) for c, m in zip(channels, MEANS, strict=True)))

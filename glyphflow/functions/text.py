@@ -40,3 +40,14 @@ def keep_charset(text: Column, kept: str = "a-zA-Z0-9", case: str | None = None)
     """Only characters of a class, optionally in one case."""
     text = F.regexp_replace(text, f"[^{kept}]", "")
     return F.lower(text) if case == "lower" else F.upper(text) if case == "upper" else text
+
+
+def split_values(text: Column, mark: str = ",") -> Column:
+    """The parts between marks, in order; an empty part after the last mark doesn't count, others do. None for null."""
+    parts = F.split(F.coalesce(text, F.lit("")), f"[{mark}]", -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
+def split_ints(text: Column, mark: str = ",") -> Column:
+    """``split_values`` as whole numbers; null for a part that is none."""
+    return F.transform(split_values(text, mark), lambda x: F.trim(x).try_cast("int"))

@@ -59,7 +59,9 @@ def find_contours(mask: np.ndarray) -> list[list[tuple[int, int]]]:
     padded = np.pad(mask.astype(bool), 1)
     marks = padded.astype(np.int64)
     out, number = [], 1
-    for y, x in np.argwhere(padded):
+    # a border begins where the background lies to the left or to the right
+    ends = padded & ~(np.roll(padded, 1, 1) & np.roll(padded, -1, 1))
+    for y, x in np.argwhere(ends):
         outer = marks[y, x] == 1 and not padded[y, x - 1]
         hole = not outer and marks[y, x] >= 1 and not padded[y, x + 1]
         if outer or hole:

@@ -16,6 +16,25 @@ class Recogniser(Protocol):
     def __call__(self, crops: np.ndarray) -> tuple[np.ndarray, np.ndarray]: ...
 
 
+class Detector(Protocol):
+    """A model: images (n, height, width) in, text probabilities of the same shape out. It is pickled to the tasks."""
+
+    def __call__(self, images: np.ndarray) -> np.ndarray: ...
+
+
+class MatrixRecogniser(Protocol):
+    """A model: crops (n, height, width) in, scores (n, steps, symbols) out. It is pickled to the tasks."""
+
+    def __call__(self, crops: np.ndarray) -> np.ndarray: ...
+
+
+class StubDetector:
+    """Stands in for a model: brightness is taken for the probability of text."""
+
+    def __call__(self, images: np.ndarray) -> np.ndarray:
+        return np.clip(images, 0, 1)
+
+
 class StubRecogniser:
     """Stands in for a model, as no weights are included: a step's id is its column's mean brightness class."""
 
@@ -28,6 +47,28 @@ class StubRecogniser:
         return np.minimum((share * self.classes).astype(int), self.classes - 1), 0.5 + share / 2
 
 
+class StubMatrixRecogniser(StubRecogniser):
+    """The same as score matrices: the class's score stands out."""
+
+    def __call__(self, crops: np.ndarray) -> np.ndarray:
+        ids, probs = super().__call__(crops)
+        out = np.zeros((*ids.shape, self.classes))
+        np.put_along_axis(out, ids[..., None], probs[..., None], 2)
+        return out
+
+
+def detect(images: DataFrame, model: Detector) -> DataFrame:
+    """Probability maps (image_id, h, w, p) of images of the same columns; images of one size run together."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for (h, w), own in b.groupby(["h", "w"]):
+                maps = model(np.array(own["p"].tolist(), float).reshape(-1, h, w))
+                yield pd.DataFrame({"image_id": own["image_id"], "h": h, "w": w, "p": maps.reshape(len(own), -1).tolist()})
+
+    return images.select("image_id", "h", "w", "p").mapInPandas(scan, "image_id long, h int, w int, p array<double>")
+
+
 def warp(image: np.ndarray, matrix: np.ndarray, height: int, width: int) -> np.ndarray:
     """Crop through a 3 x 3 matrix from crop to image places, bilinear; 0 outside the image."""
     u, v = np.meshgrid(np.arange(width), np.arange(height))
@@ -44,21 +85,31 @@ def warp(image: np.ndarray, matrix: np.ndarray, height: int, width: int) -> np.n
     return out
 
 
-def recognise(regions: DataFrame, model: Recogniser, height: int = 32, width: int = 100, upside_down: bool = False) -> DataFrame:
-    """Step ids and probabilities of every region (image_id, poly_idx, h, w, p, m0..m8), each once per orientation.
+def recognise(images: DataFrame, model: Recogniser | MatrixRecogniser, height: int = 32, width: int = 100, upside_down: bool = False, matrices: bool = False) -> DataFrame:
+    """Steps of every region of images (image_id, h, w, p, regions), each region once per orientation.
 
-    One pass of Python: crop and model share it, and decoding stays in column expressions. A region without a matrix
-    gives no steps.
+    ``regions`` is an array of structs with poly_idx, poly (array<int>) and m (the nine coefficients, or null). The
+    output has image_id, poly_idx, poly, orientation, and ids with probs or, for ``matrices``, scores. An image meets
+    its regions in its own row, so its pixels travel once; crop and model share a pass of Python, and decoding stays
+    in column expressions. A region without coefficients has one row, without steps.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b.dropna(subset=["m8"])
-            crops = [warp(np.array(r.p, float).reshape(r.h, r.w), np.array([getattr(r, f"m{i}") for i in range(9)]), height, width) for r in b.itertuples()]
-            if not crops:
-                continue
-            for way in (0, 1)[: 1 + upside_down]:
-                ids, probs = model(np.stack(crops)[:, ::-1, ::-1] if way else np.stack(crops))
-                yield pd.DataFrame({"image_id": b["image_id"], "poly_idx": b["poly_idx"], "orientation": way, "ids": ids.tolist(), "probs": probs.tolist()})
-
-    return regions.mapInPandas(scan, "image_id long, poly_idx int, orientation int, ids array<int>, probs array<double>")
+            for r in b.itertuples():
+                image = np.array(r.p, float).reshape(r.h, r.w)
+                whole = [x for x in r.regions if x["m"] is not None]
+                lost = [x for x in r.regions if x["m"] is None]
+                frame = lambda rows, way: {"image_id": r.image_id, "poly_idx": [x["poly_idx"] for x in rows], "poly": [list(x["poly"]) for x in rows], "orientation": way}  # noqa: B023, E731
+                if lost:
+                    yield pd.DataFrame(frame(lost, 0) | dict.fromkeys(columns, None))
+                if not whole:
+                    continue
+                crops = np.stack([warp(image, np.array(x["m"], float), height, width) for x in whole])
+                for way in (0, 1)[: 1 + upside_down]:
+                    made = model(crops[:, ::-1, ::-1] if way else crops)
+                    yield pd.DataFrame(frame(whole, way) | dict(zip(columns, (x.tolist() for x in ((made,) if matrices else made)), strict=True)))
+
+    columns = ["scores"] if matrices else ["ids", "probs"]
+    kinds = "scores array<array<double>>" if matrices else "ids array<int>, probs array<double>"
+    return images.mapInPandas(scan, f"image_id long, poly_idx int, poly array<int>, orientation int, {kinds}")

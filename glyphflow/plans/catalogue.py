@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decoding, rasters, recognition, shapes, streams, tokens
+from . import decoding, files, rasters, recognition, shapes, streams, tokens
 
-_PLANS = (decoding, shapes, rasters, tokens, recognition, streams)
+_PLANS = (decoding, shapes, rasters, tokens, recognition, streams, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

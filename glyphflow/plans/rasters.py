@@ -46,6 +46,18 @@ def q_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("image_id", "at", F.round("v", 9).alias("v"))
 
 
+def q_keep_aspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every map resized from 8 x 8 into a canvas of 5 x 9 in one scale, as pixel rows."""
+    made = rasters(spark, sf_dir).select("image_id", F.posexplode(pixels.resize_keep_aspect(F.col("p"), 8, 8, 5, 9)).alias("at", "v"))
+    return made.select("image_id", "at", F.round("v", 9).alias("v"))
+
+
+def q_detector_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detector's input of every map: three planes of 4 x 4, resized and normalised."""
+    planes = pixels.detector_input((F.col("p"), F.reverse("p"), F.transform("p", lambda v: v * 2)), 8, 8, 4, 4)
+    return rasters(spark, sf_dir).select("image_id", F.posexplode(planes).alias("at", "v")).select("image_id", "at", F.round("v", 9).alias("v"))
+
+
 def q_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters(spark, sf_dir).select("image_id", F.posexplode(pixels.flipped(F.col("p"))).alias("at", "v"))
 
@@ -60,7 +72,7 @@ def q_contour_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GRAY = "((b * 3735 + g * 19235 + r * 9798 + 16384) >> 15)"
-QUERIES = [q_normalize_bgr, q_gray, q_rgb_clip, q_binarize, q_mask_mean, q_bilinear, q_flip, q_contours, q_contour_candidates]
+QUERIES = [q_normalize_bgr, q_gray, q_rgb_clip, q_binarize, q_mask_mean, q_bilinear, q_keep_aspect, q_detector_input, q_flip, q_contours, q_contour_candidates]
 SQL = {
     "q_normalize_bgr": f"""WITH {COLOURS_SQL} SELECT l_orderkey, l_linenumber, round((b - 104.00698793::DOUBLE) * 0.00392156::DOUBLE, 9) AS nb,
 round((g - 116.66876762::DOUBLE) * 0.00392156::DOUBLE, 9) AS ng, round((r - 122.67891434::DOUBLE) * 0.00392156::DOUBLE, 9) AS nr FROM pixels""",
@@ -76,5 +88,16 @@ f AS (SELECT at_, trunc(y)::INT AS y0, trunc(x)::INT AS x0, y - trunc(y) AS fy,
 t AS (SELECT at_, y0 + dy AS yy, x0 + dx AS xx, CASE dy WHEN 0 THEN 1 - fy ELSE fy END * CASE dx WHEN 0 THEN 1 - fx ELSE fx END AS wt FROM f, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx)),
 s AS (SELECT vec_id AS image_id, at_, sum(CASE WHEN yy BETWEEN 0 AND 7 AND xx BETWEEN 0 AND 7 THEN embedding[greatest(0, least(63, yy * 8 + xx)) + 1]::DOUBLE * wt ELSE 0 END) AS v FROM embeddings, t GROUP BY ALL)
 SELECT image_id, at_ AS "at", round(v, 9) AS v FROM s""",
+    "q_keep_aspect": """WITH k AS (SELECT unnest(range(0, 45))::INT AS at_),
+c AS (SELECT at_, at_ // 9 AS r, at_ % 9 AS q, least(7.0, greatest(0.0, (at_ // 9 + 0.5::DOUBLE) * 1.6::DOUBLE - 0.5::DOUBLE)) AS y, least(7.0, greatest(0.0, (at_ % 9 + 0.5::DOUBLE) * 1.6::DOUBLE - 0.5::DOUBLE)) AS x FROM k),
+f AS (SELECT at_, q, trunc(y)::INT AS y0, trunc(x)::INT AS x0, y - trunc(y) AS fy, x - trunc(x) AS fx FROM c),
+t AS (SELECT at_, q, y0 + dy AS yy, x0 + dx AS xx, CASE dy WHEN 0 THEN 1 - fy ELSE fy END * CASE dx WHEN 0 THEN 1 - fx ELSE fx END AS wt FROM f, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx)),
+s AS (SELECT vec_id AS image_id, at_, sum(CASE WHEN q < 5 AND yy <= 7 AND xx <= 7 THEN embedding[least(63, yy * 8 + xx) + 1]::DOUBLE * wt ELSE 0 END) AS v FROM embeddings, t GROUP BY ALL)
+SELECT image_id, at_ AS "at", round(v, 9) AS v FROM s""",
+    "q_detector_input": """WITH k AS (SELECT unnest(range(0, 48))::INT AS at_),
+v AS (SELECT vec_id AS image_id, at_, at_ // 16 AS c, (at_ % 16) // 4 * 2 AS y, at_ % 4 * 2 AS x, embedding FROM embeddings, k),
+m AS (SELECT image_id, at_, c, CASE c WHEN 1 THEN (embedding[64 - y * 8 - x]::DOUBLE + embedding[63 - y * 8 - x] + embedding[56 - y * 8 - x] + embedding[55 - y * 8 - x]) / 4
+             ELSE (embedding[y * 8 + x + 1]::DOUBLE + embedding[y * 8 + x + 2] + embedding[y * 8 + x + 9] + embedding[y * 8 + x + 10]) / 4 * CASE c WHEN 2 THEN 2 ELSE 1 END END AS v FROM v)
+SELECT image_id, at_ AS "at", round((v - CASE c WHEN 0 THEN 104.00698793::DOUBLE WHEN 1 THEN 116.66876762::DOUBLE ELSE 122.67891434::DOUBLE END) * 0.00392156::DOUBLE, 9) AS v FROM m""",
     "q_flip": """SELECT vec_id AS image_id, k AS "at", embedding[64 - k]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(0, 64))::INT AS k)""",
 }

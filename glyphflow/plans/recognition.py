@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import OcrConfig
 from ..functions import decode, pixels, tiling
 from ..functions import geometry as g
 from ..operators import contours, results
-from ..operators.recognise import Recogniser, StubRecogniser, recognise
+from ..operators.recognise import Detector, MatrixRecogniser, Recogniser, StubDetector, StubMatrixRecogniser, StubRecogniser, detect, recognise
 from .inputs import SYMBOLS, rasters
 
 
@@ -25,10 +26,11 @@ def _held(df: DataFrame) -> DataFrame:
     return df.mapInArrow(scan, df.schema)
 
 
-def texts(prob_maps: DataFrame, config: OcrConfig, model: Recogniser, symbols: list[str] = SYMBOLS) -> DataFrame:
+def texts(prob_maps: DataFrame, config: OcrConfig, model: Recogniser | MatrixRecogniser, symbols: list[str] = SYMBOLS) -> DataFrame:
     """image_id, poly_idx, x1..y4, text, conf of every region; images (image_id, h, w, p) without text give no rows.
 
-    Every step is a projection on rows that carry their image's id, so only the grouping of orientations shuffles.
+    image_id is unique. Contours are found once; an image's regions are gathered (``max_candidates`` at most) and meet
+    its map in one row, so the only shuffles are by image_id.
     """
     found = contours.candidates(contours.contours(prob_maps, config.binarize_threshold), config.max_candidates, config.polygon_threshold)
     box = {n: F.get("box", F.lit(i // 2))["xy"[i % 2]].cast("int") for i, n in enumerate(results.POLY)}
@@ -36,39 +38,95 @@ def texts(prob_maps: DataFrame, config: OcrConfig, model: Recogniser, symbols: l
     grown = _held(g.with_unclipped(boxed, config.unclip_ratio)).dropna()
     formed = _held(g.with_corners(grown, config.rotation_threshold))
     corners = [(F.col(f"{c}.x"), F.col(f"{c}.y")) for c in ("tl", "tr", "br", "bl")]
-    m = g.homography(corners, config.crop_width, config.crop_height)
-    regions = formed.join(prob_maps, "image_id").select("image_id", "poly_idx", "h", "w", "p", *(c.alias(f"m{i}") for i, c in enumerate(m)))
-    steps = recognise(regions, model, config.crop_height, config.crop_width, config.upside_down)
+    m = F.array(*g.homography(corners, config.crop_width, config.crop_height))
+    region = F.struct("poly_idx", F.array(*results.POLY).alias("poly"), F.when(F.get(m, F.lit(8)).isNotNull(), m).alias("m"))
+    images = formed.groupBy("image_id").agg(F.array_sort(F.collect_list(region)).alias("regions")).join(prob_maps.select("image_id", "h", "w", "p"), "image_id")
+    matrices = config.decoder == "transformer"
+    steps = recognise(images.select("image_id", "h", "w", "p", "regions"), model, config.crop_height, config.crop_width, config.upside_down, matrices)
     if config.decoder == "ctc":
         text, conf = decode.ctc(F.col("ids"), F.col("probs"), decode.ctc_dictionary(symbols))
     elif config.decoder == "attention":
         text, conf = decode.attention(F.col("ids"), F.col("probs"), decode.attention_dictionary(symbols))
     else:
-        raise ValueError("this plan's model gives ids and probabilities; the transformer decoder takes score matrices")
+        text, conf = decode.transformer(F.col("scores"), decode.transformer_dictionary(symbols), config.only_alnum, config.only_lowercase)
     if config.only_alnum:
         text = F.regexp_replace(text, "[^a-zA-Z0-9]", "")
     if config.only_lowercase:
         text = decode.ascii_lower(text)
-    read = steps.select("image_id", "poly_idx", "orientation", F.struct(conf.alias("conf"), (-F.col("orientation")).alias("o"), text.alias("text")).alias("s"))
-    best = read.groupBy("image_id", "poly_idx").agg(F.max("s").alias("s"))
-    return grown.join(best, ["image_id", "poly_idx"], "left").select("image_id", "poly_idx", *results.POLY, "s.text", "s.conf")
+    read = steps.select("image_id", "poly_idx", "poly", F.struct(conf.alias("conf"), (-F.col("orientation")).alias("o"), text.alias("text")).alias("s"))
+    best = read.groupBy("image_id", "poly_idx", "poly").agg(F.max("s").alias("s"))
+    return best.select("image_id", "poly_idx", *(F.get("poly", F.lit(i)).alias(n) for i, n in enumerate(results.POLY)), "s.text", "s.conf")
+
+
+def cut_tiles(maps: DataFrame, height: int, width: int, tile: int, overlap: int) -> DataFrame:
+    """Tiles (image_id, row, col, h, w, p) that cover maps of one size; beyond the map they hold 0."""
+    grid = maps.select("image_id", "p", F.explode(tiling.tiles(F.lit(height), F.lit(width), tile, overlap)).alias("t"))
+
+    def line(y: Column) -> Column:
+        own = F.slice("p", y * width + F.col("t.left") + 1, F.least(F.lit(tile), F.lit(width) - F.col("t.left")))
+        zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+        return F.when(y < height, F.concat(own, zeros(F.lit(tile) - F.size(own)))).otherwise(zeros(F.lit(tile)))
+
+    p = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(tile - 1)), lambda y: line(F.col("t.top") + y)))
+    return grid.select("image_id", F.col("t.row").alias("row"), F.col("t.col").alias("col"), F.lit(tile).alias("h"), F.lit(tile).alias("w"), p.alias("p"))
 
 
 def merged_tiles(tile_maps: DataFrame, height: int, width: int, tile: int, overlap: int) -> DataFrame:
-    """One map per image from its tiles' maps (image_id, row, col, p): each canvas pixel comes from its owner."""
+    """One map per image from its tiles' maps (image_id, row, col, p): each canvas pixel comes from its owner.
+
+    A tile owns a rectangle. It is cut into slices of lines before the shuffle, and an image's slices are put end to
+    end in order; no row stands for a pixel.
+    """
     rows, cols = tiling.tile_count(F.lit(height), tile, overlap), tiling.tile_count(F.lit(width), tile, overlap)
-    step = tile - overlap
-    px = tile_maps.select("image_id", "row", "col", F.posexplode("p").alias("k", "v"))
-    placed = px.withColumn("y", (F.col("row") * step + F.floor(F.col("k") / tile)).cast("int")).withColumn("x", (F.col("col") * step + F.col("k") % tile).cast("int"))
-    owned = placed.where((tiling.owner(F.col("y"), rows, tile, overlap) == F.col("row")) & (tiling.owner(F.col("x"), cols, tile, overlap) == F.col("col")))
-    grouped = owned.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("all"), (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    return grouped.select("image_id", "h", "w", F.col("all.v").alias("p"))
+    canvas = [(tiling.tile_count(F.lit(n), tile, overlap) - 1) * (tile - overlap) + tile for n in (height, width)]
+    # from half an overlap in, but for the outermost tiles
+    low = lambda at: F.when(F.col(at) == 0, 0).otherwise(F.col(at) * (tile - overlap) + overlap // 2)
+    high = lambda at, count, end: F.when(F.col(at) == count - 1, end).otherwise((F.col(at) + 1) * (tile - overlap) + overlap // 2)
+    own = tile_maps.withColumns({"y0": low("row"), "y1": high("row", rows, canvas[0]), "x0": low("col"), "x1": high("col", cols, canvas[1])})
+    # what lies beyond the map is dropped with the padding
+    own = own.withColumns({"y1": F.least("y1", F.lit(height)), "x1": F.least("x1", F.lit(width))}).where("y0 < y1 and x0 < x1")
+    lines = F.transform(F.sequence(F.col("y0"), F.col("y1") - 1), lambda y: F.struct(y.alias("y"), F.col("x0").alias("x"), F.slice("p", (y - F.col("row") * (tile - overlap)) * tile + F.col("x0") - F.col("col") * (tile - overlap) + 1, F.col("x1") - F.col("x0")).alias("v")))
+    grouped = own.select("image_id", lines.alias("lines")).groupBy("image_id").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("all"))
+    return grouped.select("image_id", F.lit(height).alias("h"), F.lit(width).alias("w"), F.flatten("all.v").alias("p"))
+
+
+def image_texts(images: DataFrame, height: int, width: int, config: OcrConfig, detector: Detector, model: Recogniser | MatrixRecogniser, tiled: bool = False, symbols: list[str] = SYMBOLS) -> DataFrame:
+    """``texts`` of images of one size (image_id, h, w, p), detected whole or, for ``tiled``, in tiles that are merged before recognition."""
+    if not tiled:
+        return texts(detect(images, detector), config, model, symbols)
+    overlap = int(config.tile * config.overlap_rate)
+    tiles = cut_tiles(images, height, width, config.tile, overlap)
+    found = detect_tiles(tiles.select(F.struct("image_id", "row", "col").alias("place"), "h", "w", "p"), detector)
+    return texts(merged_tiles(found.select("place.*", "p"), height, width, config.tile, overlap), config, model, symbols)
+
+
+def detect_tiles(tiles: DataFrame, detector: Detector) -> DataFrame:
+    """Maps ``p`` of tiles (place, h, w, p), all of one size, each with its place."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                h, w = b.column("h")[0].as_py(), b.column("w")[0].as_py()
+                maps = detector(np.array(b.column("p").to_pylist(), float).reshape(-1, h, w))
+                yield pa.RecordBatch.from_arrays([b.column("place"), pa.array(maps.reshape(len(maps), -1).tolist(), pa.list_(pa.float64()))], ["place", "p"])
+
+    return tiles.select("place", "h", "w", "p").mapInArrow(scan, "place struct<image_id: bigint, row: int, col: int>, p array<double>")
+
+
+def _enlarged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of 8 x 8 enlarged to 16 x 16."""
+    return rasters(spark, sf_dir).select("image_id", F.lit(16).alias("h"), F.lit(16).alias("w"), pixels.resize(F.col("p"), 8, 8, 16, 16).alias("p"))
 
 
 def q_rect_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maps of 8 x 8 enlarged to 16 x 16, through detection, geometry, the stub model and decoding."""
-    maps = rasters(spark, sf_dir).select("image_id", F.lit(16).alias("h"), F.lit(16).alias("w"), pixels.resize(F.col("p"), 8, 8, 16, 16).alias("p"))
-    return texts(maps, OcrConfig(binarize_threshold=0.1, polygon_threshold=0.1, upside_down=True), StubRecogniser())
+    """Every enlarged map through detection, geometry, the stub model and decoding."""
+    return image_texts(_enlarged(spark, sf_dir), 16, 16, OcrConfig(binarize_threshold=0.1, polygon_threshold=0.1, upside_down=True), StubDetector(), StubRecogniser())
+
+
+def q_tiled_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in tiles of 8 with half an overlap, recognised once on the merged maps, by the transformer decoder."""
+    config = OcrConfig(binarize_threshold=0.1, polygon_threshold=0.1, decoder="transformer", tile=8, overlap_rate=0.5)
+    return image_texts(_enlarged(spark, sf_dir), 16, 16, config, StubDetector(), StubMatrixRecogniser(), tiled=True)
 
 
 def q_tile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +137,5 @@ def q_tile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("image_id", F.posexplode("p").alias("at", "v"))
 
 
-QUERIES = [q_rect_pipeline, q_tile_merge]
+QUERIES = [q_rect_pipeline, q_tiled_pipeline, q_tile_merge]
 SQL = {"q_tile_merge": 'SELECT vec_id AS image_id, k AS "at", embedding[k + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(0, 64))::INT AS k)'}

@@ -13,11 +13,16 @@ def q_frame_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.windowed_counts(table(spark, sf_dir, "events"))
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a file stream."""
+    schema = table(spark, sf_dir, "events").schema
+    # a stream reads folders: the table's files as a glob
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet*")
+
+
 def q_stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event through a file stream, by a stateless projection with exactly-once files."""
-    schema, folder = table(spark, sf_dir, "events").schema, s.scratch(spark)
-    # a stream reads folders: the table's files as a glob
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet*")
+    folder, stream = s.scratch(spark), event_stream(spark, sf_dir)
     picked = stream.select("event_id", F.col("user_id").alias("stream_id"), F.col("ts"), F.round(F.col("value") * 2, 6).alias("doubled"))
     s.run_available(picked, f"{folder}/out", f"{folder}/state")
     return spark.read.schema("event_id long, stream_id long, ts timestamp_ntz, doubled double").parquet(f"{folder}/out")

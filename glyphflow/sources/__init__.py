@@ -1 +1 @@
-
+"""Readers and writers of the recognition dataflow's files."""

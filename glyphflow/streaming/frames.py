@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -23,6 +23,12 @@ def windowed_counts(frames: DataFrame, late: str = "1 hour", width: str = "1 hou
     return grouped.select("stream_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n_frames", "value")
 
 
+def numbered(frames: DataFrame) -> DataFrame:
+    """``frame_num`` of every frame (stream_id, ts, event_id) in its stream, from 0, by time and then by id; for tables."""
+    order = Window.partitionBy("stream_id").orderBy("ts", "event_id")
+    return frames.withColumn("frame_num", F.row_number().over(order).cast("long") - 1)
+
+
 def run_available(frames: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Drain what is there into Parquet files below ``path`` and stop: each input file counts once, over restarts too."""
     frames.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -32,6 +38,8 @@ def scratch(spark: SparkSession) -> str:
     """A folder for a stream's output and checkpoint: below the cluster's shared folder, or a temporary one without it."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         return "file://" + tempfile.mkdtemp(prefix="glyphflow-stream-")
     import uuid
 

@@ -5,12 +5,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphflow.config import OcrConfig
-from glyphflow.functions import decode, tiling
+from glyphflow.functions import decode, pixels, tiling
 from glyphflow.functions import geometry as g
 from glyphflow.functions import text as t
-from glyphflow.operators import bpe
+from glyphflow.operators import bpe, results
 from glyphflow.operators.contours import contour_score, find_contours, min_area_box
+from glyphflow.operators.recognise import StubDetector, StubMatrixRecogniser, StubRecogniser, warp
 from glyphflow.operators.results import POLY
+from glyphflow.plans import catalogue, recognition
+from glyphflow.sources import files
+
+from .conftest import SF
 
 
 def one(spark, *columns):
@@ -93,3 +98,150 @@ def test_config():
     for bad in ({"binarize_threshold": 0}, {"unclip_ratio": -1}, {"decoder": "x"}, {"overlap_rate": 1.0}):
         with pytest.raises(ValueError):
             OcrConfig(**bad)
+
+
+def test_files(spark, tmp_path):
+    for name in ("b.jpg", "a.png", "c.JPG", "d.txt"):
+        (tmp_path / name).write_bytes(b"xy")
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "e.jpg").write_bytes(b"z")
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in files.image_files(spark, str(tmp_path)).select("path").collect()) == ["a.png", "b.jpg"]
+    (tmp_path / "symbols.txt").write_text("a\nb\n c\n\n")
+    path = str(tmp_path / "symbols.txt")
+    assert files.lines(spark, path) == ["a", "b", " c", ""]
+    assert files.dictionary(spark, path, "ctc") == ["", "a", "b", " c", ""]
+    assert files.dictionary(spark, path, "attention")[:3] == ["[GO]", "[s]", "a"]
+    assert files.dictionary(spark, path, "transformer")[-2:] == ["[B]", "[P]"]
+    (tmp_path / "merges.txt").write_text("#version\nt h\nbad\nth e</w>\no n\n")
+    assert files.merges(spark, str(tmp_path / "merges.txt")) == [("t", "h"), ("th", "e</w>"), ("o", "n")]
+    assert files.merges(spark, str(tmp_path / "merges.txt"), files.UNMERGED + 3) == [("t", "h"), ("th", "e</w>")]
+    assert files.merges(spark, str(tmp_path / "merges.txt"), 5) == []
+
+
+def test_text_and_json_results(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, *range(8), "b, c", 0.5), (1, 0, *range(8), "a", 0.25), (2, 0, *range(8), None, None)], ["image_id", "poly_idx", *POLY, "text", "conf"])
+    files.write_text_lines(rows, str(tmp_path / "out"))
+    written = {p.parent.name: p.read_text() for p in (tmp_path / "out").glob("*/*.txt")}
+    assert written == {"image_id=1": "a, [0, 1, 2, 3, 4, 5, 6, 7]\nb, c, [0, 1, 2, 3, 4, 5, 6, 7]\n"}
+    read = files.read_json_results(results.json_results(rows)).orderBy("image_id", "at").collect()
+    assert [(r["image_id"], r["at"], r["text"], r["text_conf"], r["poly"]) for r in read] == [(1, 0, "a", 0.25, [*range(8)]), (1, 1, "b, c", 0.5, [*range(8)]), (2, 0, None, None, [*range(8)])]
+    bad = spark.createDataFrame([(1, "{"), (2, None), (3, "[]")], "image_id int, json string")
+    assert files.read_json_results(bad).where("text is not null").count() == 0
+
+
+def test_split_values(spark):
+    assert one(spark, t.split_values(F.lit("a,,b,")))[0] == ["a", "", "b"]
+    assert one(spark, t.split_values(F.lit("")))[0] == one(spark, t.split_values(F.lit(None).cast("string")))[0] == []
+    assert one(spark, t.split_ints(F.lit("1, 2,x,")))[0] == [1, 2, None]
+
+
+def test_merge_file_equals_the_tokenizer(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    got = {r["item_id"]: r["ids"] for r in catalogue.queries()["q_bpe_file"](spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    assert len(got) == len(rows) > 0
+    assert all(got[r["item_id"]] == library.encode(r["text"], add_special_tokens=False).ids for r in rows if r["text"].isascii())
+
+
+def test_keep_aspect(spark):
+    flat = F.array(*[F.lit(2.0)] * 8)
+    got = one(spark, pixels.resize_keep_aspect(flat, 2, 4, 4, 4))[0]
+    assert got == [2.0] * 8 + [0.0] * 8
+    assert pixels.keep_aspect_scale(720, 1280, 736, 1280) == 1.0 and pixels.keep_aspect_scale(100, 50, 50, 50) == 2.0
+    assert tuple(one(spark, *g.source_scale(F.lit(720), F.lit(1280), 360, 320, True))) == (4.0, 4.0)
+    assert tuple(one(spark, *g.source_scale(F.lit(720), F.lit(1280), 360, 320, False))) == (4.0, 2.0)
+
+
+def _pages(spark, n=40):
+    draw = np.random.default_rng(7)
+    rows = [(i, 24, 20, np.kron(draw.random((6, 5)) > 0.55, np.ones((4, 4))).ravel().tolist()) for i in range(n)]
+    return spark.createDataFrame([*rows, (n, 24, 20, [0.0] * 480)], "image_id long, h int, w int, p array<double>")
+
+
+@pytest.mark.parametrize("decoder", ["ctc", "attention", "transformer"])
+def test_tiled_and_whole_images_read_alike(spark, decoder):
+    config = OcrConfig(decoder=decoder, upside_down=True, tile=8, overlap_rate=0.5, only_lowercase=True)
+    model = StubMatrixRecogniser() if decoder == "transformer" else StubRecogniser()
+    whole = recognition.image_texts(_pages(spark), 24, 20, config, StubDetector(), model).collect()
+    tiled = recognition.image_texts(_pages(spark), 24, 20, config, StubDetector(), model, tiled=True).collect()
+    assert sorted(whole, key=str) == sorted(tiled, key=str) and len(whole) > 40
+    assert 40 not in {r["image_id"] for r in whole}
+    assert all(r["conf"] is None or 0 < r["conf"] <= 1 for r in whole)
+
+
+def test_texts_against_a_plain_walk(spark):
+    config = OcrConfig(upside_down=True)
+    model, got = StubRecogniser(), {}
+    for r in recognition.texts(_pages(spark), config, model).collect():
+        got[r["image_id"], r["poly_idx"]] = (tuple(r[c] for c in POLY), r["text"], r["conf"])
+    want = {}
+    for page in _pages(spark).collect():
+        prob = np.array(page["p"]).reshape(24, 20)
+        for k, pts in enumerate(find_contours(prob > config.binarize_threshold)[: config.max_candidates]):
+            w, h, box = min_area_box(pts)
+            if contour_score(prob, pts) < config.polygon_threshold or min(w, h) < 1:
+                continue
+            grown = g.with_unclipped(spark.createDataFrame([tuple(int(v) for p in box for v in p)], POLY), config.unclip_ratio)
+            made = g.with_corners(grown).select(*POLY, "tl", "tr", "br", "bl").first()
+            quad = [(made[c]["x"], made[c]["y"]) for c in ("tl", "tr", "br", "bl")]
+            system, target = [], []
+            for (x, y), (u, v) in zip(quad, ((0, 0), (100, 0), (100, 32), (0, 32)), strict=True):
+                system += [[u, v, 1, 0, 0, 0, -u * x, -v * x], [0, 0, 0, u, v, 1, -u * y, -v * y]]
+                target += [x, y]
+            crop = warp(prob, np.append(np.linalg.solve(system, target), 1.0), 32, 100)
+            best = None
+            for way in (crop, crop[::-1, ::-1]):
+                ids, probs = (x[0] for x in model(way[None]))
+                kept = [i for i in range(len(ids)) if ids[i] and (not i or ids[i] != ids[i - 1])]
+                read = ("".join("abcdefghijklmnopqrstuvwxyz0123456789"[ids[i] - 1] for i in kept), float(np.prod(probs[kept])))
+                best = read if best is None or read[1] > best[1] + 1e-12 else best
+            want[page["image_id"], k] = (tuple(made[c] for c in POLY), *best)
+        if len(want) > 25:
+            break
+    for key, (poly, text, conf) in want.items():
+        assert got[key][:2] == (poly, text) and got[key][2] == pytest.approx(conf)
+
+
+def test_brute_contours():
+    draw = np.random.default_rng(3)
+    for _ in range(60):
+        mask = draw.random((9, 11)) > draw.choice([0.3, 0.5, 0.7])
+        found = find_contours(mask)
+        background = ~np.pad(mask, 1)
+        assert len(found) == len(_parts(mask, 8)) + len(_parts(background, 4)) - 1
+        marked = {p for c in found for p in c}
+        assert all(mask[y, x] and not background[y : y + 3, x : x + 3].sum() == 0 for x, y in marked)
+        prob = draw.random(mask.shape)
+        for c in found:
+            inside = [prob[y, x] for y in range(9) for x in range(11) if _inside(c, x, y)]
+            assert contour_score(prob, c) == pytest.approx(np.mean(inside))
+
+
+def _parts(mask, ways):
+    left, out = {(int(y), int(x)) for y, x in np.argwhere(mask)}, []
+    while left:
+        queue = [left.pop()]
+        out.append(1)
+        while queue:
+            y, x = queue.pop()
+            for dy in (-1, 0, 1):
+                for dx in (-1, 0, 1):
+                    if (ways == 8 or not dy or not dx) and (y + dy, x + dx) in left:
+                        left.remove((y + dy, x + dx))
+                        queue.append((y + dy, x + dx))
+    return out
+
+
+def _inside(c, x, y):
+    """On an edge, or an odd number of edges to the right."""
+    odd = False
+    for (ax, ay), (bx, by) in zip(c, c[1:] + c[:1], strict=True):
+        cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        if cross == 0 and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+            return True
+        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+            odd = not odd
+    return odd
