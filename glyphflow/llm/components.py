@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import saved
 
 
+#: Far beyond what the largest graph takes: rounds grow with the logarithm of a component's size.
+MOST_ROUNDS = 100
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Hang every larger neighbour of a node on the node's smallest neighbour (itself included)."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -30,9 +34,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     grows with the logarithm of the component size. Nodes are summarised by their minimum, never gathered.
     """
     now, mark = saved(edges.where("a <> b").select("a", "b"), "edges"), None
-    while True:
+    for _ in range(MOST_ROUNDS):
         now = saved(_small_star(_large_star(now)), "edges")
         state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if mark == tuple(state):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = tuple(state)
+    raise RuntimeError(f"the components haven't settled after {MOST_ROUNDS} rounds")

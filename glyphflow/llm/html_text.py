@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -39,17 +40,23 @@ TRAINING_PAGES = 500
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: np.ndarray
+    depth: int
+    heading: bool
     words: str
     linked: int = 0
 
 
 class _Blocks(HTMLParser):
-    """Leaf blocks in page order, with the tag path of each; tolerant of unclosed and stray tags."""
+    """Leaf blocks in page order, with the tag path of each; tolerant of unclosed and stray tags.
+
+    Every open element holds the sum of the path down to it, so a block costs the same at any depth.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str]] = []
+        self.open: list[tuple[str, str, np.ndarray]] = []
+        self.tags: Counter[str] = Counter()
         self.silent = self.links = self.linked = 0
         self.parts: list[str] = []
         self.found: list[Block] = []
@@ -57,9 +64,16 @@ class _Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.found.append(Block(tuple(x for _, x in self.open), text, self.linked))
+            self.found.append(Block(self._path(), len(self.open), bool(self.open) and self.open[-1][1] == "h1", text, self.linked))
         self.parts, self.linked = [], 0
 
+    def _path(self) -> np.ndarray:
+        """Every step counts half, and the last three another half; two at most."""
+        if not self.open:
+            return np.zeros(PATH_SIZE)
+        whole = self.open[-1][2]
+        return np.minimum(whole - 0.5 * self.open[-4][2] if len(self.open) > 3 else whole, 2.0)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
             self.parts.append(" ")
@@ -73,18 +87,23 @@ class _Blocks(HTMLParser):
         while self.open and (tag in CLOSES.get(self.open[-1][0], ()) or self.open[-1][0] == "head" and tag not in IN_HEAD):
             self._pop()
         named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-        self.open.append((tag, f"{tag} {named}".strip().lower()))
+        step = f"{tag} {named}".strip().lower()
+        before = self.open[-1][2] if self.open else 0.0
+        self.open.append((tag, step, before + (_kept_step(step) if len(step) <= 200 else _step(step))))
+        self.tags[tag] += 1
         self.silent += tag in SILENT
 
     def _pop(self) -> None:
-        self.silent -= self.open.pop()[0] in SILENT
+        tag = self.open.pop()[0]
+        self.tags[tag] -= 1
+        self.silent -= tag in SILENT
 
     def handle_endtag(self, tag: str) -> None:
         if tag in INLINE:
             self.links = max(0, self.links - (tag == "a"))
             return
         self.flush()
-        if any(t == tag for t, _ in self.open):
+        if self.tags[tag]:
             while self.open[-1][0] != tag:
                 self._pop()
             self._pop()
@@ -109,33 +128,41 @@ def blocks(html: str | None) -> list[Block]:
     return parser.found
 
 
-@lru_cache(50_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
+def _step(step: str) -> np.ndarray:
+    """Hashed tag name and class and id words of one element."""
     v = np.zeros(PATH_SIZE)
-    for depth, step in enumerate(path):
-        for k, token in enumerate(re.findall(r"[a-z0-9]+", step)):
-            v[crc32(("tag:" if not k else "name:").encode() + token.encode()) % PATH_SIZE] += 1.0 if depth >= len(path) - 3 else 0.5
-    return np.minimum(v, 2.0)
+    for k, token in enumerate(re.findall(r"[a-z0-9]+", step)):
+        v[crc32(("tag:" if not k else "name:").encode() + token.encode()) % PATH_SIZE] += 1.0
+    return v
 
 
-@lru_cache(200_000)
-def _slot(word: str) -> int:
+_kept_step = lru_cache(20_000)(_step)
+
+
+def _hashed(word: str) -> int:
     return crc32(word.encode("utf-8", "surrogatepass")) % WORD_SIZE
 
 
+_kept_hash = lru_cache(200_000)(_hashed)
+
+
+def _slot(word: str) -> int:
+    return _kept_hash(word) if len(word) <= 64 else _hashed(word)
+
+
 def vectors(page: list[Block], part: slice = slice(None)) -> np.ndarray:
     """(blocks, WIDTH) of a part of the page: hashed tag path, hashed words (a share each), and the block's shape."""
     first, _, _ = part.indices(len(page))
     out = np.zeros((len(page[part]), WIDTH))
     for i, b in enumerate(page[part]):
         words = b.words.split(" ")
-        out[i, :PATH_SIZE] = _path_vector(b.path)
+        out[i, :PATH_SIZE] = b.path
         for w in words:
             out[i, PATH_SIZE + _slot(w.lower())] += 1 / len(words)
         n = len(b.words)
         out[i, PATH_SIZE + WORD_SIZE :] = (
             min(np.log1p(len(words)) / 6, 1), b.linked / n, b.words[-1] in ".!?", sum(map(b.words.count, ".,;")) / len(words),
-            len(b.path) / 12, (first + i) / max(len(page) - 1, 1), "©" in b.words, b.path[-1:] == ("h1",),
+            b.depth / 12, (first + i) / max(len(page) - 1, 1), "©" in b.words, b.heading,
         )
     return out
 

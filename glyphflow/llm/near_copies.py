@@ -36,9 +36,21 @@ _A = _DRAW.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) +
 _B = _DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def node(text: Column) -> Column:
-    """Equal texts are one node; a null text is an empty one."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+def prepared(docs: DataFrame) -> DataFrame:
+    """row (every column), text and node of every row: equal texts are one node, different texts never; a null text is empty.
+
+    A node is a 64-bit hash. Where two texts share it, told by a second hash, both are hashed anew with both; over
+    10^10 texts some few hashes are shared, so their list is broadcast.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"one": text_hash(F.col("text")), "two": F.xxhash64(F.lit("two"), "text")})
+    shared = saved(rows.groupBy("one").agg(F.min("two").alias("low"), F.max("two").alias("high")).where("low <> high").select("one", F.lit(True).alias("shared")), "shared")
+    node = F.when(F.col("shared"), F.xxhash64("one", "two")).otherwise(F.col("one"))
+    return rows.join(F.broadcast(shared), "one", "left").select("row", "text", node.alias("node"))
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -257,9 +269,9 @@ def _links_left(sketched: DataFrame, links: DataFrame, sets_of, similarity: floa
     return full.mapInArrow(_exact_links(similarity), "a long, b long").distinct()
 
 
-def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
-    """Verified links (a, b) between nodes (different texts) of ``docs`` at or above the similarity."""
-    texts = docs.select(node(F.col("text")).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def near_copy_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+    """Verified links (a, b) between nodes (different texts) at or above the similarity; ``texts`` has node and text (see ``prepared``)."""
+    texts = texts.select("node", "text")
     sketched = saved(texts.mapInArrow(_sketches(shingle), "node long, fp long, bands array<long>, low binary").dropDuplicates(["node"]), "sketches")
     bits = near_links(sketched.select("fp").distinct(), radius)
     first = sketched.groupBy("fp").agg(F.min("node").alias("head"))
@@ -290,11 +302,10 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     Groups are connected over links of ``similarity`` or more. Null and empty texts are one group. A row without a
     doc_id stays only where its group has none with one; of rows equal in doc_id and text one stays.
     """
-    roots = connected_components(near_copy_links(docs, shingle, similarity))
-    rows = docs.withColumn("_node", node(F.col("text")))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))
-    least = rows.groupBy("_node").agg(F.min(order).alias("row"))
-    placed = least.join(roots, least["_node"] == roots["node"], "left").withColumn("root", F.coalesce("root", "_node"))
-    kept = placed.groupBy("root").agg(F.min(F.struct("row", "_node")).alias("best")).select(F.col("best._node").alias("_kept"), F.col("best.row.doc_id").alias("_kept_id"))
-    mine = (rows["_node"] == kept["_kept"]) & rows["doc_id"].eqNullSafe(kept["_kept_id"])
-    return rows.join(kept, mine, "left_semi").dropDuplicates(["_node", "doc_id"]).drop("_node")
+    rows = prepared(docs).withColumn("id", F.col("row.doc_id"))
+    roots = connected_components(near_copy_links(rows, shingle, similarity))
+    least = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
+    placed = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = placed.groupBy("root").agg(F.min(F.struct("first", "node")).alias("best")).select(F.col("best.node").alias("kept"), F.col("best.first.id").alias("kept_id"))
+    mine = (rows["node"] == kept["kept"]) & rows["id"].eqNullSafe(kept["kept_id"])
+    return rows.join(kept, mine, "left_semi").dropDuplicates(["node", "id"]).select("row.*")

@@ -1,6 +1,7 @@
 """Toxicity, quality, nearest neighbours and page text: held-out accuracy, recall and odd rows."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -138,6 +139,20 @@ def test_blocks_of_untidy_html():
     assert html_text.blocks(None) == html_text.blocks("") == []
 
 
+def test_deep_pages_take_time_in_proportion():
+    took = []
+    for depth in (4_000, 16_000):
+        began = time.process_time()
+        found = html_text.blocks("<div class='a b'>word " * depth + "</p>" * depth)
+        html_text.vectors(found)
+        took.append(time.process_time() - began)
+        assert len(found) == depth and found[-1].depth == depth
+    assert took[0] < 2 and took[1] < 12 * took[0]
+    page = html_text.blocks("<div class=x><main><section><article><h1>t</h1><p>u")
+    steps = [html_text._step(s) for s in ("div x", "main", "section", "article", "h1")]
+    assert page[0].heading and (page[0].path == np.minimum(sum(steps[:2]) / 2 + sum(steps[2:]), 2)).all()
+
+
 def test_labeller_gradient():
     model, draw = html_text.Labeller.fresh(), np.random.default_rng(1)
     x, keep, y = draw.normal(size=(2, 4, html_text.WIDTH)), np.array([[1.0, 1, 1, 1], [1, 1, 0, 0]]), np.array([[1.0, 0, 1, 0], [0, 1, 0, 0]])

@@ -172,6 +172,15 @@ def _brute_groups(sets):
     return [find(x) for x in range(len(sets))]
 
 
+def test_texts_of_one_hash_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "text_hash", lambda text: F.length(text).cast("long"))
+    rows = [(k, f"{k} alpha beta gamma delta epsilon {k} zeta eta theta {k}", None) for k in range(10, 40)] + [(50, "10 alpha beta gamma delta epsilon 10 zeta eta theta 10", None)]
+    frame = docs(spark, rows).withColumn("node", F.lit(1)).withColumn("root", F.lit("r")).withColumn("one", F.lit(None).cast("int"))
+    got = near_copies.one_of_each(frame)
+    assert got.columns == frame.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == [*range(10, 40)]
+
+
 @pytest.mark.parametrize("chunk", [2048, 40])
 def test_near_copies_of_many_variants(spark, monkeypatch, chunk):
     monkeypatch.setattr(near_copies, "CHUNK", chunk)
