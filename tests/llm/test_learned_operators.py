@@ -71,6 +71,27 @@ def test_quality_ranks_repetition_last(spark):
     assert quality.scores(docs, quality.train(docs, labels.limit(0))).where("predicted = 0").count() == 0
 
 
+def test_kept_columns_may_clash(spark):
+    docs = spark.createDataFrame([(1, "some words here", 7.0, "x")], "doc_id long, text string, Score double, predicted string")
+    for made in (toxicity.scores(docs, toxicity.Model(b"", b""), tuple(docs.columns)), quality.scores(docs, quality.train(docs, spark.createDataFrame([], "doc_id long, quality int")), tuple(docs.columns))):
+        assert made.columns == ["doc_id", "text", "score", "predicted"]
+        assert made.first()["text"] == "some words here" and 0 <= made.first()["score"] <= 1
+
+    import corpus_pipeline
+
+    rows = docs.withColumn("row", docs["doc_id"])
+    assert corpus_pipeline._kept(rows, lambda r: toxicity.scores(r, toxicity.Model(b"", b""), ("row",)), 0).collect() == rows.collect()
+
+
+def test_repeated_documents_count_once_in_training(spark):
+    docs = spark.createDataFrame([(1, "b", 0.0)] * 50 + [(1, None, 0.0), (2, "good words stand here.", 0.0)], ODD)
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    assert len(model.weights) == quality.WIDTH
+    assert {r["predicted"] for r in quality.scores(docs, model).where("doc_id = 2").collect()} == {1}
+    assert toxicity.scores(docs, toxicity.train(docs, labels)).count() == 52
+
+
 def test_quality_pairs_are_ranked():
     draw = np.random.default_rng(1)
     good = draw.random(400) < 0.6
@@ -182,6 +203,28 @@ def test_main_texts(spark):
     assert html_text.main_texts(pages.limit(0)).count() == 0
 
 
+def test_hand_labelled_page():
+    page = """<!doctype html><html lang=en><head><title>Harbour news</title><style>p{margin:0}</style></head><body>
+    <header class=masthead><p>The Harbour Post</p></header>
+    <nav class="topnav"><ul><li><a href=/>Front page</a><li><a href=/sport>Sport</a><li><a href=/weather>Weather</a></ul></nav>
+    <div class="cookie-notice notice">We use cookies. <a href=#>More</a></div>
+    <main id=content><article><h1>Ferry returns to service</h1>
+    <p>The ferry <em>Northern Star</em> sailed again on Tuesday after three months of repairs, the operator said &mdash; a week early.</p>
+    <p>Passengers had been taken by bus around the fjord. The trip took two hours longer than the crossing.</p>
+    <h2>What was mended</h2><p>Both engines were taken out, cleaned and put back. The hull was painted as well.</p>
+    <script>track("x")</script></article></main>
+    <aside class=sidebar><h3>Most read</h3><p>Storm closes bridge</p></aside>
+    <section class=comments><h3>Comments</h3><div class=comment><p>Finally!</p></div></section>
+    <footer>&copy; Harbour Post. All rights reserved.</footer></body></html>"""
+    found = html_text.blocks(page)
+    kept = html_text.label_pages(html_text.trained(), [found])[0]
+    assert [b.words for b, k in zip(found, kept, strict=True) if k] == [
+        "Ferry returns to service", "The ferry Northern Star sailed again on Tuesday after three months of repairs, the operator said — a week early.",
+        "Passengers had been taken by bus around the fjord. The trip took two hours longer than the crossing.", "What was mended",
+        "Both engines were taken out, cleaned and put back. The hull was painted as well.",
+    ]
+
+
 def test_held_out_layouts():
     model, draw, right, total = html_text.trained(), random.Random(77), 0, 0
     for _ in range(80):

@@ -396,6 +396,106 @@ def test_pieces_rows(spark):
     assert pieces.encode_texts(docs(spark, []), path).count() == 0
 
 
+def _plain_fingerprint(text, size=4):
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    runs = [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] if len(words) >= size else [" ".join(words)] * bool(words)
+    hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return f"{sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes)):016x}"
+
+
+def test_fingerprints_match_a_plain_count(spark):
+    draw = random.Random(9)
+    texts = [t for _, t, _ in ODD] + ["A\x1cb\x0bc\u00a0d\u2003e ÄÖ f G", *(" ".join(draw.choice("aBcdÉ") * draw.randint(1, 3) for _ in range(draw.randint(0, 60))) for _ in range(60))]
+    got = {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(docs(spark, [(k, t, None) for k, t in enumerate(texts)])).collect()}
+    assert got == {k: _plain_fingerprint(t) for k, t in enumerate(texts)}
+
+
+def test_urls_odd_rows(spark):
+    rows = [(1, "http://a.com/en/" + "x/" * 40_000, "z"), (1, "http://a.com/en/", "z"), (1, "http://a.com/en/", "z"), (None, "http://" + "a." * 500 + "com/en/q", "z"), (2, "http://EXAMPLE.com/en/7?", "z"), (3, "", "z"), (4, None, "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, rule string").withColumn("host", F.lit(1)).withColumn("keys", F.lit(2))
+    got = sorted(((r["page_id"], r["verdict"], r["rule"]) for r in url_filter.judge_urls(pages, registry.URL_RULES).collect()), key=str)
+    assert got == sorted([(1, "block", "com/en/")] * 3 + [(None, "block", "com/en/"), (2, "allow", "example.com/en/7"), (3, "allow", None), (4, "allow", None)], key=str)
+    assert url_filter.judge_urls(pages.limit(0), registry.URL_RULES).count() == 0
+
+
+def test_token_counts_odd_rows(spark):
+    path, long = P.path("byte_bpe_50k.tiktoken"), "word\n" * 30_000
+    frame = docs(spark, [(1, long, None), (1, long, None), (None, None, None)]).withColumn("section", F.lit("x")).withColumn("spans", F.lit(1))
+    got = token_counts.section_tokens(frame, path, P.PATTERN)
+    assert got.count() == 60_001
+    totals = {r["doc_id"]: r["n"] for r in got.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    library, _ = token_counts._encoding(path, P.PATTERN)
+    assert totals == {1: 2 * len(library.encode_ordinary(long)), None: 0}
+    assert token_counts.section_tokens(frame.limit(0), path, P.PATTERN).count() == 0
+    overlap = F.array(*(F.struct(F.lit(k).alias("section"), F.lit(a).alias("char_start"), F.lit(b).alias("char_end")) for k, (a, b) in enumerate(((0, 9), (0, 9), (5, 2), (3, 10**9)))))
+    spans = token_counts.section_tokens(docs(spark, [(1, "one two three", None)]), path, P.PATTERN, "start", overlap).orderBy("section").collect()
+    assert [r["n_tokens"] for r in spans] == [3, 3, 0, 2]
+
+
+def test_pipeline_run_matches_brute_force(spark, monkeypatch):
+    import duckdb
+
+    import corpus_pipeline
+    from glyphflow.llm import quality, toxicity
+    from glyphflow.llm.common import saved, table
+
+    kept = [("documents", table(spark, SF, "documents").toPandas())]
+
+    def spy(df, name):
+        out = saved(df, name)
+        kept.append((name, out.toPandas()))
+        return out
+
+    monkeypatch.setattr(corpus_pipeline, "saved", spy)
+    last = corpus_pipeline.run(spark, SF).toPandas()
+    frames = dict(kept)
+    assert list(frames) == ["documents", "toxicity", "quality", "near-copies", "decontamination"]
+    assert all(list(f.columns) == list(kept[0][1].columns) for f in frames.values())
+    labels = table(spark, SF, "labels")
+    names = list(frames)
+
+    def ids(name):
+        return sorted(frames[name]["doc_id"])
+
+    # learned stages: the same decision, one text at a time and without Spark
+    model = toxicity.train(table(spark, SF, "documents"), labels)
+    assert ids("toxicity") == sorted(d for d, t in frames["documents"][["doc_id", "text"]].itertuples(index=False) if not _toxic(model, t))
+    given = spark.createDataFrame(frames["toxicity"][["doc_id", "text"]])
+    model = quality.train(given, labels)
+    score = lambda t: float(np.clip((quality.features(t) - np.array(model.centre)) / np.array(model.scale), -6, 6) @ np.array(model.weights))
+    assert ids("quality") == sorted(d for d, t in frames["toxicity"][["doc_id", "text"]].itertuples(index=False) if score(t) >= model.threshold)
+    # near copies: all pairs
+    rows = sorted(frames["quality"][["doc_id", "text"]].itertuples(index=False))
+    root = _brute_groups([set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows])
+    assert ids("near-copies") == [rows[k][0] for k in range(len(rows)) if root[k] == k]
+    # decontamination: every diagonal
+    con = duckdb.connect()
+    con.register("documents", frames["near-copies"])
+    con.sql(f"create view benchmark as select * from '{SF}/benchmark.parquet'")
+    dirty = {r[0] for r in con.sql(f"select doc_id from ({registry.OP8_SQL})").fetchall()}
+    assert ids("decontamination") == [d for d in ids("near-copies") if d not in dirty]
+    # pieces: every text back
+    voc = pieces.vocabulary(P.path("piece_bpe_32k.model"))
+    texts = dict(frames[names[-1]][["doc_id", "text"]].itertuples(index=False))
+    assert {d: pieces.decode(voc, np.array(i)) for d, i in last[["doc_id", "ids"]].itertuples(index=False)} == texts
+    assert 0 < len(texts) < len(frames["documents"])
+
+
+def _toxic(model, text):
+    """Score at least a half: every window compressed on its own, without memo."""
+    from glyphflow.llm import toxicity
+
+    ordinary, toxic = toxicity._Savings(model.toxic, model.ordinary).sizes
+    total = n = 0
+    for word in toxicity.windows(text):
+        bare, n = word.strip(toxicity._EDGES), n + 1
+        window = toxicity.CARRIER + b" " + bare.encode() + b"  "
+        total += max(0, (len(ordinary(window)) - len(toxic(window)) if bare else 0) - model.step + 1)
+    return bool(total) and total >= model.enough + model.noise * n
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
