@@ -85,6 +85,13 @@ def test_covering_masks_cover():
         assert any(not flip & m for m in masks)
 
 
+def test_last_level_leaves_few_bits():
+    fixed = np.zeros(1, np.uint64)
+    for level in range(4):
+        fixed = np.unique(fixed[:, None] | np.array(simhash.covering_masks(4, level), np.uint64))
+    assert 64 - int(np.bitwise_count(fixed).min()) <= 16
+
+
 @pytest.mark.parametrize("bucket", [4096, 3])
 def test_near_links_connect_like_all_pairs(spark, bucket):
     draw = random.Random(2)
