@@ -79,6 +79,19 @@ def q_batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.batches(rows, 32, "o_orderkey")
 
 
+def q_polygon_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons dealt into the recogniser's batches of 16, in order over all images."""
+    return results.batches(polygons(spark, sf_dir).select("poly_id", "image_id"), 16, "poly_id")
+
+
+def q_tile_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles dealt into the detector's batches of 4, image by image and row by row."""
+    grid = _sizes(spark, sf_dir).select("image_id", F.explode(tiling.tiles(F.col("h"), F.col("w"), 320, 160)).alias("t"))
+    # a canvas of these sizes has under 100 tiles a side
+    placed = grid.select((F.col("image_id") * 10_000 + F.col("t.row") * 100 + F.col("t.col")).alias("tile_no"))
+    return results.batches(placed, 4, "tile_no")
+
+
 def q_flatten_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image_id"))
     return results.counts(images, polygons(spark, sf_dir))
@@ -127,7 +140,7 @@ h AS (SELECT *, sqrt((tl[1] - tr[1]) ** 2 + (tl[2] - tr[2]) ** 2) < 0.75 * sqrt(
 SELECT poly_id, {', '.join(f'CASE WHEN turn THEN {b}[{i}] ELSE {a}[{i}] END AS {a}_{c}' for a, b in (('tl', 'bl'), ('tr', 'tl'), ('br', 'tr'), ('bl', 'br')) for i, c in ((1, 'x'), (2, 'y')))} FROM h"""
 _SIZES = "s AS (SELECT o_orderkey AS image_id, (64 + o_orderkey * 31 % 1200)::INT AS h, (64 + o_orderkey * 17 % 2000)::INT AS w FROM orders)"
 _BOX = "least(x1, x2, x3, x4) AS \"left\", least(y1, y2, y3, y4) AS top, greatest(x1, x2, x3, x4) - least(x1, x2, x3, x4) AS width, greatest(y1, y2, y3, y4) - least(y1, y2, y3, y4) AS height"
-QUERIES = [q_poly_area_perimeter, q_unclip, q_format_points, q_homography, q_bbox, q_rescale, q_score_filter_limit, q_tile_grid, q_tile_canvas, q_tile_owner, q_batch_assign, q_flatten_counts, q_json_results, q_object_meta]
+QUERIES = [q_poly_area_perimeter, q_unclip, q_format_points, q_homography, q_bbox, q_rescale, q_score_filter_limit, q_tile_grid, q_tile_canvas, q_tile_owner, q_batch_assign, q_polygon_batches, q_tile_batches, q_flatten_counts, q_json_results, q_object_meta]
 SQL = {
     "q_poly_area_perimeter": f"""WITH {POLYGONS_SQL} SELECT poly_id, abs((x1 * y2 - x2 * y1 + x2 * y3 - x3 * y2 + x3 * y4 - x4 * y3 + x4 * y1 - x1 * y4)::DOUBLE) / 2 AS area,
 round(sqrt(((x1 - x2) ** 2 + (y1 - y2) ** 2)::DOUBLE) + sqrt(((x2 - x3) ** 2 + (y2 - y3) ** 2)::DOUBLE) + sqrt(((x3 - x4) ** 2 + (y3 - y4) ** 2)::DOUBLE) + sqrt(((x4 - x1) ** 2 + (y4 - y1) ** 2)::DOUBLE), 6) AS perimeter FROM polys""",
@@ -144,6 +157,10 @@ SELECT image_id, "row", col, "row" * 160 AS top, col * 160 AS "left" FROM g""",
     "q_tile_canvas": f"WITH {_SIZES} SELECT image_id, greatest(0, ceil((h - 320) / 224.0)::INT) * 224 + 320 AS canvas_h, greatest(0, ceil((w - 320) / 224.0)::INT) * 224 + 320 AS canvas_w FROM s",
     "q_tile_owner": f"WITH {POLYGONS_SQL} SELECT poly_id, greatest(0, least(5, floor((x1 - 80) / 160.0)))::INT AS col, greatest(0, least(5, floor((y1 - 80) / 160.0)))::INT AS \"row\" FROM polys",
     "q_batch_assign": "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 32 AS batch, (row_number() OVER (ORDER BY o_orderkey) - 1) % 32 AS slot FROM orders",
+    "q_polygon_batches": "SELECT o_orderkey AS poly_id, o_custkey AS image_id, (row_number() OVER (ORDER BY o_orderkey) - 1) // 16 AS batch, (row_number() OVER (ORDER BY o_orderkey) - 1) % 16 AS slot FROM orders",
+    "q_tile_batches": f"""WITH {_SIZES}, c AS (SELECT *, greatest(1, ceil((h - 320) / 160.0)::INT + 1) AS nr, greatest(1, ceil((w - 320) / 160.0)::INT + 1) AS nc FROM s),
+r AS (SELECT image_id, nc, unnest(range(0, nr)) AS y FROM c), g AS (SELECT image_id * 10000 + y * 100 + unnest(range(0, nc)) AS tile_no FROM r)
+SELECT tile_no, (row_number() OVER (ORDER BY tile_no) - 1) // 4 AS batch, (row_number() OVER (ORDER BY tile_no) - 1) % 4 AS slot FROM g""",
     "q_flatten_counts": "SELECT c_custkey AS image_id, count(o_orderkey) AS text_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
     "q_json_results": f"""WITH {POLYGONS_SQL}
 SELECT image_id, '[' || string_agg('{{"text":"t' || poly_id || '","text_conf":' || round(score, 3) || ',"poly":[' || concat_ws(',', x1, y1, x2, y2, x3, y3, x4, y4) || ']}}', ',' ORDER BY poly_id) || ']' AS json FROM polys GROUP BY image_id""",
