@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, pieces, quality, simhash, token_counts, token_files, toxicity, url_filter
+from . import ann, decontaminate, divergence, hard_negatives, html_text, license_scans, pieces, quality, simhash, token_counts, token_files, toxicity, url_filter
 from .common import table
 
 URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -112,6 +112,83 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, rule="start")
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license notices, word for word and with edits."""
+    return license_scans.summary(license_scans.scan(table(spark, sf_dir, "documents")))
+
+
+_NOTICES = ", ".join(f"({k}, '{n.label}', '{n.text}', {n.edits}, '{n.head}', {n.base}, {len(n.text.split())})" for k, n in enumerate(license_scans.NOTICES))
+#: Brute force over every word span of fitting length, without seeds: its edit distance from each notice.
+OP11_SQL = rf"""
+WITH notices(notice, label, t, k, head, base, m) AS (VALUES {_NOTICES}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+w AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+places AS (SELECT r, pos, word, sum(strlen(word) + 1) OVER (PARTITION BY r ORDER BY pos) AS close FROM w),
+spans AS (
+  SELECT a.r, a.pos, a.n, notice FROM (
+    SELECT r, pos, close, word, notice, t, k, unnest(range(greatest(m - k, 1), m + k + 1)) AS n FROM places JOIN notices ON head = '' OR head = word || ' ') a
+  JOIN places z ON z.r = a.r AND z.pos = a.pos + a.n - 1
+  WHERE abs(z.close - a.close + strlen(a.word) - strlen(t)) <= k),
+fit AS (SELECT r, pos, notice, list_aggregate(d.w[pos + 1 : pos + n], 'string_agg', ' ') AS span FROM spans JOIN d USING (r)),
+hits AS (SELECT * FROM (SELECT fit.r, fit.pos, notices.*, levenshtein(span, t) AS edits FROM fit JOIN notices USING (notice)) WHERE edits <= k),
+found AS (
+  SELECT r, count(*) FILTER (base AND edits = 0) AS n_base, min(pos) FILTER (base AND edits = 0) AS first_word, max(pos) FILTER (base AND edits = 0) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND edits = 0) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+         max(1.0::DOUBLE - edits / strlen(t)::DOUBLE) AS score
+  FROM hits GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN found USING (r)
+"""
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source's divergence from the other sources of its language, and the terms that set it off."""
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS n FROM kept GROUP BY lang),
+met AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT d.lang, d.source, coalesce(any_value(m.n), 0)::BIGINT AS n FROM d LEFT JOIN (SELECT lang, source, sum(n) AS n FROM met GROUP BY ALL) m USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT t.lang, t.source, k.term, coalesce(m.n, 0) AS n, 1 + (1000000000 * (coalesce(m.n, 0) + 2)) // (t.n + 2 * l.v) AS p, 1 + (1000000000 * (k.n + 2)) // (l.n + 2 * l.v) AS q
+  FROM totals t JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN met m USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM totals a JOIN totals b USING (lang) LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source WHERE a.source <> b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM every)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every row whose vec_id is divisible by 100, the labels of every seventh moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.hard_negatives(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positive AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+met AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score FROM positive JOIN s USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id))::INT AS rank, negative_id, positive_score, negative_score
+FROM met QUALIFY rank <= 5
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole corpus pipeline over ``documents``."""
     import corpus_pipeline
@@ -120,8 +197,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_ann, op4_quality, op5_pieces, op6_token_files, op7_url_filter, op8_decontaminate, op9_html_text, op10_token_counts, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_ann, op4_quality, op5_pieces, op6_token_files, op7_url_filter, op8_decontaminate, op9_html_text, op10_token_counts, op11_license_scans, op12_divergence, op13_hard_negatives, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op7_url_filter": OP7_SQL, "op8_decontaminate": OP8_SQL, "op11_license_scans": OP11_SQL, "op12_divergence": OP12_SQL, "op13_hard_negatives": OP13_SQL}
