@@ -1,8 +1,7 @@
-"""Contours of binary masks and their rotated boxes: grouped numpy, one image at a time.
+"""Contours of binary masks: borders followed a map at a time, their scores and rotated boxes in Spark.
 
 Contours are borders of 8-connected foreground, outer and hole borders alike, in raster order of their first pixel
-(Suzuki and Abe 1985), with straight runs reduced to their ends. The score of a contour is the mean probability of
-the pixels inside or on it. A box is the rotated rectangle of least area around the contour's hull.
+(Suzuki and Abe 1985), with straight runs reduced to their ends.
 """
 
 from __future__ import annotations
@@ -14,7 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "image_id long, contour_idx int, pts array<struct<x: int, y: int>>, score double, box_w double, box_h double, box array<struct<x: double, y: double>>"
+from ..storage import saved
+from . import scores
+
+BORDERS = "image_id long, contour_idx int, pts array<struct<x: int, y: int>>"
 #: Neighbours clockwise from the east, as (dy, dx).
 _STEPS = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
 
@@ -71,78 +73,39 @@ def find_contours(mask: np.ndarray) -> list[list[tuple[int, int]]]:
     return out
 
 
-def contour_score(prob: np.ndarray, pts: list[tuple[int, int]]) -> float:
-    """Mean probability over the pixels inside or on the polygon, clipped to the image."""
-    p = np.array(pts)
-    x0, y0 = np.maximum(p.min(0), 0)
-    x1, y1 = np.minimum(p.max(0), (prob.shape[1] - 1, prob.shape[0] - 1))
-    if x1 < x0 or y1 < y0:
-        return 0.0
-    gy, gx = np.mgrid[y0 : y1 + 1, x0 : x1 + 1]
-    inside, on = np.zeros(gx.shape, bool), np.zeros(gx.shape, bool)
-    for (ax, ay), (bx, by) in zip(pts, pts[1:] + pts[:1], strict=True):
-        cross = (bx - ax) * (gy - ay) - (by - ay) * (gx - ax)
-        on |= (cross == 0) & (gx >= min(ax, bx)) & (gx <= max(ax, bx)) & (gy >= min(ay, by)) & (gy <= max(ay, by))
-        if ay != by:
-            inside ^= ((ay > gy) != (by > gy)) & (gx < (bx - ax) * (gy - ay) / (by - ay) + ax)
-    return float(prob[y0 : y1 + 1, x0 : x1 + 1][inside | on].mean())
-
-
-def _hull(pts: list[tuple[int, int]]) -> np.ndarray:
-    """Convex hull, monotone chain."""
-    p = sorted(set(pts))
-    if len(p) < 3:
-        return np.array(p, float)
-
-    def half(points: list) -> list:
-        out: list = []
-        for q in points:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]):
-                out.pop()
-            out.append(q)
-        return out[:-1]
-
-    return np.array(half(p) + half(p[::-1]), float)
-
-
-def min_area_box(pts: list[tuple[int, int]]) -> tuple[float, float, np.ndarray]:
-    """(width, height, corners bottom-left, top-left, top-right, bottom-right) of the least rectangle on a hull edge."""
-    hull = _hull(pts)
-    if len(hull) < 2:
-        return 0.0, 0.0, np.repeat(hull, 4, 0)
-    edges = np.roll(hull, -1, 0) - hull
-    along = edges / np.linalg.norm(edges, axis=1, keepdims=True)
-    best = None
-    for u in along:
-        v = np.array([-u[1], u[0]])
-        s, t = hull @ u, hull @ v
-        w, h = np.ptp(s), np.ptp(t)
-        if best is None or w * h < best[0] - 1e-9:
-            corners = np.array([[s.min(), t.max()], [s.min(), t.min()], [s.max(), t.min()], [s.max(), t.max()]])
-            best = w * h, w, h, corners @ np.array([u, v])
-    return float(best[1]), float(best[2]), best[3]
-
+def borders(prob_maps: DataFrame, threshold: float) -> DataFrame:
+    """image_id, contour_idx, pts of every contour of every map (image_id, h, w, p: row-major array) above the threshold.
 
-def contours(prob_maps: DataFrame, threshold: float) -> DataFrame:
-    """Every contour of every map (image_id, h, w, p: row-major array) above the threshold, with score and box.
-
-    A map is one row, so it is never split; maps stream through the tasks. An image without contours gives no rows.
+    Only the following of a border is done in Python. A map is one row, so it is never split (``regions`` takes larger
+    ones in tiles); maps stream through the tasks. A null or empty map and one without contours give no rows; a NaN is
+    background.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
+            images, numbers, points = [], [], []
             for image, h, w, p in zip(*(b.column(c).to_pylist() for c in ("image_id", "h", "w", "p")), strict=True):
-                prob = np.array(p, float).reshape(h, w)
-                for k, pts in enumerate(find_contours(prob > threshold)):
-                    bw, bh, box = min_area_box(pts)
-                    rows.append((image, k, [{"x": x, "y": y} for x, y in pts], contour_score(prob, pts), bw, bh, [{"x": x, "y": y} for x, y in box.tolist()]))
-            point = lambda t: pa.list_(pa.struct([("x", t), ("y", t)]))
-            kinds = (pa.int64(), pa.int32(), point(pa.int32()), pa.float64(), pa.float64(), pa.float64(), point(pa.float64()))
-            names = ["image_id", "contour_idx", "pts", "score", "box_w", "box_h", "box"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
-
-    return prob_maps.select(F.col("image_id").cast("long"), F.col("h").cast("int"), F.col("w").cast("int"), F.col("p").cast("array<double>")).mapInArrow(scan, SCHEMA)
+                for k, pts in enumerate(find_contours(np.array(p, float).reshape(h, w) > threshold)):
+                    images.append(image)
+                    numbers.append(k)
+                    points.append([{"x": x, "y": y} for x, y in pts])
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((images, numbers, points), kinds, strict=True)], ["image_id", "contour_idx", "pts"])
+
+    full = prob_maps.where(F.col("p").isNotNull() & (F.size("p") > 0) & (F.size("p") == F.col("h") * F.col("w")))
+    return full.select(F.col("image_id").cast("long"), F.col("h").cast("int"), F.col("w").cast("int"), F.col("p").cast("array<double>")).mapInArrow(scan, BORDERS)
+
+
+def contours(prob_maps: DataFrame, threshold: float) -> DataFrame:
+    """``borders`` with score and box: image_id, contour_idx, pts, score, box_w, box_h, box; image_id is unique to a map.
+
+    The score, the mean of the pixels inside or on the border, comes from scan lines and prefix sums, the least box from
+    array expressions on the border's own row. Repeated maps of one image_id are not told apart.
+    """
+    found = saved(borders(prob_maps, threshold), "borders")
+    scored = scores.polygon_scores(found, prob_maps, ["image_id", "contour_idx"]).drop("n_pixels")
+    boxed = found.withColumn("corners", scores.hull(F.col("pts"))).withColumn("b", scores.least_box(F.col("corners")))
+    return boxed.select("image_id", "contour_idx", "pts", "b").join(scored, ["image_id", "contour_idx"]).select("image_id", "contour_idx", "pts", "score", "b.*")
 
 
 def candidates(found: DataFrame, max_candidates: int, score_threshold: float) -> DataFrame:

@@ -9,12 +9,13 @@ from glyphflow.functions import decode, pixels, tiling
 from glyphflow.functions import geometry as g
 from glyphflow.functions import text as t
 from glyphflow.operators import bpe, results
-from glyphflow.operators.contours import contour_score, find_contours, min_area_box
+from glyphflow.operators.contours import find_contours
 from glyphflow.operators.recognise import StubDetector, StubMatrixRecogniser, StubRecogniser, warp
 from glyphflow.operators.results import POLY
 from glyphflow.plans import catalogue, recognition
 from glyphflow.sources import files
 
+from .by_hand import contour_score, min_area_box
 from .conftest import SF
 
 
