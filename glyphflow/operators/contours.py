@@ -102,10 +102,11 @@ def contours(prob_maps: DataFrame, threshold: float) -> DataFrame:
     The score, the mean of the pixels inside or on the border, comes from scan lines and prefix sums, the least box from
     array expressions on the border's own row. Repeated maps of one image_id are not told apart.
     """
-    found = saved(borders(prob_maps, threshold), "borders")
+    boxed = borders(prob_maps, threshold).withColumn("corners", scores.hull(F.col("pts"))).withColumn("b", scores.least_box(F.col("corners")))
+    # written, so that no filter on a box is put through its expressions
+    found = saved(boxed.select("image_id", "contour_idx", "pts", "b.*"), "borders")
     scored = scores.polygon_scores(found, prob_maps, ["image_id", "contour_idx"]).drop("n_pixels")
-    boxed = found.withColumn("corners", scores.hull(F.col("pts"))).withColumn("b", scores.least_box(F.col("corners")))
-    return boxed.select("image_id", "contour_idx", "pts", "b").join(scored, ["image_id", "contour_idx"]).select("image_id", "contour_idx", "pts", "score", "b.*")
+    return found.join(scored, ["image_id", "contour_idx"]).select("image_id", "contour_idx", "pts", "score", "box_w", "box_h", "box")
 
 
 def candidates(found: DataFrame, max_candidates: int, score_threshold: float) -> DataFrame:
