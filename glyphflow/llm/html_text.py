@@ -13,7 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from html.parser import HTMLParser
+from html import unescape
 from zlib import crc32
 
 import numpy as np
@@ -30,12 +30,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"p": frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article aside nav header footer main form blockquote pre hr figure address".split()), "li": frozenset(["li"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
 #: What a head may hold; any other start tag ends an unclosed head.
 IN_HEAD = frozenset("title meta link script style base noscript template".split())
-PATH_SIZE, WORD_SIZE, SHAPE = 64, 32, 8
+#: Slots of a path: tag names, then class, id and role words.
+TAG_SIZE, NAME_SIZE = 40, 56
+PATH_SIZE, WORD_SIZE, SHAPE = TAG_SIZE + NAME_SIZE, 32, 8
 WIDTH = PATH_SIZE + WORD_SIZE + SHAPE
 HIDDEN = 24
 #: Blocks that the labeller holds at once; it reads longer pages in stretches and carries its states on, so memory stays bounded.
 STRETCH = 2_000
-TRAINING_PAGES = 500
+TRAINING_PAGES = 800
 
 
 @dataclass
@@ -47,24 +49,65 @@ class Block:
     linked: int = 0
 
 
-class _Blocks(HTMLParser):
+#: A start or end tag: name, attributes. No part of it gives back what it has taken, so one that doesn't end is given up in one pass.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+)*+)>""")
+_NAMED = re.compile(r"""(?<![^\s/"'])(?:class|id|role)\s*+=\s*+("[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)""", re.I)
+#: The end of an element whose content is not markup.
+_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style")}
+
+
+class _Blocks:
     """Leaf blocks in page order, with the tag path of each; tolerant of unclosed and stray tags.
 
-    Every open element holds the sum of the path down to it, so a block costs the same at any depth.
+    A page is read in one pass. A tag or comment that isn't ended takes the rest of the page, as a browser has it; a quote that
+    isn't closed is an ordinary character. Every open element
+    holds the sum of the path down to it, so a block costs the same at any depth.
     """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, str, np.ndarray]] = []
         self.tags: Counter[str] = Counter()
         self.silent = self.links = self.linked = 0
         self.parts: list[str] = []
         self.found: list[Block] = []
 
+    def feed(self, html: str) -> None:
+        at, text = 0, 0  # where to look on, and where the text before it begins
+        while (at := html.find("<", at)) >= 0:
+            following = html[at + 1 : at + 2]
+            if following.isascii() and following.isalpha() or following == "/" and html[at + 2 : at + 3].isascii() and html[at + 2 : at + 3].isalpha():
+                found = _TAG.match(html, at)
+                end = found.end() if found else len(html)
+            elif following in ("!", "?", "/") and following:
+                found = None
+                mark = "-->" if html.startswith("<!--", at) else ">"
+                end = html.find(mark, at + (2 if mark == "-->" else 1))
+                end = end + len(mark) if end >= 0 else len(html)
+            else:  # a plain character
+                at += 1
+                continue
+            if at > text:
+                self.data(html[text:at])
+            if found:
+                tag = found[2].lower()
+                if found[1]:
+                    self.end(tag)
+                else:
+                    self.start(tag, found[3])
+                    if found[3].endswith("/") and tag not in INLINE and tag not in VOID:
+                        self.end(tag)
+                    elif tag in _RAW:
+                        close = _RAW[tag].search(html, end)
+                        end = close.start() if close else len(html)
+            at = text = end
+        if text < len(html):
+            self.data(html[text:])
+        self.flush()
+
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.found.append(Block(self._path(), len(self.open), bool(self.open) and self.open[-1][1] == "h1", text, self.linked))
+            self.found.append(Block(self._path(), len(self.open), bool(self.open) and self.open[-1][0] == "h1", text, self.linked))
         self.parts, self.linked = [], 0
 
     def _path(self) -> np.ndarray:
@@ -74,7 +117,7 @@ class _Blocks(HTMLParser):
         whole = self.open[-1][2]
         return np.minimum(whole - 0.5 * self.open[-4][2] if len(self.open) > 3 else whole, 2.0)
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def start(self, tag: str, attributes: str) -> None:
         if tag == "br":
             self.parts.append(" ")
             return
@@ -86,7 +129,7 @@ class _Blocks(HTMLParser):
             return
         while self.open and (tag in CLOSES.get(self.open[-1][0], ()) or self.open[-1][0] == "head" and tag not in IN_HEAD):
             self._pop()
-        named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
+        named = unescape(" ".join(v.strip("\"'") for v in _NAMED.findall(attributes))) if attributes else ""
         step = f"{tag} {named}".strip().lower()
         before = self.open[-1][2] if self.open else 0.0
         self.open.append((tag, step, before + (_kept_step(step) if len(step) <= 200 else _step(step))))
@@ -98,7 +141,7 @@ class _Blocks(HTMLParser):
         self.tags[tag] -= 1
         self.silent -= tag in SILENT
 
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         if tag in INLINE:
             self.links = max(0, self.links - (tag == "a"))
             return
@@ -108,23 +151,16 @@ class _Blocks(HTMLParser):
                 self._pop()
             self._pop()
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in INLINE and tag not in VOID and tag != "br":
-            self.handle_endtag(tag)
-
-    def handle_data(self, data: str) -> None:
+    def data(self, text: str) -> None:
         if not self.silent:
-            self.parts.append(data)
-            self.linked += len(data) * (self.links > 0)
+            self.parts.append(unescape(text) if "&" in text else text)
+            self.linked += len(self.parts[-1]) * (self.links > 0)
 
 
 def blocks(html: str | None) -> list[Block]:
     """Leaf blocks with decoded, blank-normalised text; none for null or empty pages."""
     parser = _Blocks()
     parser.feed(html or "")
-    parser.close()
-    parser.flush()
     return parser.found
 
 
@@ -132,7 +168,7 @@ def _step(step: str) -> np.ndarray:
     """Hashed tag name and class and id words of one element."""
     v = np.zeros(PATH_SIZE)
     for k, token in enumerate(re.findall(r"[a-z0-9]+", step)):
-        v[crc32(("tag:" if not k else "name:").encode() + token.encode()) % PATH_SIZE] += 1.0
+        v[crc32(token.encode()) % TAG_SIZE if not k else TAG_SIZE + crc32(token.encode()) % NAME_SIZE] += 1.0
     return v
 
 
@@ -155,10 +191,9 @@ def vectors(page: list[Block], part: slice = slice(None)) -> np.ndarray:
     first, _, _ = part.indices(len(page))
     out = np.zeros((len(page[part]), WIDTH))
     for i, b in enumerate(page[part]):
-        words = b.words.split(" ")
+        words = b.words.lower().split(" ")
         out[i, :PATH_SIZE] = b.path
-        for w in words:
-            out[i, PATH_SIZE + _slot(w.lower())] += 1 / len(words)
+        out[i, PATH_SIZE : PATH_SIZE + WORD_SIZE] = np.bincount([_slot(w) for w in words], minlength=WORD_SIZE) / len(words)
         n = len(b.words)
         out[i, PATH_SIZE + WORD_SIZE :] = (
             min(np.log1p(len(words)) / 6, 1), b.linked / n, b.words[-1] in ".!?", sum(map(b.words.count, ".,;")) / len(words),
@@ -254,7 +289,13 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_page(draw: random.Random) -> tuple[str, list[bool]]:
-    """A page of a random layout in made-up words, and for each of its blocks whether it is main text."""
+    """A page of a random layout in made-up words, and for each of its blocks whether it is main text.
+
+    Half of the pages name their parts by words like "sidebar". The others have made-up names or none, or some of each: what tells their
+    parts are tags, links, marks, lengths and places alone, so parts that only a name tells from the article are left out there.
+    """
+    names = draw.choice(["words", "words", "words", "words", "some", "made up", "made up", "none"])
+    plain = names in ("made up", "none")
     syllables = "ka lo mi ren tu sha vel dor an is qua ber zen ol ti pra".split()
     word = lambda: "".join(draw.choice(syllables) for _ in range(draw.randint(1, 4)))
 
@@ -286,30 +327,61 @@ def training_page(draw: random.Random) -> tuple[str, list[bool]]:
         return f"<{tag}{attrs}>{text}</{tag}>"
 
     def advert() -> str:
+        if plain:
+            return small("aside", "") if draw.random() < 0.5 else ""
         how = draw.random()
         name = named("ad", "ads", "advert", "sponsored", "promo", "banner")
         return bare("div", name, sentence(2, 14)) if how < 0.6 else small(draw.choice(["div", "aside", "section"]), name)
 
+    def link_line(tag: str = "p") -> str:
+        """A block of nothing but links."""
+        main.append(False)
+        return f"<{tag}>" + draw.choice([" ", " | ", ", "]).join(f'<a href="#{word()}">{word()}</a>' for _ in range(draw.randint(1, 6))) + f"</{tag}>"
+
     def article() -> str:
-        out = [block("h1", sentence(3, 12).rstrip(".!?"), True)] if draw.random() < 0.85 else []
+        out = []
+        top = draw.choice(["h1", "h1", "h1", "h2"])
+        title = lambda: block(top, draw.choice(["{}", "{}", "<a href='#'>{}</a>"]).format(sentence(3, 12).rstrip(".!?")) if top == "h2" else sentence(3, 12).rstrip(".!?"), True, draw.choice(["", "", ' class="entry-title"', ' class="title"']))
+        byline = lambda: block(draw.choice(["p", "div"]), draw.choice(["By {}", "{}, <time>3 May</time>", "<span>{}</span> <span>4 min</span>"]).format(word()), True, draw.choice(["", named("byline", "meta", "author")]))
+        head = draw.random()
+        if head < 0.55:
+            out.append(title())
+        elif head < 0.8:
+            out.append("<header>" + title() + (byline() if draw.random() < 0.6 else "") + "</header>")
+        elif head < 0.9:
+            out.append(title() + byline())
+        if draw.random() < 0.1:
+            out.append(f"<div{draw.choice(['', named('toc', 'contents')])}><ul>" + "".join(block("li", f'<a href="#{word()}">{word()}</a>', False) for _ in range(draw.randint(2, 6))) + "</ul></div>")
+        text = []
         for _ in range(draw.choice([1, 1, 2, 3, 5, 8, 14])):
             kind = draw.random()
             if kind < 0.72:
-                out.append(block("p", draw.choice([prose(), prose(), sentence(1, 5)]), True))
+                text.append(block("p", draw.choice([prose(), prose(), sentence(1, 5)]), True))
             elif kind < 0.8:
-                out.append(block(draw.choice(["h2", "h3"]), sentence(2, 7).rstrip(".!?"), True))
+                text.append(block(draw.choice(["h2", "h3"]), sentence(2, 7).rstrip(".!?"), True))
             elif kind < 0.86:
-                out.append("<ul>" + "".join(block("li", sentence(2, 12), True) for _ in range(draw.randint(1, 4))) + "</ul>")
+                text.append("<ul>" + "".join(block("li", sentence(2, 12), True) for _ in range(draw.randint(1, 4))) + "</ul>")
             elif kind < 0.9:
-                out.append("<blockquote>" + block("p", prose(), True) + "</blockquote>")
+                text.append("<blockquote>" + block("p", prose(), True) + "</blockquote>")
             elif kind < 0.93:
-                out.append("<table><tr>" + "".join(block("td", word(), True) for _ in range(draw.randint(2, 4))) + "</tr></table>")
+                text.append("<table><tr>" + "".join(block("td", word(), True) for _ in range(draw.randint(2, 4))) + "</tr></table>")
             elif kind < 0.97:
-                out.append(advert())
-            else:
-                out.append(small("div", named("related", "share", "newsletter", "signup", "social")))
-        tag, attrs = draw.choice([("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("div", named("content", "article", "post", "entry", "story", "main", "body"))])
-        return f"<{tag}{attrs}>{''.join(out)}</{tag}>"
+                text.append(advert())
+            elif not plain:
+                text.append(small("div", named("related", "share", "newsletter", "signup", "social")))
+        if draw.random() < 0.1:  # lines of a part without paragraphs
+            text = [block("div", draw.choice([prose(), prose(), sentence(1, 5)]), True) for _ in range(draw.randint(2, 6))]
+        inner = "".join(text)
+        for _ in range(draw.choice([0, 0, 1, 1, 2])):
+            inner = f"<{(tag := draw.choice(['div', 'div', 'section']))}{draw.choice(['', named('entry-content', 'post-body', 'text', 'article-body', 'parser-output', word()), named(word(), word())])}>{inner}</{tag}>"
+        out.append(inner)
+        if draw.random() < 0.15:
+            out.append("<footer>" + (link_line() if draw.random() < 0.7 else block("p", sentence(1, 5), False)) + "</footer>")
+        tag, attrs = draw.choice([("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("div", named("content", "article", "post", "entry", "story", "main", "body")), ("div", named("content", "hentry", "mw-body", word()))])
+        whole = f"<{tag}{attrs}>{''.join(out)}</{tag}>"
+        for _ in range(draw.choice([0, 0, 0, 1, 1, 2])):
+            whole = f"<{(tag := draw.choice(['div', 'div', 'main', 'section']))}{draw.choice(['', named('wrapper', 'page', 'container', 'site', word())])}>{whole}</{tag}>"
+        return whole
 
     def comments() -> str:
         tag, attrs = draw.choice([("section", named("comments", "comment", "discussion", "responses")), ("div", named("comments", "comment", "replies", "disqus")), ("ol", named("commentlist", "comments"))])
@@ -322,17 +394,18 @@ def training_page(draw: random.Random) -> tuple[str, list[bool]]:
     if draw.random() < 0.35:
         out.append(small("header", draw.choice(["", named("header", "top", "masthead")])))
     if draw.random() < 0.85:
-        out.append(menu("nav") if draw.random() < 0.7 else menu("div", named("menu", "nav", "navbar", "breadcrumb", "topnav")))
-    if draw.random() < 0.3:
+        how = draw.random()
+        out.append(menu("nav") if how < 0.65 else menu("div", named("menu", "nav", "navbar", "breadcrumb", "topnav")) if how < 0.9 else link_line(draw.choice(["div", "p"])))
+    if draw.random() < 0.3 and not plain:
         out.append(bare("div", named("cookie", "notice", "consent", "gdpr", "alert", "banner"), sentence(4, 20)) if draw.random() < 0.5 else small("div", named("cookie", "notice", "consent", "popup", "modal")))
     if draw.random() < 0.6:
         out.append(advert())
-    side = lambda: small("aside", draw.choice(["", named("sidebar", "side")])) if draw.random() < 0.6 else (small if draw.random() < 0.5 else menu)("div", named("sidebar", "related", "widget"))
+    side = lambda: small("aside", draw.choice(["", named("sidebar", "side")])) if draw.random() < 0.6 else (small if draw.random() < 0.5 and not plain else menu)("div", named("sidebar", "related", "widget"))
     if draw.random() < 0.25:
         out.append(side())
     if draw.random() > 0.03:
         out.append(article())
-    if draw.random() < 0.35:
+    if draw.random() < 0.35 and not plain:
         out.append(comments())
     if draw.random() < 0.25:
         out.append(side())
@@ -341,9 +414,14 @@ def training_page(draw: random.Random) -> tuple[str, list[bool]]:
     if draw.random() < 0.85:
         foot = draw.choice(["footer", "footer", "div"])
         attrs = named("footer", "copyright", "foot") if foot == "div" else ""
-        out.append(bare(foot, attrs, f"&copy; {word()}.example &middot; {sentence(4, 20)}") if draw.random() < 0.6 else small(foot, attrs))
+        mark = draw.choice(["&copy; {}.example &middot; {}", "&copy; {}.example &middot; {}", "© 2019 {}. {}", "Copyright &copy; {}. {}"]).format(word(), sentence(2, 20))
+        out.append(bare(foot, attrs, mark) if draw.random() < 0.6 or plain and foot == "div" else small(foot, attrs))
+    page = "".join(out)
+    if names != "words":
+        made_up = lambda found: "" if names == "none" else f' {found[1]}="{word()}-{word()}"' if plain or draw.random() < 0.3 else found[0]
+        page = re.sub(r' (class|id)="[^"]*"', made_up, page)
     end = draw.choice(["</body></html>", "</body></html>", ""])
-    return "<!DOCTYPE html><html><head><title>" + sentence() + "</title></head><body>" + "".join(out) + end, main
+    return "<!DOCTYPE html><html><head><title>" + sentence() + "</title></head><body>" + page + end, main
 
 
 @lru_cache(1)

@@ -8,6 +8,8 @@ import pytest
 
 from glyphflow.llm import ann, html_text, quality, toxicity
 
+from .labelled_pages import PAGES
+
 ODD = "doc_id long, text string, score double"
 
 
@@ -247,3 +249,29 @@ def test_long_pages_are_labelled_as_a_whole(monkeypatch):
     words = [f"w{i}" for i in range(100)]
     a, b = (html_text.blocks("<p>" + " ".join(words[:80] + tail) + "</p>") for tail in (["red"], ["blue"]))
     assert (html_text.vectors(a) != html_text.vectors(b)).any()
+
+
+def test_labeller_keeps_articles_of_other_layouts():
+    model, right, total, lost = html_text.trained(), 0, 0, {}
+    for name, page in PAGES.items():
+        want = [b.words.startswith("!") for b in html_text.blocks(page)]
+        got = html_text.label_pages(model, [html_text.blocks(page.replace("!", ""))])[0].tolist()
+        right, total = right + sum(a == b for a, b in zip(want, got, strict=True)), total + len(want)
+        lost[name] = sum(a and not b for a, b in zip(want, got, strict=True))
+    assert len(PAGES) >= 10 and right / total >= 0.95
+    assert max(lost.values()) <= 2
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<!-- ", '<div a="', "<div a='b\" ", "<", "</", "<script>", "<p>x", "&amp", '<a b="c" d=\'e"', "</div>", "<a ="])
+def test_malformed_markup_is_read_in_linear_time(unit):
+    began = time.process_time()
+    html_text.blocks(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 6
+
+
+def test_markup_that_does_not_end():
+    words = lambda html: [b.words for b in html_text.blocks(html)]
+    assert words("<p>one<p>two <!-- three <p>four") == ["one", "two"] and words("<p>one<div class='x>two<p ") == ["one", "two"]
+    assert words("<p>a < b <3 c</p>d<!doctype x>e<?php f?>g</ h>i") == ["a < b <3 c", "degi"]
+    assert words("<p title='a>b' class=x/y>c<p title=it's>d<script>var x = '<p>';</SCRIPT >e<style><p></style>f") == ["c", "d", "e", "f"]
+    assert words('<P CLASS="q">a<BR/>b<Div/>c') == ["a b", "c"]
