@@ -6,7 +6,9 @@ hashes therefore also give minima under 80 permutations, in 16 bands of five: a
 probability 0.998. Candidates of both kinds are verified by the exact similarity of their shingle sets.
 
 A spanning forest a bucket comes first. Members of a bucket that its verified links leave apart then all meet one
-another, in pairs of chunks, and are compared exactly until no candidate pair of different components is left.
+another, in pairs of chunks, and are compared exactly until no candidate pair of different components is left. Where a
+bucket leaves many apart, as under a header that unlike texts share, only those meet that share a shingle among their
+rarest: two sets of similarity s or more share one of the first (1 - s) n + 1 of their n shingles in any common order.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ CHUNK = 2_048
 ROUNDS = 6
 #: What the verified links leave apart meets in pairs of chunks of about so many.
 HALF = 512
+#: A bucket that leaves more members apart is gone through by their rarest shingles.
+MANY = 2_048
+#: Parts that a shingle's rows are dealt out over where its number is looked up.
+SALT = 16
 #: Three deviations of the estimate from 80 values.
 MARGIN = 0.14
 _DRAW = np.random.default_rng(17)
@@ -244,17 +250,41 @@ def _exact_links(similarity: float):
     return scan
 
 
+def _rarest(nodes: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """(node, bucket): the shingles by which a node meets every other at the similarity or above, the rarest among ``nodes`` first."""
+    held = saved(sets_of(nodes), "hot-shingles")
+    each = held.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    numbers = each.groupBy("shingle").agg(F.count("*").alias("count")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    numbered = each.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")).join(numbers, ["shingle", "salt"])
+    ranked = numbered.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("count", "shingle")))
+    return ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1) & (F.col("count") > 1)).select("node", F.col("shingle").alias("bucket"))
+
+
+def _split(members: DataFrame) -> DataFrame:
+    """bucket, main, its members and ``apart``, those outside ``main``, of every bucket with members of several components."""
+    by_root = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    split = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    return split.select("bucket", F.col("main.root").alias("main"), F.col("main.n").alias("n"), (F.col("n") - F.col("main.n")).alias("apart"))
+
+
 def _links_left(sketched: DataFrame, links: DataFrame, sets_of, similarity: float) -> DataFrame:
     """Verified links (a, b) between nodes that share a band and that ``links`` leaves in different components.
 
-    Of a bucket's members, those of its largest component don't meet one another; all others meet every member.
+    Of a bucket's members, those of its largest component don't meet one another; all others meet every member. The members
+    of a bucket that leaves over MANY apart meet by their rarest shingles instead, which loses no pair of the similarity.
     """
     parts = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     roots = connected_components(links)
-    members = saved(_buckets(sketched).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
-    by_root = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    split = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
-    split = split.select("bucket", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / HALF).alias("p"), F.ceil(F.col("main.n") / HALF).alias("q"))
+    rooted = lambda dealt: dealt.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = saved(rooted(_buckets(sketched)), "members")
+    split = saved(_split(members), "buckets")
+    hot = split.where(F.col("apart") > MANY).select("bucket")
+    if not hot.isEmpty():
+        rare = saved(rooted(_rarest(members.join(hot, "bucket", "left_semi").select("node").distinct(), sets_of, similarity)), "rare-members")
+        members = members.join(hot, "bucket", "left_anti").select("node", "bucket", "root").unionByName(rare.select("node", "bucket", "root"))
+        # by the rarest shingles every pair meets, so what is still large is alike
+        split = split.where(F.col("apart") <= MANY).unionByName(_split(rare))
+    split = split.select("bucket", "main", F.ceil(F.col("apart") / HALF).alias("p"), F.ceil(F.col("n") / HALF).alias("q"))
     met = members.join(split, "bucket").join(sketched.select("node", "low"), "node").withColumn("chunk", F.when(F.col("root") == F.col("main"), F.col("p") + F.pmod(F.xxhash64("node"), "q")).otherwise(F.pmod(F.xxhash64("node"), "p")))
     others = F.when(F.col("chunk") < F.col("p"), F.sequence(F.lit(0).cast("long"), F.col("p") + F.col("q") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("p") - 1))
     met = met.withColumn("other", F.explode(others)).where("other <> chunk").select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "root", "low")

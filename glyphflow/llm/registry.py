@@ -86,7 +86,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH d AS (SELECT DISTINCT doc_id, hash(text) AS text_hash, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
-bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM b WHERE len(w) >= 5),
+bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM b),
 dw AS (SELECT doc_id, text_hash, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d),
 met AS (
   SELECT dw.doc_id, dw.text_hash, bw.item_id, bw.n, dw.pos - bw.pos AS doc_start, count(*) AS n_equal, list(bw.pos) AS places

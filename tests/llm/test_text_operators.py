@@ -188,9 +188,10 @@ def test_texts_of_one_hash_stay_apart(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in got.collect()) == [*range(10, 40)]
 
 
-@pytest.mark.parametrize("chunk", [2048, 40])
-def test_near_copies_of_many_variants(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "many"), [(2048, 2048), (40, 2048), (40, 15)])
+def test_near_copies_of_many_variants(spark, monkeypatch, chunk, many):
     monkeypatch.setattr(near_copies, "CHUNK", chunk)
+    monkeypatch.setattr(near_copies, "MANY", many)
     monkeypatch.setattr(near_copies, "HALF", chunk, raising=False)
     draw = random.Random(11)
     base = [f"w{draw.randrange(5000)}" for _ in range(300)]
@@ -206,6 +207,32 @@ def test_near_copies_of_many_variants(spark, monkeypatch, chunk):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(want))
 
 
+def test_unlike_texts_under_one_header_do_not_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "MANY", 30)
+    monkeypatch.setattr(near_copies, "HALF", 8)
+    rows_of, save = {}, near_copies.saved
+
+    def counted(df, what, *partition_by):
+        made = save(df, what, *partition_by)
+        rows_of[what] = made.count()
+        return made
+
+    monkeypatch.setattr(near_copies, "saved", counted)
+    draw = random.Random(3)
+    header = [f"h{i}" for i in range(180)]
+    own = [[f"x{draw.randrange(10**6)}" for _ in range(70)] for _ in range(600)]
+    texts = [" ".join(header + o) for o in own] + [" ".join(header + [f"y{k}", *o[1:]]) for k, o in enumerate(own[:25])]
+    got = near_copies.one_of_each(docs(spark, [(k, t, None) for k, t in enumerate(texts)]))
+    assert sorted(r["doc_id"] for r in got.collect()) == [*range(600)]
+    assert rows_of["hot-shingles"] > 400  # all in large buckets
+    assert rows_of.get("apart", 0) < 600  # of the 600 * 600 / 2 pairs that share a bucket somewhere
+
+
+def test_near_copies_of_nothing(spark):
+    assert near_copies.one_of_each(docs(spark, [])).count() == 0
+    assert near_copies.one_of_each(docs(spark, [(1, None, "a"), (2, "", "b"), (3, " ", "c")])).count() == 1
+
+
 def test_url_filter(spark):
     urls = ["https://a.COM/en/1", "http://com/en/", "x://b.example.com/en/7?q#f", "example.com/en/7", None, "http://example.net/de/81", "ftp://xcom/en/", "://m.net/de/#a", "http://h.org", "http://h.org/es/é"]
     pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string")
@@ -241,14 +268,15 @@ def test_decontamination(spark):
     ]
     bench = spark.createDataFrame([(10, " ".join(passage)), (11, "two three four five six"), (12, "a b c"), (13, None)], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs(spark, rows), bench).collect()}
-    assert found == {(1, 10), (2, 10), (None, 10), (7, 11)}
+    assert found == {(1, 10), (2, 10), (None, 10), (7, 11), (8, 12)}
     clean = decontaminate.clean_documents(docs(spark, rows), bench)
     assert clean.columns == ["doc_id", "text", "lang"]
-    assert sorted(r["doc_id"] for r in clean.collect()) == [3, 4, 5, 6, 8]
+    assert sorted(r["doc_id"] for r in clean.collect()) == [3, 4, 5, 6]
     assert decontaminate.overlaps(docs(spark, []), bench).count() == 0
+    assert decontaminate.overlaps(docs(spark, rows), bench, least_words=5).where("item_id = 12").count() == 0
 
 
-@pytest.mark.parametrize("n", range(5, 16))
+@pytest.mark.parametrize("n", range(1, 16))
 def test_masks_meet_every_pattern_that_is_accepted(n):
     window = min(n, decontaminate.WINDOW)
     masks = decontaminate.MASKS[max(k for k in decontaminate.MASKS if k <= n)]
@@ -265,7 +293,7 @@ def _brute_overlaps(rows, bench):
         doc = split(text)
         for i, item in bench:
             item = split(item)
-            if len(item) < 5:
+            if not item:
                 continue
             window, best = min(len(item), 13), None
             for start in range(1 - len(item), len(doc)):
@@ -282,7 +310,7 @@ def test_overlaps_match_all_diagonals(spark, monkeypatch, seeds):
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", seeds)
     draw = random.Random(8)
     words = [f"w{i}" for i in range(30)]
-    bench = [(i, " ".join(draw.choice(words) for _ in range(n))) for i, n in enumerate([*range(4, 18), 30, 45])] + [(99, None), (98, "w1 w1 w1 w1 w1 w1 w1")]
+    bench = [(i, " ".join(draw.choice(words) for _ in range(n))) for i, n in enumerate([*range(2, 18), 30, 45])] + [(99, None), (98, "w1 w1 w1 w1 w1 w1 w1")]
     rows = []
     for k in range(90):
         item = draw.choice(bench)[1]
