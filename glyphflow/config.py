@@ -24,6 +24,12 @@ class OcrConfig:
     keep_aspect_ratio: bool = False
     crop_width: int = 100
     crop_height: int = 32
+    #: Size that whole images are brought to before detection; 0 leaves them as they are.
+    detect_width: int = 0
+    detect_height: int = 0
+    #: Images or tiles, and crops, that a model is given at once.
+    detect_batch: int = 16
+    recognise_batch: int = 64
 
     def __post_init__(self):
         for name in ("binarize_threshold", "polygon_threshold"):
@@ -35,8 +41,10 @@ class OcrConfig:
             raise ValueError(f"decoder must be one of {DECODERS}")
         if not 0 <= self.overlap_rate < 1:
             raise ValueError("overlap_rate must be in [0, 1)")
-        if min(self.tile, self.crop_width, self.crop_height) < 1:
+        if min(self.tile, self.crop_width, self.crop_height, self.detect_batch, self.recognise_batch) < 1:
             raise ValueError("sizes must be positive")
+        if min(self.detect_width, self.detect_height) < 0 or (self.detect_width > 0) != (self.detect_height > 0):
+            raise ValueError("detect_width and detect_height are both positive, or both 0")
 
     @classmethod
     def from_json(cls, text: str) -> OcrConfig:

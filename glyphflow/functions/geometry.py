@@ -33,15 +33,21 @@ def perimeter(p: list[Point]) -> Column:
     return reduce(lambda s, t: s + t, (distance(p[i], p[(i + 1) % 4]) for i in range(4)))
 
 
-def with_unclipped(df: DataFrame, ratio: float) -> DataFrame:
-    """Columns x1..y4 grown by area * ratio / perimeter and cut to integers.
+def growth(p: list[Point], ratio: float) -> Column:
+    """How far the edges of a polygon move outward: area * ratio / perimeter; null without a perimeter."""
+    return area(p) * ratio / F.nullif(perimeter(p), F.lit(0.0))
+
+
+def with_unclipped(df: DataFrame, ratio: float, by: Column | None = None) -> DataFrame:
+    """Columns x1..y4 grown by ``by`` (their ``growth``, if not given) and cut to integers.
 
     Every edge moves outward along its normal and neighbouring edges meet in their intersection; where they are nearly
-    parallel (|cos| > 0.7) the middle of the facing ends takes its place. A zero-length edge gives null vertices. Shared
-    parts are columns of their own, so that expressions stay small.
+    parallel (|cos| > 0.7) the middle of their far ends takes its place: of the vertex before, moved with the first edge, and the
+    vertex behind, moved with the second. A zero-length edge gives null vertices. Shared parts are columns of their own, so
+    that expressions stay small.
     """
     p = vertices()
-    df = df.withColumn("_by", area(p) * ratio / F.nullif(perimeter(p), F.lit(0.0)))
+    df = df.withColumn("_by", growth(p, ratio) if by is None else by)
     for i in range(4):
         (ax, ay), (bx, by) = p[i], p[(i + 1) % 4]
         vx, vy = (bx - ax).cast("double"), (by - ay).cast("double")
@@ -52,14 +58,14 @@ def with_unclipped(df: DataFrame, ratio: float) -> DataFrame:
     for i in range(4):
         k = (i + 3) % 4  # the edge that ends in vertex i; edge i begins there
         a0 = (p[k][0] + F.col(f"_ox{k}"), p[k][1] + F.col(f"_oy{k}"))
-        a1 = (p[i][0] + F.col(f"_ox{k}"), p[i][1] + F.col(f"_oy{k}"))
         b0 = (p[i][0] + F.col(f"_ox{i}"), p[i][1] + F.col(f"_oy{i}"))
+        b1 = (p[(i + 1) % 4][0] + F.col(f"_ox{i}"), p[(i + 1) % 4][1] + F.col(f"_oy{i}"))
         u, v = (F.col(f"_ux{k}"), F.col(f"_uy{k}")), (F.col(f"_ux{i}"), F.col(f"_uy{i}"))
         cross = F.nullif(u[0] * v[1] - u[1] * v[0], F.lit(0.0))
         t = ((b0[0] - a0[0]) * v[1] - (b0[1] - a0[1]) * v[0]) / cross
         flat = F.abs(u[0] * v[0] + u[1] * v[1]) > 0.7
-        new[f"_x{i + 1}"] = F.when(flat, (a1[0] + b0[0]) / 2).otherwise(a0[0] + t * u[0]).cast("int")
-        new[f"_y{i + 1}"] = F.when(flat, (a1[1] + b0[1]) / 2).otherwise(a0[1] + t * u[1]).cast("int")
+        new[f"_x{i + 1}"] = F.when(flat, (a0[0] + b1[0]) / 2).otherwise(a0[0] + t * u[0]).cast("int")
+        new[f"_y{i + 1}"] = F.when(flat, (a0[1] + b1[1]) / 2).otherwise(a0[1] + t * u[1]).cast("int")
     df = df.withColumns(new).withColumns({c[1:]: F.col(c) for c in new})
     return df.drop("_by", *new, *(f"_{c}{i}" for c in ("n", "ox", "oy", "ux", "uy") for i in range(4)))
 
@@ -109,7 +115,7 @@ def rescale(p: list[Point], sx: Column, sy: Column) -> list[Point]:
     return [((x * sx).cast("int"), (y * sy).cast("int")) for x, y in p]
 
 
-def source_scale(height: Column, width: Column, to_height: int, to_width: int, keep_aspect: bool) -> tuple[Column, Column]:
+def source_scale(height: Column, width: Column, to_height: Column | int, to_width: Column | int, keep_aspect: bool) -> tuple[Column, Column]:
     """(x, y) scales from a canvas back to the source: one for both axes where the resize kept the aspect."""
-    sx, sy = width / float(to_width), height / float(to_height)
+    sx, sy = (n / (to.cast("double") if isinstance(to, Column) else float(to)) for n, to in ((width, to_width), (height, to_height)))
     return (F.greatest(sx, sy), F.greatest(sx, sy)) if keep_aspect else (sx, sy)

@@ -44,10 +44,13 @@ def keep_charset(text: Column, kept: str = "a-zA-Z0-9", case: str | None = None)
 
 def split_values(text: Column, mark: str = ",") -> Column:
     """The parts between marks, in order; an empty part after the last mark doesn't count, others do. None for null."""
-    parts = F.split(F.coalesce(text, F.lit("")), f"[{mark}]", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    whole = F.coalesce(text, F.lit(""))
+    # without the last mark, and without anything where that is all there is
+    cut = F.split(F.regexp_replace(whole, rf"[{mark}]\z", ""), f"[{mark}]", -1)
+    return F.when(whole == "", F.array().cast("array<string>")).otherwise(cut)
 
 
 def split_ints(text: Column, mark: str = ",") -> Column:
     """``split_values`` as whole numbers; null for a part that is none."""
-    return F.transform(split_values(text, mark), lambda x: F.trim(x).try_cast("int"))
+    number = r"^\s*[+-]?[0-9]{1,10}\s*$"
+    return F.transform(split_values(text, mark), lambda x: F.when(x.rlike(number), F.trim(x).try_cast("int")))

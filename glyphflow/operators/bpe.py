@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,10 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions.decode import ascii_lower
 from ..functions.text import basic_clean, token_words, whitespace_clean
+from ..storage import saved
 
 END = "</w>"
 
 
+@lru_cache(1)
 def byte_symbols() -> list[str]:
     """A printable character for every byte: itself where printable, else one from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -30,23 +34,37 @@ def vocabulary(merges: list[tuple[str, str]]) -> dict[str, int]:
 
 
 def merge_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Symbols of one word after merging its lowest-ranked pair, everywhere at once, until no pair has a rank."""
+    """Symbols of one word after merging its lowest-ranked pair, everywhere at once from the left, until no pair has a rank.
+
+    Symbols are linked both ways and ranked pairs wait in a heap, so a word of n bytes takes n log n steps.
+    """
     symbols = byte_symbols()
-    parts = [symbols[b] for b in word.encode("utf-8")]
+    parts: list[str | None] = [symbols[b] for b in word.encode("utf-8")]
     if not parts:
         return []
     parts[-1] += END
-    while len(parts) > 1:
-        pair = min(zip(parts, parts[1:], strict=False), key=lambda p: ranks.get(p, len(ranks)))
-        if pair not in ranks:
-            break
-        merged, i = [], 0
-        while i < len(parts):
-            two = tuple(parts[i : i + 2]) == pair
-            merged.append(parts[i] + parts[i + 1] if two else parts[i])
-            i += 1 + two
-        parts = merged
-    return parts
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    waiting = [(ranks[p], k) for k, p in enumerate(zip(parts, parts[1:], strict=False)) if p in ranks]
+    heapify(waiting)
+    while waiting:
+        rank, places = waiting[0][0], []
+        while waiting and waiting[0][0] == rank:
+            places.append(heappop(waiting)[1])
+        made = []
+        for k in places:
+            n = after[k]
+            if parts[k] is None or n == len(parts) or ranks.get((parts[k], parts[n])) != rank:
+                continue  # one of the two has been merged into another
+            parts[k] += parts[n]
+            parts[n], after[k] = None, after[n]
+            if after[k] < len(parts):
+                before[after[k]] = k
+            made.append(k)
+        for k in made:
+            for a in (before[k], k):
+                if a >= 0 and parts[a] is not None and after[a] < len(parts) and (pair := (parts[a], parts[after[a]])) in ranks:
+                    heappush(waiting, (ranks[pair], a))
+    return [p for p in parts if p is not None]
 
 
 def clean(text: Column) -> Column:
@@ -54,8 +72,14 @@ def clean(text: Column) -> Column:
 
 
 def encode(rows: DataFrame, key: list[str], text: str, merges: list[tuple[str, str]]) -> DataFrame:
-    """``key`` columns and the ids of each row's text. Unknown tokens have id 0; a null or empty text has no ids."""
-    words = rows.select(*key, F.posexplode(token_words(clean(F.col(text)))).alias("at", "word"))
+    """``key`` columns and the ids of each row's text, a row for a row. Unknown tokens have id 0; a null or empty text has no ids.
+
+    Keys may be null and may repeat: rows are told apart by a number of their own, given in a written table. Every different
+    word is merged once and joined back.
+    """
+    kept = rows.select(F.struct(*key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
+    held = saved(kept, "texts")
+    words = held.select("row", F.posexplode(token_words(clean(F.col("text")))).alias("at", "word"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks, ids = {m: i for i, m in reversed(list(enumerate(merges)))}, vocabulary(merges)
@@ -63,5 +87,5 @@ def encode(rows: DataFrame, key: list[str], text: str, merges: list[tuple[str, s
             yield pd.DataFrame({"word": b["word"], "ids": [[ids.get(t, 0) for t in merge_word(w, ranks)] for w in b["word"]]})
 
     coded = words.select("word").distinct().mapInPandas(scan, "word string, ids array<int>")
-    joined = words.join(coded, "word").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
-    return rows.select(*key).join(joined, key, "left").select(*key, F.coalesce(F.flatten("parts.ids"), F.array().cast("array<int>")).alias("ids"))
+    joined = words.join(coded, "word").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
+    return held.select("row", "key").join(joined, "row", "left").select("key.*", F.coalesce(F.flatten("parts.ids"), F.array().cast("array<int>")).alias("ids"))

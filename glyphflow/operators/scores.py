@@ -96,27 +96,37 @@ def hull(points: Column) -> Column:
 def least_box(corners: Column) -> Column:
     """The rotated rectangle of least area on an edge of a hull: struct of box_w, box_h and box (bottom left, top left, top right, bottom right).
 
-    Of equal areas the longer box counts, then the edge of smaller direction: the result doesn't depend on the order of the corners.
+    The width lies along the side that is nearer to the level one. Of equal areas the longer box counts, then the edge of smaller direction: the result doesn't depend on the order of the corners.
     Extents are whole numbers over the edge's length, so equal areas are equal numbers. A single point has a box of no size; none gives null.
     """
 
-    def of(i: Column) -> Column:
+    def way(i: Column) -> Column:
         a, b = F.get(corners, i), F.get(corners, (i + 1) % F.size(corners))
-        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-        along, across = F.transform(corners, lambda p: p["x"] * dx + p["y"] * dy), F.transform(corners, lambda p: p["y"] * dx - p["x"] * dy)
-        return F.struct(dx.alias("dx"), dy.alias("dy"), F.array_min(along).alias("s0"), F.array_max(along).alias("s1"), F.array_min(across).alias("t0"), F.array_max(across).alias("t1"))
+        return F.struct((b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy"))
+
+    def turned(e: Column) -> Column:
+        """The one of the four directions of a rectangle on the edge that points right, by less than 45 degrees up and 45 at most down."""
+        dx, dy = e["dx"], e["dy"]
+        as_struct = lambda x, y: F.struct(x.alias("dx"), y.alias("dy"))
+        right, down, left = (dx > 0) & (dy > -dx) & (dy <= dx), (dy > 0) & (dx >= -dy) & (dx < dy), (dx < 0) & (dy >= dx) & (dy < -dx)
+        return F.when(right, as_struct(dx, dy)).when(down, as_struct(dy, -dx)).when(left, as_struct(-dx, -dy)).otherwise(as_struct(-dy, dx))
+
+    def of(e: Column) -> Column:
+        along, across = F.transform(corners, lambda p: p["x"] * e["dx"] + p["y"] * e["dy"]), F.transform(corners, lambda p: p["y"] * e["dx"] - p["x"] * e["dy"])
+        return F.struct(e["dx"].alias("dx"), e["dy"].alias("dy"), F.array_min(along).alias("s0"), F.array_max(along).alias("s1"), F.array_min(across).alias("t0"), F.array_max(across).alias("t1"))
 
     def measured(e: Column) -> Column:
         n2 = (e["dx"] * e["dx"] + e["dy"] * e["dy"]).cast("double")
         w, h = (e["s1"] - e["s0"]).cast("double"), (e["t1"] - e["t0"]).cast("double")
         return F.struct((w * h / n2).alias("area"), (-F.greatest(w * w / n2, h * h / n2)).alias("long"), e["dx"].alias("dx"), e["dy"].alias("dy"), *(e[c].alias(c) for c in ("s0", "s1", "t0", "t1")))
 
-    edges = F.transform(F.sequence(F.lit(0), F.size(corners) - 1), of)
-    best = F.array_min(F.transform(F.filter(edges, lambda e: (e["dx"] != 0) | (e["dy"] != 0)), measured))
+    ways = F.filter(F.transform(F.sequence(F.lit(0), F.size(corners) - 1), way), lambda e: (e["dx"] != 0) | (e["dy"] != 0))
+    best = F.array_min(F.transform(F.transform(F.transform(ways, turned), of), measured))
 
     def box(e: Column) -> Column:
-        n = F.sqrt((e["dx"] * e["dx"] + e["dy"] * e["dy"]).cast("double"))
-        corner = lambda s, t: F.struct(((e[s] * e["dx"] - e[t] * e["dy"]) / (n * n)).alias("x"), ((e[s] * e["dy"] + e[t] * e["dx"]) / (n * n)).alias("y"))
+        n2 = (e["dx"] * e["dx"] + e["dy"] * e["dy"]).cast("double")
+        n = F.sqrt(n2)
+        corner = lambda s, t: F.struct(((e[s] * e["dx"] - e[t] * e["dy"]) / n2).alias("x"), ((e[s] * e["dy"] + e[t] * e["dx"]) / n2).alias("y"))
         return F.struct(((e["s1"] - e["s0"]) / n).alias("box_w"), ((e["t1"] - e["t0"]) / n).alias("box_h"), F.array(corner("s0", "t1"), corner("s0", "t0"), corner("s1", "t0"), corner("s1", "t1")).alias("box"))
 
     point = lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))

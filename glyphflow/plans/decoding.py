@@ -24,12 +24,18 @@ def q_attention_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps(spark, sf_dir).select(*_KEY, *_named(decode.attention(F.col("ids"), F.col("probs"), decode.attention_dictionary(SYMBOLS))))
 
 
+def _once_a_word(regions: DataFrame, key: tuple[str, ...], *columns) -> DataFrame:
+    """``columns`` of every region; steps hang on the word alone, so each different word is decoded once and joined back."""
+    decoded = regions.select("word", "ids", "probs").dropDuplicates(["word"]).select("word", *columns)
+    return regions.select(*key, "word").join(decoded, "word").drop("word")
+
+
 def q_ctc_decode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_steps(spark, sf_dir).select(*_DOC_KEY, *_named(decode.ctc(F.col("ids"), F.col("probs"), decode.ctc_dictionary(SYMBOLS))))
+    return _once_a_word(doc_steps(spark, sf_dir), _DOC_KEY, *_named(decode.ctc(F.col("ids"), F.col("probs"), decode.ctc_dictionary(SYMBOLS))))
 
 
 def q_attention_decode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_steps(spark, sf_dir).select(*_DOC_KEY, *_named(decode.attention(F.col("ids"), F.col("probs"), decode.attention_dictionary(SYMBOLS))))
+    return _once_a_word(doc_steps(spark, sf_dir), _DOC_KEY, *_named(decode.attention(F.col("ids"), F.col("probs"), decode.attention_dictionary(SYMBOLS))))
 
 
 def q_argmax_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,12 +56,23 @@ def q_decode_alnum_lower_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_upsidedown_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every region read upright and reversed; the reversed reading wins only where it is surer."""
+    return _surer(steps(spark, sf_dir).select(*_KEY, *_both_ways()), _KEY)
+
+
+def q_upsidedown_select_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _surer(_once_a_word(doc_steps(spark, sf_dir), _DOC_KEY, *_both_ways()), _DOC_KEY)
+
+
+def _surer(read: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    return read.select(*key, decode.upright(F.col("a"), F.col("b")).alias("s")).select(*key, "s.text", "s.conf")
+
+
+def _both_ways() -> list:
     both = []
     for ids, probs in ((F.col("ids"), F.col("probs")), (F.reverse("ids"), F.transform(F.reverse("probs"), lambda p, i: F.greatest(p - 0.01 * (i % 3), F.lit(0.0))))):
         text, conf = decode.ctc(ids, probs, decode.ctc_dictionary(SYMBOLS))
         both.append(F.struct(text.alias("text"), F.round(conf, 9).alias("conf")))
-    read = steps(spark, sf_dir).select(*_KEY, both[0].alias("a"), both[1].alias("b"))
-    return read.select(*_KEY, decode.upright(F.col("a"), F.col("b")).alias("s")).select(*_KEY, "s.text", "s.conf")
+    return [both[0].alias("a"), both[1].alias("b")]
 
 
 def q_text_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +107,7 @@ d AS (SELECT image_id, best, stop, CASE WHEN stop > 0 THEN ids[1 : stop - 1] ELS
 t AS (SELECT image_id, array_to_string(list_transform(ids, lambda i: (['[E]', 'A', 'b', 'C', '-', 'e', '[B]', '[P]'])[i + 1]), '') AS text,
              {_PRODUCT.format("CASE WHEN stop > 0 THEN best[1 : stop] ELSE best END")} AS conf FROM d)
 """
-QUERIES = [q_ctc_decode, q_attention_decode, q_argmax_decode, q_decode_alnum_lower, q_upsidedown_select, q_text_truncate, q_token_pad16, q_ctc_decode_docs, q_attention_decode_docs, q_decode_alnum_lower_docs, q_token_pad16_docs]
+QUERIES = [q_ctc_decode, q_attention_decode, q_argmax_decode, q_decode_alnum_lower, q_upsidedown_select, q_text_truncate, q_token_pad16, q_ctc_decode_docs, q_attention_decode_docs, q_decode_alnum_lower_docs, q_token_pad16_docs, q_upsidedown_select_docs]
 SQL = {
     "q_ctc_decode": f"""WITH {STEPS_SQL}, k AS (SELECT *, {_CTC} FROM steps)
 SELECT conv_id, turn, word_no, array_to_string(list_transform(kept, lambda k: substr({_SYM}, ids[k]::INT, 1)), '') AS text,
@@ -111,5 +128,5 @@ SELECT conv_id, turn, word_no, CASE WHEN bc > ac THEN b ELSE a END AS text, grea
     "q_token_pad16": f"""WITH {STEPS_SQL}, w AS (SELECT *, list_concat([900], ids, [901]) AS t FROM steps)
 SELECT conv_id, turn, word_no, array_to_string(CASE WHEN len(t) > 16 THEN list_concat(t[1 : 15], [901]) ELSE list_concat(t, list_transform(range(0, 16 - len(t)), lambda i: 0)) END, ' ') AS tokens FROM w""",
 }
-SQL |= {f"{k}_docs": SQL[k].replace(STEPS_SQL, DOC_STEPS_SQL).replace("conv_id, turn", "doc_id") for k in ("q_ctc_decode", "q_attention_decode", "q_token_pad16")}
+SQL |= {f"{k}_docs": SQL[k].replace(STEPS_SQL, DOC_STEPS_SQL).replace("conv_id, turn", "doc_id") for k in ("q_ctc_decode", "q_attention_decode", "q_token_pad16", "q_upsidedown_select")}
 SQL["q_decode_alnum_lower_docs"] = f"WITH {DOC_STEPS_SQL} SELECT doc_id, word_no, lower(regexp_replace(word, '[^a-zA-Z0-9]', '', 'g')) AS text FROM steps"

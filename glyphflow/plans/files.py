@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from ..functions.text import split_ints
 from ..operators import bpe, results
 from ..sources import files
 from ..streaming import frames as s
-from . import decoding, streams
+from . import decoding, streams, tokens
 from .inputs import POLYGONS_SQL, SYMBOLS, polygons, steps, table
 
 
@@ -32,10 +30,7 @@ def q_dictionary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_bpe_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items encoded by a merge file of a public vocabulary; a test compares them with the tokenizer itself."""
-    import public_tokenizers
-
-    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        pairs = [" ".join(m) if isinstance(m, list) else m for m in json.load(f)["model"]["merges"]]
+    pairs = [" ".join(m) for m in tokens.merges()]
     merges = files.merges(spark, _written(spark, ["#version", *pairs]))
     return bpe.encode(table(spark, sf_dir, "benchmark"), ["item_id"], "text", merges)
 

@@ -2,47 +2,64 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import OcrConfig
 from ..functions import decode, pixels, tiling
 from ..functions import geometry as g
-from ..operators import contours, results
-from ..operators.recognise import Detector, MatrixRecogniser, Recogniser, StubDetector, StubMatrixRecogniser, StubRecogniser, detect, recognise
+from ..operators import contours, results, scores
+from ..operators.recognise import Detector, MatrixRecogniser, Recogniser, StubDetector, StubMatrixRecogniser, StubRecogniser, detect, on_canvas, recognise
+from ..storage import saved
 from .inputs import SYMBOLS, rasters
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """``df`` behind a pass that the optimiser doesn't look into: a predicate put through nested geometry outgrows the driver."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches
-
-    return df.mapInArrow(scan, df.schema)
+def regions(maps: DataFrame, config: OcrConfig, sizes: DataFrame | None = None) -> DataFrame:
+    """image_id, poly_idx, x1..y4, m of every text region of probability maps (image_id, h, w, p; image_id unique, the table cheap to read again).
 
-
-def texts(prob_maps: DataFrame, config: OcrConfig, model: Recogniser | MatrixRecogniser, symbols: list[str] = SYMBOLS) -> DataFrame:
-    """image_id, poly_idx, x1..y4, text, conf of every region; images (image_id, h, w, p) without text give no rows.
-
-    image_id is unique. Contours are found once; an image's regions are gathered (``max_candidates`` at most) and meet
-    its map in one row, so the only shuffles are by image_id.
+    The first ``max_candidates`` contours of a map count, of these the ones that score enough; their boxes, 1 px wide at least,
+    are grown and their corners put in order. With ``sizes`` (image_id, height, width) contours are brought to these sizes
+    before they are boxed. A box's growth is that of its exact corners, which are rounded then (half to even). ``m`` is null for a
+    region that can't be cropped.
+    """
+    found = saved(contours.borders(maps, config.binarize_threshold), "borders")
+    if config.max_candidates > 0:
+        found = found.where(F.col("contour_idx") < config.max_candidates)
+    key = ["image_id", "contour_idx"]
+    good = scores.polygon_scores(found, maps, key).where(F.col("score") >= config.polygon_threshold).select(*key)
+    kept = found.join(good, key)
+    if sizes is not None:
+        to = maps.select("image_id", "h", "w").join(sizes.select("image_id", "height", "width"), "image_id")
+        x, y = (g.source_scale(F.col("height"), F.col("width"), F.col("h"), F.col("w"), config.keep_aspect_ratio))
+        placed = to.select("image_id", x.alias("sx"), y.alias("sy"))
+        scaled = F.transform("pts", lambda p: F.struct((p["x"] * F.col("sx")).cast("int").alias("x"), (p["y"] * F.col("sy")).cast("int").alias("y")))
+        kept = kept.join(placed, "image_id").select(*key, scaled.alias("pts"))
+    boxed = kept.withColumn("corners", scores.hull(F.col("pts"))).withColumn("b", scores.least_box(F.col("corners")))
+    exact = [(F.get("b.box", F.lit(i))["x"], F.get("b.box", F.lit(i))["y"]) for i in range(4)]
+    flat = [c for p in exact for c in p]
+    corners = boxed.select("image_id", F.col("contour_idx").alias("poly_idx"), F.least("b.box_w", "b.box_h").alias("short"), *(c.alias(f"d{n}") for c, n in zip(flat, results.POLY, strict=True)))
+    whole = corners.select("image_id", "poly_idx", "short", *(F.rint(f"d{n}").cast("int").alias(n) for n in results.POLY), g.growth([(F.col(f"dx{i}"), F.col(f"dy{i}")) for i in range(1, 5)], config.unclip_ratio).alias("by"))
+    # written, so that what is asked of a region is not put through its geometry
+    grown = saved(g.with_unclipped(whole, config.unclip_ratio, F.col("by")), "regions").where("short >= 1").drop("short", "by").dropna()
+    formed = g.with_corners(grown, config.rotation_threshold)
+    m = F.array(*g.homography([(F.col(f"{c}.x"), F.col(f"{c}.y")) for c in ("tl", "tr", "br", "bl")], config.crop_width, config.crop_height))
+    return formed.select("image_id", "poly_idx", *results.POLY, m.alias("m"))
+
+
+def texts(prob_maps: DataFrame, config: OcrConfig, model: Recogniser | MatrixRecogniser, symbols: list[str] = SYMBOLS, images: DataFrame | None = None) -> DataFrame:
+    """image_id, poly_idx, x1..y4, text, conf of every region of probability maps (image_id, h, w, p), cropped from ``images``.
+
+    Without ``images`` (the same columns, image_id unique, any size and any number of channels) regions are cropped from the maps.
+    Images without text give no rows, a region that can't be cropped has a null text. An image's regions
+    are gathered (``max_candidates`` at most) and meet it in one row.
     """
-    found = contours.candidates(contours.contours(prob_maps, config.binarize_threshold), config.max_candidates, config.polygon_threshold)
-    box = {n: F.get("box", F.lit(i // 2))["xy"[i % 2]].cast("int") for i, n in enumerate(results.POLY)}
-    boxed = found.select("image_id", F.col("contour_idx").alias("poly_idx"), *(c.alias(n) for n, c in box.items()))
-    grown = _held(g.with_unclipped(boxed, config.unclip_ratio)).dropna()
-    formed = _held(g.with_corners(grown, config.rotation_threshold))
-    corners = [(F.col(f"{c}.x"), F.col(f"{c}.y")) for c in ("tl", "tr", "br", "bl")]
-    m = F.array(*g.homography(corners, config.crop_width, config.crop_height))
-    region = F.struct("poly_idx", F.array(*results.POLY).alias("poly"), F.when(F.get(m, F.lit(8)).isNotNull(), m).alias("m"))
-    images = formed.groupBy("image_id").agg(F.array_sort(F.collect_list(region)).alias("regions")).join(prob_maps.select("image_id", "h", "w", "p"), "image_id")
+    maps = saved(prob_maps.select("image_id", "h", "w", "p"), "maps")
+    shown = maps if images is None else images.select("image_id", "h", "w", "p")
+    found = regions(maps, config, None if images is None else shown.select("image_id", F.col("h").alias("height"), F.col("w").alias("width")))
+    region = F.struct("poly_idx", F.array(*results.POLY).alias("poly"), F.when(F.get("m", F.lit(8)).isNotNull(), F.col("m")).alias("m"))
+    gathered = found.groupBy("image_id").agg(F.array_sort(F.collect_list(region)).alias("regions")).join(shown, "image_id")
     matrices = config.decoder == "transformer"
-    steps = recognise(images.select("image_id", "h", "w", "p", "regions"), model, config.crop_height, config.crop_width, config.upside_down, matrices)
+    steps = recognise(gathered.select("image_id", "h", "w", "p", "regions"), model, config.crop_height, config.crop_width, config.upside_down, matrices, config.recognise_batch)
     if config.decoder == "ctc":
         text, conf = decode.ctc(F.col("ids"), F.col("probs"), decode.ctc_dictionary(symbols))
     elif config.decoder == "attention":
@@ -58,59 +75,56 @@ def texts(prob_maps: DataFrame, config: OcrConfig, model: Recogniser | MatrixRec
     return best.select("image_id", "poly_idx", *(F.get("poly", F.lit(i)).alias(n) for i, n in enumerate(results.POLY)), "s.text", "s.conf")
 
 
-def cut_tiles(maps: DataFrame, height: int, width: int, tile: int, overlap: int) -> DataFrame:
-    """Tiles (image_id, row, col, h, w, p) that cover maps of one size; beyond the map they hold 0."""
-    grid = maps.select("image_id", "p", F.explode(tiling.tiles(F.lit(height), F.lit(width), tile, overlap)).alias("t"))
+def cut_tiles(maps: DataFrame, tile: int, overlap: int) -> DataFrame:
+    """Tiles (image_id, height, width, row, col, h, w, p) that cover maps (image_id, h, w, p), each of its own size; beyond a map they hold 0."""
+    sized = maps.select("image_id", F.col("h").alias("height"), F.col("w").alias("width"), "p")
+    grid = sized.select("image_id", "height", "width", "p", F.explode(tiling.tiles(F.col("height"), F.col("width"), tile, overlap)).alias("t"))
 
     def line(y: Column) -> Column:
-        own = F.slice("p", y * width + F.col("t.left") + 1, F.least(F.lit(tile), F.lit(width) - F.col("t.left")))
+        own = F.slice("p", y * F.col("width") + F.col("t.left") + 1, F.least(F.lit(tile), F.col("width") - F.col("t.left")))
         zeros = lambda n: F.array_repeat(F.lit(0.0), n)
-        return F.when(y < height, F.concat(own, zeros(F.lit(tile) - F.size(own)))).otherwise(zeros(F.lit(tile)))
+        return F.when(y < F.col("height"), F.concat(own, zeros(F.lit(tile) - F.size(own)))).otherwise(zeros(F.lit(tile)))
 
-    p = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(tile - 1)), lambda y: line(F.col("t.top") + y)))
-    return grid.select("image_id", F.col("t.row").alias("row"), F.col("t.col").alias("col"), F.lit(tile).alias("h"), F.lit(tile).alias("w"), p.alias("p"))
+    own = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(tile - 1)), lambda y: line(F.col("t.top") + y)))
+    cut = grid.withColumn("own", own)
+    return cut.select("image_id", "height", "width", F.col("t.row").alias("row"), F.col("t.col").alias("col"), F.lit(tile).alias("h"), F.lit(tile).alias("w"), F.col("own").alias("p"))
 
 
-def merged_tiles(tile_maps: DataFrame, height: int, width: int, tile: int, overlap: int) -> DataFrame:
-    """One map per image from its tiles' maps (image_id, row, col, p): each canvas pixel comes from its owner.
+def merged_tiles(tile_maps: DataFrame, tile: int, overlap: int) -> DataFrame:
+    """One map (image_id, h, w, p) per image from its tiles' maps (image_id, height, width, row, col, p): each pixel comes from its owner.
 
     A tile owns a rectangle. It is cut into slices of lines before the shuffle, and an image's slices are put end to
     end in order; no row stands for a pixel.
     """
-    rows, cols = tiling.tile_count(F.lit(height), tile, overlap), tiling.tile_count(F.lit(width), tile, overlap)
-    canvas = [(tiling.tile_count(F.lit(n), tile, overlap) - 1) * (tile - overlap) + tile for n in (height, width)]
+    rows, cols = (tiling.tile_count(F.col(n), tile, overlap) for n in ("height", "width"))
+    canvas = [(n - 1) * (tile - overlap) + tile for n in (rows, cols)]
     # from half an overlap in, but for the outermost tiles
     low = lambda at: F.when(F.col(at) == 0, 0).otherwise(F.col(at) * (tile - overlap) + overlap // 2)
     high = lambda at, count, end: F.when(F.col(at) == count - 1, end).otherwise((F.col(at) + 1) * (tile - overlap) + overlap // 2)
     own = tile_maps.withColumns({"y0": low("row"), "y1": high("row", rows, canvas[0]), "x0": low("col"), "x1": high("col", cols, canvas[1])})
     # what lies beyond the map is dropped with the padding
-    own = own.withColumns({"y1": F.least("y1", F.lit(height)), "x1": F.least("x1", F.lit(width))}).where("y0 < y1 and x0 < x1")
+    own = own.withColumns({"y1": F.least("y1", "height"), "x1": F.least("x1", "width")}).where("y0 < y1 and x0 < x1")
     lines = F.transform(F.sequence(F.col("y0"), F.col("y1") - 1), lambda y: F.struct(y.alias("y"), F.col("x0").alias("x"), F.slice("p", (y - F.col("row") * (tile - overlap)) * tile + F.col("x0") - F.col("col") * (tile - overlap) + 1, F.col("x1") - F.col("x0")).alias("v")))
-    grouped = own.select("image_id", lines.alias("lines")).groupBy("image_id").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("all"))
-    return grouped.select("image_id", F.lit(height).alias("h"), F.lit(width).alias("w"), F.flatten("all.v").alias("p"))
+    grouped = own.select("image_id", "height", "width", lines.alias("lines")).groupBy("image_id", "height", "width").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("all"))
+    return grouped.select("image_id", F.col("height").alias("h"), F.col("width").alias("w"), F.flatten("all.v").alias("p"))
 
 
-def image_texts(images: DataFrame, height: int, width: int, config: OcrConfig, detector: Detector, model: Recogniser | MatrixRecogniser, tiled: bool = False, symbols: list[str] = SYMBOLS) -> DataFrame:
-    """``texts`` of images of one size (image_id, h, w, p), detected whole or, for ``tiled``, in tiles that are merged before recognition."""
+def image_texts(images: DataFrame, config: OcrConfig, detector: Detector, model: Recogniser | MatrixRecogniser, tiled: bool = False, symbols: list[str] = SYMBOLS) -> DataFrame:
+    """``texts`` of images (image_id, h, w, p; image_id unique), each of any size.
+
+    Whole images are detected at ``detect_height`` x ``detect_width`` (their own size, if 0), in one scale with ``keep_aspect_ratio``, and
+    their regions are brought back to the image and cropped from it. For ``tiled``, an image of one channel is fitted into the canvas
+    that its tiles cover, detected tile by tile, merged and recognised there, and its polygons are scaled back, cut to whole numbers.
+    """
     if not tiled:
-        return texts(detect(images, detector), config, model, symbols)
+        maps = detect(images.select("image_id", "h", "w", "p"), detector, config.detect_height, config.detect_width, config.keep_aspect_ratio, config.detect_batch)
+        return texts(maps, config, model, symbols, images)
     overlap = int(config.tile * config.overlap_rate)
-    tiles = cut_tiles(images, height, width, config.tile, overlap)
-    found = detect_tiles(tiles.select(F.struct("image_id", "row", "col").alias("place"), "h", "w", "p"), detector)
-    return texts(merged_tiles(found.select("place.*", "p"), height, width, config.tile, overlap), config, model, symbols)
-
-
-def detect_tiles(tiles: DataFrame, detector: Detector) -> DataFrame:
-    """Maps ``p`` of tiles (place, h, w, p), all of one size, each with its place."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                h, w = b.column("h")[0].as_py(), b.column("w")[0].as_py()
-                maps = detector(np.array(b.column("p").to_pylist(), float).reshape(-1, h, w))
-                yield pa.RecordBatch.from_arrays([b.column("place"), pa.array(maps.reshape(len(maps), -1).tolist(), pa.list_(pa.float64()))], ["place", "p"])
-
-    return tiles.select("place", "h", "w", "p").mapInArrow(scan, "place struct<image_id: bigint, row: int, col: int>, p array<double>")
+    canvases = saved(on_canvas(images, config.tile, overlap), "canvases")
+    tiles = cut_tiles(canvases.select("image_id", "h", "w", "p"), config.tile, overlap)
+    merged = merged_tiles(detect(tiles, detector, batch=config.detect_batch), config.tile, overlap)
+    read = texts(merged, config, model, symbols, canvases).join(canvases.select("image_id", "rescale"), "image_id")
+    return read.select("image_id", "poly_idx", *((F.col(n) * F.col("rescale")).cast("int").alias(n) for n in results.POLY), "text", "conf")
 
 
 def _enlarged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,20 +134,21 @@ def _enlarged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_rect_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every enlarged map through detection, geometry, the stub model and decoding."""
-    return image_texts(_enlarged(spark, sf_dir), 16, 16, OcrConfig(binarize_threshold=0.1, polygon_threshold=0.1, upside_down=True), StubDetector(), StubRecogniser())
+    return image_texts(_enlarged(spark, sf_dir), OcrConfig(binarize_threshold=0.1, polygon_threshold=0.1, upside_down=True), StubDetector(), StubRecogniser())
 
 
 def q_tiled_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same in tiles of 8 with half an overlap, recognised once on the merged maps, by the transformer decoder."""
     config = OcrConfig(binarize_threshold=0.1, polygon_threshold=0.1, decoder="transformer", tile=8, overlap_rate=0.5)
-    return image_texts(_enlarged(spark, sf_dir), 16, 16, config, StubDetector(), StubMatrixRecogniser(), tiled=True)
+    return image_texts(_enlarged(spark, sf_dir), config, StubDetector(), StubMatrixRecogniser(), tiled=True)
 
 
 def q_tile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maps cut into tiles of 4 with overlap 2 and merged again: every pixel comes back once."""
     grid = rasters(spark, sf_dir).select("image_id", "p", F.explode(tiling.tiles(F.lit(8), F.lit(8), 4, 2)).alias("t"))
     cut = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.get("p", (F.col("t.top") + F.floor(k / 4).cast("int")) * 8 + F.col("t.left") + k % 4))
-    merged = merged_tiles(grid.select("image_id", F.col("t.row").alias("row"), F.col("t.col").alias("col"), cut.alias("p")), 8, 8, 4, 2)
+    tiles = grid.select("image_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("t.row").alias("row"), F.col("t.col").alias("col"), cut.alias("own"))
+    merged = merged_tiles(tiles.withColumnRenamed("own", "p"), 4, 2)
     return merged.select("image_id", F.posexplode("p").alias("at", "v"))
 
 

@@ -118,10 +118,10 @@ a AS (SELECT *, abs(list_sum(list_transform(range(1, 5), lambda i: p[i][1] * p[i
 e AS (SELECT poly_id, i, area * 1.53 / nullif(len, 0) AS d, p[i][1] AS ax, p[i][2] AS ay, p[i % 4 + 1][1] AS bx, p[i % 4 + 1][2] AS by_ FROM a, (SELECT unnest(range(1, 5)) AS i)),
 n AS (SELECT *, bx - ax AS vx, by_ - ay AS vy, nullif(sqrt((bx - ax) ** 2 + (by_ - ay) ** 2), 0) AS n FROM e),
 m AS (SELECT poly_id, i, ax + vy * d / n AS x0, ay - vx * d / n AS y0, bx + vy * d / n AS x1, by_ - vx * d / n AS y1, vx / n AS ux, vy / n AS uy FROM n),
-j AS (SELECT c.poly_id, c.i, a.x0 AS x0, a.y0 AS y0, a.x1 AS x1, a.y1 AS y1, a.ux, a.uy, c.x0 AS cx0, c.y0 AS cy0, c.ux AS cux, c.uy AS cuy,
+j AS (SELECT c.poly_id, c.i, a.x0 AS x0, a.y0 AS y0, a.x1 AS x1, a.y1 AS y1, a.ux, a.uy, c.x0 AS cx0, c.y0 AS cy0, c.x1 AS cx1, c.y1 AS cy1, c.ux AS cux, c.uy AS cuy,
              a.ux * c.ux + a.uy * c.uy AS cos, a.ux * c.uy - a.uy * c.ux AS crs FROM m c JOIN m a ON a.poly_id = c.poly_id AND a.i = (c.i + 2) % 4 + 1),
-r AS (SELECT poly_id, i, trunc(CASE WHEN abs(cos) > 0.7 THEN (x1 + cx0) / 2 ELSE x0 + ((cx0 - x0) * cuy - (cy0 - y0) * cux) / nullif(crs, 0) * ux END)::INT AS x,
-             trunc(CASE WHEN abs(cos) > 0.7 THEN (y1 + cy0) / 2 ELSE y0 + ((cx0 - x0) * cuy - (cy0 - y0) * cux) / nullif(crs, 0) * uy END)::INT AS y FROM j)
+r AS (SELECT poly_id, i, trunc(CASE WHEN abs(cos) > 0.7 THEN (x0 + cx1) / 2 ELSE x0 + ((cx0 - x0) * cuy - (cy0 - y0) * cux) / nullif(crs, 0) * ux END)::INT AS x,
+             trunc(CASE WHEN abs(cos) > 0.7 THEN (y0 + cy1) / 2 ELSE y0 + ((cx0 - x0) * cuy - (cy0 - y0) * cux) / nullif(crs, 0) * uy END)::INT AS y FROM j)
 SELECT poly_id, {', '.join(f'max(CASE WHEN i = {i} THEN {c} END) AS {c}{i}' for i in range(1, 5) for c in 'xy')} FROM r GROUP BY poly_id"""
 _HOMOGRAPHY = f"""WITH {POLYGONS_SQL},
 c AS (SELECT poly_id, x2::DOUBLE AS x0, y2::DOUBLE AS y0, x3::DOUBLE AS x1, y3::DOUBLE AS y1, x4::DOUBLE AS x2, y4::DOUBLE AS y2, x1::DOUBLE AS x3, y1::DOUBLE AS y3 FROM polys),

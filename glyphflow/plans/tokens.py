@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +13,19 @@ from ..functions.decode import ascii_lower
 from ..operators import bpe
 from .inputs import table
 
-#: A small merge list in rank order: the encoder takes any.
-MERGES = [("t", "h"), ("th", "e</w>"), ("o", "n"), ("e", "r"), ("a", "n"), ("i", "n"), ("an", "d</w>"), ("e", "d</w>"), ("t", "i"), ("ti", "on"), ("in", "g</w>"), ("o", "f</w>"), ("r", "e"), ("s", "t"), ("e", "n"), ("er", "</w>")]
+@lru_cache(1)
+def merges() -> list[tuple[str, str]]:
+    """The merge pairs of a public vocabulary, in rank order."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in json.load(f)["model"]["merges"]]
+
+
+def _first_ranks() -> list[tuple[str, str, int]]:
+    """Pairs of the merge list that a word begins with: two ASCII characters, the second with the word's end on it or not."""
+    plain = lambda x: len(x) == 1 and x.isascii()
+    return [(a, b, k) for k, (a, b) in enumerate(merges()) if plain(a) and plain(b.removesuffix(bpe.END))]
 
 
 def q_html_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,17 +58,20 @@ def q_adjacent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lowest-ranked pair of each word of the benchmark, by the merge list."""
-    ranks = F.create_map(*(x for r, (a, b) in enumerate(MERGES) if len(a) == len(b) == 1 for x in (F.lit(a + b), F.lit(r))))
-    words = table(spark, sf_dir, "benchmark").select(F.explode(t.token_words(ascii_lower(F.col("text")))).alias("word")).distinct().where(F.length("word") > 1)
+    """The lowest-ranked pair of the symbols of each different word of the documents, by a public merge list."""
+    words = table(spark, sf_dir, "documents").select(F.explode(t.token_words(ascii_lower(F.col("text")))).alias("word")).distinct().where(F.length("word") > 1)
     chars = F.split("word", "")
-    ranked = F.transform(F.sequence(F.lit(1), F.size(chars) - 1), lambda i: F.coalesce(F.element_at(ranks, F.concat(F.get(chars, i - 1), F.get(chars, i))), F.lit(1 << 30)))
-    least = F.array_min(ranked)
-    return words.select("word", F.when(least < (1 << 30), least).alias("rank"))
+    last = F.size(chars) - 1
+    pair = lambda i: F.concat(F.get(chars, i - 1), F.lit(" "), F.get(chars, i), F.when(i == last, F.lit(bpe.END)).otherwise(F.lit("")))
+    pairs = words.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), last), pair))).alias("pair"))
+    ranks = F.broadcast(spark.createDataFrame([(f"{a} {b}", k) for a, b, k in _first_ranks()], "pair string, rank int"))  # 2 * 128 * 128 at most
+    return pairs.join(ranks, "pair", "left").groupBy("word").agg(F.min("rank").alias("rank"))
 
 
 def q_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "benchmark"), ["item_id"], "text", MERGES)
+    """The ids of every document by a public merge list: how many, and a digest of them."""
+    ids = bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"], "text", merges())
+    return ids.select("doc_id", F.size("ids").alias("n_ids"), F.md5(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("digest"))
 
 
 _PATTERN = t.TOKEN_PATTERN.replace("'", "''")
@@ -76,8 +93,19 @@ SQL = {
     "q_charset_filter": "SELECT conv_id, turn, regexp_replace(text, '[^a-zA-Z0-9 ]', '', 'g') AS text FROM conversations",
     "q_adjacent_pairs": f"""WITH w AS (SELECT unnest(regexp_extract_all({_LOWER}, '{_PATTERN}')) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w GROUP BY word),
 p AS (SELECT n, unnest(list_distinct(list_transform(range(1, length(word)), lambda i: substr(word, i, 2)))) AS pair FROM c WHERE length(word) > 1) SELECT pair, sum(n)::BIGINT AS n FROM p GROUP BY pair""",
-    "q_best_pair": f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all({_LOWER}, '{_PATTERN}')) AS word FROM benchmark),
-r(pair, rank) AS (VALUES {', '.join(f"('{a}{b}', {i})" for i, (a, b) in enumerate(MERGES) if len(a) == len(b) == 1)}),
-p AS (SELECT word, unnest(list_transform(range(1, length(word)), lambda i: substr(word, i, 2))) AS pair FROM w WHERE length(word) > 1)
-SELECT word, min(rank)::INT AS rank FROM p LEFT JOIN r USING (pair) GROUP BY word""",
 }
+
+
+def _best_pair_sql() -> str:
+    quoted = lambda x: x.replace("'", "''")
+    ranks = ", ".join(f"('{quoted(a)} {quoted(b)}', {k})" for a, b, k in _first_ranks())
+    return f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all({_LOWER}, '{_PATTERN}')) AS word FROM documents),
+r(pair, rank) AS (VALUES {ranks}),
+p AS (SELECT word, unnest(list_transform(range(1, length(word)), lambda i: substr(word, i, 1) || ' ' || substr(word, i + 1, 1) || CASE WHEN i = length(word) - 1 THEN '{bpe.END}' ELSE '' END)) AS pair FROM w WHERE length(word) > 1)
+SELECT word, min(rank)::INT AS rank FROM p LEFT JOIN r USING (pair) GROUP BY word"""
+
+
+try:
+    SQL["q_best_pair"] = _best_pair_sql()
+except ImportError:  # a machine without the public vocabulary files: its two queries can't run either
+    pass

@@ -38,18 +38,37 @@ def hull(pts: list[tuple[int, int]]) -> np.ndarray:
 
 
 def min_area_box(pts: list[tuple[int, int]]) -> tuple[float, float, np.ndarray]:
-    """(width, height, corners bottom-left, top-left, top-right, bottom-right) of the least rectangle on a hull edge."""
-    hull = hull(pts)
-    if len(hull) < 2:
-        return 0.0, 0.0, np.repeat(hull, 4, 0)
-    edges = np.roll(hull, -1, 0) - hull
-    along = edges / np.linalg.norm(edges, axis=1, keepdims=True)
-    best = None
-    for u in along:
-        v = np.array([-u[1], u[0]])
-        s, t = hull @ u, hull @ v
+    """(width, height, corners bottom-left, top-left, top-right, bottom-right) of the least rectangle on a hull edge.
+
+    The width points right, by less than 45 degrees up and 45 at most down; of equal areas the longer box, then the smaller direction.
+    """
+    ends = hull(pts)
+    if len(ends) < 2:
+        return 0.0, 0.0, np.repeat(ends, 4, 0)
+    found = []
+    for dx, dy in np.roll(ends, -1, 0) - ends:
+        while not (dx > 0 and -dx < dy <= dx):
+            dx, dy = -dy, dx
+        s, t = ends @ (dx, dy), ends @ (-dy, dx)
+        n2 = dx * dx + dy * dy
         w, h = np.ptp(s), np.ptp(t)
-        if best is None or w * h < best[0] - 1e-9:
-            corners = np.array([[s.min(), t.max()], [s.min(), t.min()], [s.max(), t.min()], [s.max(), t.max()]])
-            best = w * h, w, h, corners @ np.array([u, v])
-    return float(best[1]), float(best[2]), best[3]
+        found.append((w * h / n2, -max(w * w / n2, h * h / n2), dx, dy, s, t))
+    _, _, dx, dy, s, t = min(found, key=lambda f: f[:4])
+    n2 = dx * dx + dy * dy
+    corners = np.array([[s.min(), t.max()], [s.min(), t.min()], [s.max(), t.min()], [s.max(), t.max()]]) @ np.array([[dx, dy], [-dy, dx]]) / n2
+    return float(np.ptp(s) / n2**0.5), float(np.ptp(t) / n2**0.5), corners
+
+
+def plain_warp(image: np.ndarray, matrix: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A crop, pixel by pixel."""
+    out = np.zeros((height, width))
+    a, b, c, d, e, f, g, h, i = matrix
+    at = lambda y, x: image[y, x] if 0 <= y < image.shape[0] and 0 <= x < image.shape[1] else 0.0
+    for v in range(height):
+        for u in range(width):
+            z = g * u + h * v + i
+            x, y = (a * u + b * v + c) / z, (d * u + e * v + f) / z
+            x0, y0 = int(x), int(y)
+            fx, fy = abs(x - x0), abs(y - y0)
+            out[v, u] = (at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx) * (1 - fy) + (at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx) * fy
+    return out

@@ -1,5 +1,8 @@
 """Hand-computed cases of the recognition operators."""
 
+import random
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,14 +11,14 @@ from glyphflow.config import OcrConfig
 from glyphflow.functions import decode, pixels, tiling
 from glyphflow.functions import geometry as g
 from glyphflow.functions import text as t
-from glyphflow.operators import bpe, results
+from glyphflow.operators import bpe, contours, results
 from glyphflow.operators.contours import find_contours
 from glyphflow.operators.recognise import StubDetector, StubMatrixRecogniser, StubRecogniser, warp
 from glyphflow.operators.results import POLY
 from glyphflow.plans import catalogue, recognition
 from glyphflow.sources import files
 
-from .by_hand import contour_score, min_area_box
+from .by_hand import contour_score, min_area_box, plain_warp
 from .conftest import SF
 
 
@@ -80,6 +83,114 @@ def test_bpe(spark):
     assert got == {1: [513, 513], 2: [], 3: []}
 
 
+def test_bpe_keys_may_repeat_and_be_null(spark):
+    rows = spark.createDataFrame([(1, "the"), (1, "of the"), (None, "the the"), (None, None)], "k int, text string")
+    got = sorted(((r["k"], r["ids"]) for r in bpe.encode(rows, ["k"], "text", [("t", "h"), ("th", "e</w>")]).collect()), key=str)
+    assert got == sorted([(1, [513]), (1, [78, 325, 513]), (None, [513, 513]), (None, [])], key=str)
+    assert bpe.encode(rows.limit(0), ["k"], "text", []).count() == 0
+
+
+def test_long_tokens_merge_as_a_plain_loop_does():
+    draw, begins = random.Random(2), time.process_time()
+
+    def plain(word, ranks):
+        parts = [*word[:-1], word[-1] + bpe.END]
+        while pairs := [p for p in zip(parts, parts[1:], strict=False) if p in ranks]:
+            pair, merged = min(pairs, key=ranks.get), []
+            while parts:
+                n = 2 if tuple(parts[:2]) == pair else 1
+                merged.append("".join(parts[:n]))
+                parts = parts[n:]
+            parts = merged
+        return parts
+
+    for _ in range(400):
+        some = ["a", "b", "aa", "ab", "ba", "aab", "a</w>", "b</w>", "ab</w>"]
+        ranks = {pair: k for k, pair in enumerate(dict.fromkeys((draw.choice(some[:6]), draw.choice(some)) for _ in range(12)))}
+        word = "".join(draw.choice("aab") for _ in range(draw.randint(1, 40)))
+        assert bpe.merge_word(word, ranks) == plain(word, ranks)
+    bpe.merge_word("".join(draw.choice("ab") for _ in range(100_000)), ranks)
+    assert time.process_time() - begins < 5
+
+
+def test_batches_of_skewed_and_null_keys(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") * F.col("id")).alias("k"), "id").repartition(5)
+    got = results.batches(rows, 16, "k").orderBy("batch", "slot").collect()
+    assert [(r["batch"], r["slot"]) for r in got] == [(n // 16, n % 16) for n in range(3000)]
+    keys = [r["k"] for r in got]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k or 0)) and sorted(r["id"] for r in got) == [*range(3000)]
+    assert results.batches(rows.limit(0), 16, "k").count() == 0
+    twice = results.batches(spark.createDataFrame([("b", 1), ("a", 2), ("b", 1)], "k string, v int"), 2, "k", "v")
+    assert sorted(tuple(r) for r in twice.collect()) == [("a", 2, 0, 0), ("b", 1, 0, 1), ("b", 1, 1, 0)]
+
+
+def test_results_of_odd_rows(spark):
+    images = spark.createDataFrame([(1,), (1,), (2,), (None,)], "image_id int")
+    found = spark.createDataFrame([(1, None, *range(8), "a", 0.5), (1, 0, *range(8), None, None), (None, 3, *range(8), "c", 0.5)], ["image_id", "poly_idx", *POLY, "text", "conf"])
+    assert sorted(((r["image_id"], r["text_count"]) for r in results.counts(images, found).collect()), key=str) == sorted([(1, 2), (1, 2), (2, 0), (None, 0)], key=str)
+    assert sorted(r["json"][:12] for r in results.json_results(found).collect()) == ['[{"text":"a"', '[{"text":"c"']
+    assert results.json_results(found.limit(0)).count() == results.counts(images.limit(0), found).count() == 0
+
+
+def test_contours_of_odd_maps(spark):
+    maps = spark.createDataFrame([(1, 2, 2, None), (2, 0, 0, []), (3, 2, 2, [1.0]), (4, 1, 2, [0.9, float("nan")]), (5, 2, 2, [0.0] * 4), (6, 2, 2, None)], "image_id long, h int, w int, p array<double>")
+    got = contours.contours(maps, 0.5).collect()
+    assert [(r["image_id"], r["contour_idx"], r["score"], r["box_w"]) for r in got] == [(4, 0, 0.9, 0.0)]
+    assert recognition.texts(maps, OcrConfig(), StubRecogniser()).count() == 0
+    assert recognition.image_texts(maps, OcrConfig(tile=8), StubDetector(), StubRecogniser(), tiled=True).count() == 0
+
+
+def test_images_of_any_size_are_detected_at_one(spark):
+    big = np.zeros((40, 90))
+    big[8:20, 10:50] = 1.0
+    images = spark.createDataFrame([(1, 40, 90, big.ravel().tolist()), (2, 90, 40, big.T.ravel().tolist()), (3, 20, 45, big[::2, ::2].ravel().tolist())], "image_id long, h int, w int, p array<double>")
+    for keep in (False, True):
+        config = OcrConfig(detect_height=32, detect_width=48, keep_aspect_ratio=keep, unclip_ratio=0.01, binarize_threshold=0.4)
+        got = {r["image_id"]: r for r in recognition.image_texts(images, config, StubDetector(), StubRecogniser()).collect()}
+        assert got.keys() == {1, 2, 3}
+        for k, (x0, y0, x1, y1) in {1: (10, 8, 49, 19), 2: (8, 10, 19, 49), 3: (5, 4, 24, 9)}.items():
+            r = got[k]
+            assert abs(min(r["x1"], r["x2"]) - x0) <= 3 and abs(max(r["x3"], r["x4"]) - x1) <= 4 and abs(min(r["y2"], r["y3"]) - y0) <= 3 and abs(max(r["y1"], r["y4"]) - y1) <= 4
+            assert r["text"] and r["conf"] > 0.5
+    tiles = recognition.image_texts(images, OcrConfig(tile=16, overlap_rate=0.5, unclip_ratio=0.01, binarize_threshold=0.4), StubDetector(), StubRecogniser(), tiled=True)
+    spread = {r["image_id"]: r for r in tiles.collect()}
+    assert abs(spread[1]["x3"] - 49) <= 4 and abs(spread[3]["x3"] - 24) <= 3 and spread.keys() == {1, 2, 3}
+
+
+def test_colour_crops_and_batches(spark):
+    seen = []
+
+    class Model(StubRecogniser):
+        def __call__(self, crops):
+            assert crops.ndim == 4 and crops.shape[3] == 3 and len(crops) <= 2
+            seen.append(len(crops))
+            return super().__call__(crops)
+
+    image = np.zeros((12, 20, 3))
+    image[3:8, 2:7] = image[3:8, 12:17] = (1.0, 0.8, 0.6)
+    images = spark.createDataFrame([(k, 12, 20, image.ravel().tolist()) for k in range(3)], "image_id long, h int, w int, p array<double>")
+    config = OcrConfig(recognise_batch=2, detect_batch=2)
+    assert recognition.image_texts(images, config, StubDetector(), Model()).count() == 6
+    same = warp(image, np.stack([np.eye(3), np.diag([1.0, 1.0, 0.0])]), 12, 20)
+    assert (same[0] == image).all() and (same[1] == 0).all()
+
+
+def test_far_ends_of_nearly_straight_corners(spark):
+    """A quad with a nearly straight corner: there the middle of the moved neighbours takes the corner's place."""
+    quad = (0, 100, 0, 0, 100, -10, 200, 0)
+    p, n = np.array(quad, float).reshape(4, 2), 4
+    area = abs(sum(p[i][0] * p[(i + 1) % n][1] - p[(i + 1) % n][0] * p[i][1] for i in range(n))) / 2
+    by = area * 1.5 / sum(np.linalg.norm(p[i] - p[i - 1]) for i in range(n))
+    moved = []
+    for i in range(n):
+        e = p[i] - p[i - 1]
+        shift = np.array([e[1], -e[0]]) * by / np.linalg.norm(e)
+        moved.append((p[i - 1] + shift, p[i] + shift))
+    want = np.trunc((moved[2][0] + moved[3][1]) / 2)
+    got = g.with_unclipped(spark.createDataFrame([quad], POLY), 1.5).first()
+    assert (got["x3"], got["y3"]) == tuple(want)
+
+
 def test_contours():
     mask = np.zeros((6, 7), bool)
     mask[1:5, 1:6] = True
@@ -166,8 +277,8 @@ def _pages(spark, n=40):
 def test_tiled_and_whole_images_read_alike(spark, decoder):
     config = OcrConfig(decoder=decoder, upside_down=True, tile=8, overlap_rate=0.5, only_lowercase=True)
     model = StubMatrixRecogniser() if decoder == "transformer" else StubRecogniser()
-    whole = recognition.image_texts(_pages(spark), 24, 20, config, StubDetector(), model).collect()
-    tiled = recognition.image_texts(_pages(spark), 24, 20, config, StubDetector(), model, tiled=True).collect()
+    whole = recognition.image_texts(_pages(spark), config, StubDetector(), model).collect()
+    tiled = recognition.image_texts(_pages(spark), config, StubDetector(), model, tiled=True).collect()
     assert sorted(whole, key=str) == sorted(tiled, key=str) and len(whole) > 40
     assert 40 not in {r["image_id"] for r in whole}
     assert all(r["conf"] is None or 0 < r["conf"] <= 1 for r in whole)
@@ -185,14 +296,15 @@ def test_texts_against_a_plain_walk(spark):
             w, h, box = min_area_box(pts)
             if contour_score(prob, pts) < config.polygon_threshold or min(w, h) < 1:
                 continue
-            grown = g.with_unclipped(spark.createDataFrame([tuple(int(v) for p in box for v in p)], POLY), config.unclip_ratio)
+            by = w * h * config.unclip_ratio / (2 * (w + h))
+            grown = g.with_unclipped(spark.createDataFrame([tuple(int(np.rint(v)) for p in box for v in p)], POLY), config.unclip_ratio, F.lit(by))
             made = g.with_corners(grown).select(*POLY, "tl", "tr", "br", "bl").first()
             quad = [(made[c]["x"], made[c]["y"]) for c in ("tl", "tr", "br", "bl")]
             system, target = [], []
             for (x, y), (u, v) in zip(quad, ((0, 0), (100, 0), (100, 32), (0, 32)), strict=True):
                 system += [[u, v, 1, 0, 0, 0, -u * x, -v * x], [0, 0, 0, u, v, 1, -u * y, -v * y]]
                 target += [x, y]
-            crop = warp(prob, np.append(np.linalg.solve(system, target), 1.0), 32, 100)
+            crop = plain_warp(prob, np.append(np.linalg.solve(system, target), 1.0), 32, 100)
             best = None
             for way in (crop, crop[::-1, ::-1]):
                 ids, probs = (x[0] for x in model(way[None]))

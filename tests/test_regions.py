@@ -93,6 +93,7 @@ def test_hulls_and_least_boxes(spark):
         assert b["box_w"] * b["box_h"] == pytest.approx(area_of(pts), abs=1e-9)
         box, (u, v) = np.array([tuple(c) for c in b["box"]]), (np.array([tuple(c) for c in b["box"]])[[2, 0]] - np.array(tuple(b["box"][1])))
         assert np.linalg.norm(u) == pytest.approx(b["box_w"]) and np.linalg.norm(v) == pytest.approx(b["box_h"]) and u @ v == pytest.approx(0, abs=1e-6)
+        assert u[0] >= 0 and abs(u[1]) <= u[0] + 1e-9
         if b["box_w"] > 0 and b["box_h"] > 0:
             inside = (np.array(pts) - box[1]) @ np.stack([u / (u @ u), v / (v @ v)], 1)
             assert (inside > -1e-9).all() and (inside < 1 + 1e-9).all()
