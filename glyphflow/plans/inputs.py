@@ -74,6 +74,14 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("embedding").cast("array<double>").alias("p"))
 
 
+def map_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's box, brought down to the size of a map and laid on the map of its number: image_id, poly_id, pts."""
+    maps = table(spark, sf_dir, "embeddings").select("vec_id")
+    point = lambda i: F.struct((F.col(f"x{i}") * F.lit(0.02) - 6).cast("int").alias("x"), (F.col(f"y{i}") * F.lit(0.03) - 8).cast("int").alias("y"))
+    boxes = polygons(spark, sf_dir).select("poly_id", F.array(*map(point, range(1, 5))).alias("pts"))
+    return boxes.join(maps.withColumnRenamed("vec_id", "image_id"), F.col("poly_id") % 1000 == F.col("image_id")).select("image_id", "poly_id", "pts")
+
+
 def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pixel per line item."""
     li = table(spark, sf_dir, "lineitem")

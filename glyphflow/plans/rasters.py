@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pixels
 from ..operators import contours, regions, scores
-from .inputs import COLOURS_SQL, POLYGONS_SQL, colours, polygons, rasters, table
+from .inputs import COLOURS_SQL, POLYGONS_SQL, colours, map_polygons, rasters
 
 
 def _channels() -> list:
@@ -82,17 +82,9 @@ def q_region_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("image_id", "contour_idx", "hole", "n_pixels", F.round("score", 9).alias("score"), *_sides())
 
 
-def _map_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order's box, brought down to the size of a map and laid on the map of its number: image_id, poly_id, pts."""
-    maps = table(spark, sf_dir, "embeddings").select("vec_id")
-    point = lambda i: F.struct((F.col(f"x{i}") * F.lit(0.02) - 6).cast("int").alias("x"), (F.col(f"y{i}") * F.lit(0.03) - 8).cast("int").alias("y"))
-    boxes = polygons(spark, sf_dir).select("poly_id", F.array(*map(point, range(1, 5))).alias("pts"))
-    return boxes.join(maps.withColumnRenamed("vec_id", "image_id"), F.col("poly_id") % 1000 == F.col("image_id")).select("image_id", "poly_id", "pts")
-
-
 def q_polygon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of its map inside or on every order's box, and its pixels."""
-    found = scores.polygon_scores(_map_polygons(spark, sf_dir), rasters(spark, sf_dir), ["image_id", "poly_id"])
+    found = scores.polygon_scores(map_polygons(spark, sf_dir), rasters(spark, sf_dir), ["image_id", "poly_id"])
     return found.select("image_id", "poly_id", "n_pixels", F.round("score", 9).alias("score"))
 
 

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..config import OcrConfig
 from ..functions import decode, pixels, tiling
 from ..functions import geometry as g
-from ..operators import contours, results, scores
+from ..operators import contours, results, scores, tiled_warp
 from ..operators.recognise import Detector, MatrixRecogniser, Recogniser, StubDetector, StubMatrixRecogniser, StubRecogniser, detect, on_canvas, recognise
+from ..operators.regions import tiles_of
 from ..storage import saved
-from .inputs import SYMBOLS, rasters
+from .inputs import POLYGONS_SQL, SYMBOLS, map_polygons, rasters
 
 
 def regions(maps: DataFrame, config: OcrConfig, sizes: DataFrame | None = None) -> DataFrame:
@@ -152,5 +153,31 @@ def q_tile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("image_id", F.posexplode("p").alias("at", "v"))
 
 
-QUERIES = [q_rect_pipeline, q_tiled_pipeline, q_tile_merge]
-SQL = {"q_tile_merge": 'SELECT vec_id AS image_id, k AS "at", embedding[k + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(0, 64))::INT AS k)'}
+def q_tiled_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crop, 5 wide and 3 high, of every order's box (see q_polygon_scores) from its map, which lies in tiles of 3 x 5."""
+    laid = map_polygons(spark, sf_dir)
+    at = lambda i: (F.get("pts", F.lit(i))["x"], F.get("pts", F.lit(i))["y"])
+    m = F.array(*g.homography([at(i) for i in (1, 2, 3, 0)], 5, 3))
+    found = tiled_warp.crops(laid.select("image_id", "poly_id", m.alias("m")), tiles_of(rasters(spark, sf_dir), 3, 5), ["image_id", "poly_id"], 3, 5, 3, 5)
+    return found.select("image_id", "poly_id", F.posexplode("crop").alias("k", "v")).select("image_id", "poly_id", "k", F.round(F.col("v") + 0.0, 6).alias("v"))
+
+
+_TILED_WARP = f"""WITH {POLYGONS_SQL},
+laid AS (SELECT poly_id, poly_id % 1000 AS image_id, {', '.join(f'trunc(x{i} * 0.02::DOUBLE - 6) AS x{i}, trunc(y{i} * 0.03::DOUBLE - 8) AS y{i}' for i in range(1, 5))} FROM polys WHERE poly_id % 1000 IN (SELECT vec_id FROM embeddings)),
+c AS (SELECT image_id, poly_id, x2 AS x0, y2 AS y0, x3 AS x1, y3 AS y1, x4 AS x2, y4 AS y2, x1 AS x3, y1 AS y3 FROM laid),
+s AS (SELECT *, x1 - x2 AS dx1, x3 - x2 AS dx2, x0 - x1 + x2 - x3 AS sx, y1 - y2 AS dy1, y3 - y2 AS dy2, y0 - y1 + y2 - y3 AS sy FROM c),
+t AS (SELECT *, nullif(dx1 * dy2 - dx2 * dy1, 0) AS den FROM s),
+n AS (SELECT *, (sx * dy2 - dx2 * sy) / den AS g, (dx1 * sy - sx * dy1) / den AS h FROM t WHERE den IS NOT NULL),
+k AS (SELECT image_id, poly_id, k, nullif(g / 5.0::DOUBLE * (k % 5) + h / 3.0::DOUBLE * (k // 5) + 1, 0) AS z,
+             (x1 - x0 + g * x1) / 5.0::DOUBLE * (k % 5) + (x3 - x0 + h * x3) / 3.0::DOUBLE * (k // 5) + x0 AS a, (y1 - y0 + g * y1) / 5.0::DOUBLE * (k % 5) + (y3 - y0 + h * y3) / 3.0::DOUBLE * (k // 5) + y0 AS b
+      FROM n, (SELECT unnest(range(15)) AS k)),
+p AS (SELECT image_id, poly_id, k, CASE WHEN abs(a / z) < 1e9 THEN a / z END AS x, CASE WHEN abs(b / z) < 1e9 THEN b / z END AS y FROM k),
+q AS (SELECT image_id, poly_id, k, trunc(y) + dy AS yy, trunc(x) + dx AS xx, CASE dy WHEN 0 THEN 1 - abs(y - trunc(y)) ELSE abs(y - trunc(y)) END * CASE dx WHEN 0 THEN 1 - abs(x - trunc(x)) ELSE abs(x - trunc(x)) END AS wt
+      FROM p, (VALUES (0), (1)) i(dy), (VALUES (0), (1)) j(dx))
+SELECT image_id, poly_id, k::INT AS k, round(sum(CASE WHEN yy BETWEEN 0 AND 7 AND xx BETWEEN 0 AND 7 THEN wt * embedding[greatest(0, least(63, yy * 8 + xx))::INT + 1]::DOUBLE ELSE 0 END) + 0.0, 6) AS v
+FROM q JOIN embeddings ON vec_id = image_id GROUP BY ALL"""
+QUERIES = [q_rect_pipeline, q_tiled_pipeline, q_tile_merge, q_tiled_warp]
+SQL = {
+    "q_tiled_warp": _TILED_WARP,
+    "q_tile_merge": 'SELECT vec_id AS image_id, k AS "at", embedding[k + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(0, 64))::INT AS k)',
+}

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphflow.operators import components, contours, regions, scores
+from glyphflow.operators import components, contours, regions, scores, tiled_warp
+from glyphflow.operators.recognise import warp
 
 from . import by_hand
 
@@ -110,3 +111,18 @@ def test_components(spark):
                 root[a] = root[b] = min(root[a], root[b])
     got = {tuple(r) for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {(n, r) for n, r in root.items() if n != r}
+
+
+def test_crops_from_tiles_equal_crops_from_whole_maps(spark):
+    draw = np.random.default_rng(8)
+    made = {1: draw.random((11, 17)), 2: draw.random((6, 5)), 3: None}
+    matrices = [[1.0, 0.2, 1.3, -0.1, 0.9, 2.2, 0.0, 0.0, 1.0], [2.1, 0.0, -3.0, 0.3, 1.7, -2.5, 0.01, -0.02, 1.0], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.25, 0.0, -1.0], [0.0] * 9, [1e12, 0, 0, 0, 1, 0, 0, 0, 1.0]]
+    rows = [(i, k, [float(x) for x in m]) for i in (1, 2, 3) for k, m in enumerate(matrices)] + [(1, 9, None), (8, 0, matrices[0])]
+    regions_of = spark.createDataFrame(rows, "image_id long, poly_idx int, m array<double>")
+    tiles = regions.tiles_of(maps_of(spark, made), 4, 3)
+    got = {(r["image_id"], r["poly_idx"]): r["crop"] for r in tiled_warp.crops(regions_of, tiles, ["image_id", "poly_idx"], 6, 7, 4, 3).collect()}
+    assert got.keys() == {(i, k) for i, k, m in rows if m}
+    for (i, k), crop in got.items():
+        want = np.zeros((6, 7)) if made.get(i) is None else warp(made[i][..., None], np.array([matrices[k]]), 6, 7)[0, ..., 0]
+        assert np.array(crop).reshape(6, 7) == pytest.approx(want, abs=1e-9), (i, k)
+    assert tiled_warp.crops(regions_of.limit(0), tiles, ["image_id", "poly_idx"], 6, 7, 4, 3).count() == 0
