@@ -54,11 +54,28 @@ def bilinear(raster: Column, height: int, width: int, y: Column, x: Column, bord
     return top * (1 - fy) + low * fy
 
 
+def _taps(places: list[float], size: int) -> Column:
+    """For each place along an axis its two neighbours (0 where outside) and their weights (0 where outside), as constants of the plan."""
+    rows = []
+    for x in places:
+        low = int(x)
+        held = [(k, w) if 0 <= k < size else (0, 0.0) for k, w in ((low, 1 - (x - low)), (low + 1, x - low))]
+        rows.append(F.struct(*(F.lit(v).alias(n) for n, v in zip(("a", "wa", "b", "wb"), (v for pair in held for v in pair), strict=True))))
+    return F.array(*rows)
+
+
+def _sampled(raster: Column, width: int, rows: Column, cols: Column, zeros: int = 0) -> Column:
+    """The raster at every pair of the places of ``_taps``, row by row with so many ``zeros`` behind each: a sample is four look-ups."""
+    value = lambda y, x: F.get(raster, y * width + x).cast("double")
+    line = lambda y, c: value(y, c["a"]) * c["wa"] + value(y, c["b"]) * c["wb"]
+    across = lambda r: F.transform(cols, lambda c: line(r["a"], c) * r["wa"] + line(r["b"], c) * r["wb"])
+    return F.flatten(F.transform(rows, lambda r: F.concat(across(r), F.array_repeat(F.lit(0.0), zeros)) if zeros else across(r)))
+
+
 def resize(raster: Column, height: int, width: int, to_height: int, to_width: int) -> Column:
-    """Bilinear resize at pixel centres: (d + 0.5) * scale - 0.5."""
-    sy, sx = height / to_height, width / to_width
-    place = lambda k: ((F.floor(k / to_width) + 0.5) * sy - 0.5, (k % to_width + 0.5) * sx - 0.5)
-    return F.transform(F.sequence(F.lit(0), F.lit(to_height * to_width - 1)), lambda k: bilinear(raster, height, width, *place(k)))
+    """Bilinear resize at pixel centres: (d + 0.5) * scale - 0.5; what lies outside counts as 0."""
+    places = lambda n, to: [(k + 0.5) * (n / to) - 0.5 for k in range(to)]
+    return _sampled(raster, width, _taps(places(height, to_height), height), _taps(places(width, to_width), width))
 
 
 def flipped(raster: Column) -> Column:
@@ -78,14 +95,9 @@ def resize_keep_aspect(raster: Column, height: int, width: int, to_height: int,
     """
     scale = keep_aspect_scale(height, width, to_height, to_width)
     rows, cols = int(height / scale + 1e-9), int(width / scale + 1e-9)
-    inside = lambda x, most: F.least(F.greatest(x, F.lit(0.0)), F.lit(float(most - 1)))
-
-    def at(k: Column) -> Column:
-        y, x = F.floor(k / to_width), k % to_width
-        value = bilinear(raster, height, width, inside((y + 0.5) * scale - 0.5, height), inside((x + 0.5) * scale - 0.5, width))
-        return F.when((y < rows) & (x < cols), value).otherwise(F.lit(0.0))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(to_height * to_width - 1)), at)
+    places = lambda n, to: [min(max((k + 0.5) * scale - 0.5, 0.0), n - 1.0) for k in range(to)]
+    made = _sampled(raster, width, _taps(places(height, rows), height), _taps(places(width, cols), width), to_width - cols)
+    return F.concat(made, F.array_repeat(F.lit(0.0), (to_height - rows) * to_width)) if rows < to_height else made
 
 
 def detector_input(channels: tuple[Column, Column, Column], height: int, width: int, to_height: int, to_width: int, keep_aspect: bool = False) -> Column:

@@ -58,7 +58,9 @@ def texts(prob_maps: DataFrame, config: OcrConfig, model: Recogniser | MatrixRec
     shown = maps if images is None else images.select("image_id", "h", "w", "p")
     found = regions(maps, config, None if images is None else shown.select("image_id", F.col("h").alias("height"), F.col("w").alias("width")))
     region = F.struct("poly_idx", F.array(*results.POLY).alias("poly"), F.when(F.get("m", F.lit(8)).isNotNull(), F.col("m")).alias("m"))
-    gathered = found.groupBy("image_id").agg(F.array_sort(F.collect_list(region)).alias("regions")).join(shown, "image_id")
+    # dealt out by a number of their own: few bytes are much work for a model, and small partitions would be put together
+    parts = int(maps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gathered = found.groupBy("image_id").agg(F.array_sort(F.collect_list(region)).alias("regions")).join(shown.repartition(parts, "image_id"), "image_id")
     matrices = config.decoder == "transformer"
     steps = recognise(gathered.select("image_id", "h", "w", "p", "regions"), model, config.crop_height, config.crop_width, config.upside_down, matrices, config.recognise_batch)
     if config.decoder == "ctc":
@@ -129,8 +131,9 @@ def image_texts(images: DataFrame, config: OcrConfig, detector: Detector, model:
 
 
 def _enlarged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maps of 8 x 8 enlarged to 16 x 16."""
-    return rasters(spark, sf_dir).select("image_id", F.lit(16).alias("h"), F.lit(16).alias("w"), pixels.resize(F.col("p"), 8, 8, 16, 16).alias("p"))
+    """Maps of 8 x 8 enlarged to 16 x 16, dealt out: they come from one small file, and every map is much work."""
+    maps = rasters(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image_id")
+    return maps.select("image_id", F.lit(16).alias("h"), F.lit(16).alias("w"), pixels.resize(F.col("p"), 8, 8, 16, 16).alias("p"))
 
 
 def q_rect_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
