@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -249,6 +250,14 @@ def test_url_filter(spark):
         assert got[i] == (host, path, best[1], best[2])
 
 
+def test_hosts_of_many_labels(spark):
+    urls = ["http://" + "a." * 4000 + "example.com/en/7", "http://" + "." * 4000 + "net/de/", "http://com./en/", "http://.com/en/", "http:///en/", "http://a.b.c.d.e/x"]
+    began = time.time()
+    got = [r["rule"] for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), registry.URL_RULES).orderBy("page_id").collect()]
+    assert got == ["example.com/en/7", "net/de/", None, "com/en/", None, None]
+    assert time.time() - began < 60
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(4000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     levels = url_filter.build_cascade(universe.where("key like '%7'"), universe)
