@@ -12,7 +12,7 @@ SCALE = 0.00392156
 GRAY = (3735, 19235, 9798)
 GRAY_MEAN, GRAY_SCALE = 127.5, 0.00784313
 #: Red, green, blue mean and deviation of the image-text model's input.
-RGB_MEAN = (0.48145466, 0.4578275, 0.40821073)
+RGB_MEAN = (0.4814546, 0.4578275, 0.4082107)
 RGB_STD = (0.26862954, 0.26130258, 0.27577711)
 
 

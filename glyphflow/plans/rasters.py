@@ -124,8 +124,8 @@ SQL = {
     "q_normalize_bgr": f"""WITH {COLOURS_SQL} SELECT l_orderkey, l_linenumber, round((b - 104.00698793::DOUBLE) * 0.00392156::DOUBLE, 9) AS nb,
 round((g - 116.66876762::DOUBLE) * 0.00392156::DOUBLE, 9) AS ng, round((r - 122.67891434::DOUBLE) * 0.00392156::DOUBLE, 9) AS nr FROM pixels""",
     "q_gray": f"WITH {COLOURS_SQL} SELECT l_orderkey, l_linenumber, {_GRAY}::INT AS gray, round(({_GRAY} - 127.5::DOUBLE) * 0.00784313::DOUBLE, 9) AS scaled FROM pixels",
-    "q_rgb_clip": f"""WITH {COLOURS_SQL} SELECT l_orderkey, l_linenumber, round((r / 255.0::DOUBLE - 0.48145466::DOUBLE) / 0.26862954::DOUBLE, 9) AS nr,
-round((g / 255.0::DOUBLE - 0.4578275::DOUBLE) / 0.26130258::DOUBLE, 9) AS ng, round((b / 255.0::DOUBLE - 0.40821073::DOUBLE) / 0.27577711::DOUBLE, 9) AS nb FROM pixels""",
+    "q_rgb_clip": f"""WITH {COLOURS_SQL} SELECT l_orderkey, l_linenumber, round((r / 255.0::DOUBLE - 0.4814546::DOUBLE) / 0.26862954::DOUBLE, 9) AS nr,
+round((g / 255.0::DOUBLE - 0.4578275::DOUBLE) / 0.26130258::DOUBLE, 9) AS ng, round((b / 255.0::DOUBLE - 0.4082107::DOUBLE) / 0.27577711::DOUBLE, 9) AS nb FROM pixels""",
     "q_binarize": "SELECT vec_id AS image_id, array_to_string(list_transform(embedding::DOUBLE[], lambda v: CASE WHEN v > 0.1::DOUBLE THEN 255 ELSE 0 END), ' ') AS mask FROM embeddings",
     "q_mask_mean": """WITH u AS (SELECT vec_id AS image_id, list_filter(embedding::DOUBLE[], lambda v: v > 0.1::DOUBLE) AS u FROM embeddings)
 SELECT image_id, len(u)::INT AS n, round(list_sum(u) / nullif(len(u), 0), 9) AS mean FROM u""",
