@@ -118,9 +118,9 @@ def _shown(stack: np.ndarray) -> np.ndarray:
     return stack[..., 0] if stack.shape[-1] == 1 else stack
 
 
-def _whole(images: DataFrame) -> DataFrame:
-    size = F.col("h") * F.col("w")
-    return images.where(F.col("p").isNotNull() & (size > 0) & (F.size("p") > 0) & (F.size("p") % F.nullif(size, F.lit(0)) == 0))
+def _whole(h: int | None, w: int | None, p) -> bool:
+    """Whether values fill an image's size. Asked in Python, so that no filter works out an image's expression once more."""
+    return bool(h and w and p is not None and len(p) and h > 0 and w > 0 and len(p) % (h * w) == 0)
 
 
 def detect(images: DataFrame, model: Detector, height: int = 0, width: int = 0, keep_aspect: bool = False, batch: int = 16) -> DataFrame:
@@ -134,17 +134,20 @@ def detect(images: DataFrame, model: Detector, height: int = 0, width: int = 0,
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes: dict[tuple, list[int]] = {}
-            found = [resized(x, height or x.shape[0], width or x.shape[1], keep_aspect) for x in map(pixels_of, *(b.column(c).to_pylist() for c in ("h", "w", "p")))]
-            for k, x in enumerate(found):
-                sizes.setdefault(x.shape, []).append(k)
+            found: dict[int, np.ndarray] = {}
+            for k, (h, w, p) in enumerate(zip(b.column("h").to_pylist(), b.column("w").to_pylist(), b.column("p"), strict=True)):
+                if _whole(h, w, values := p.values):
+                    x = pixels_of(h, w, values.to_numpy(zero_copy_only=False))
+                    found[k] = resized(x, height or h, width or w, keep_aspect)
+                    sizes.setdefault(found[k].shape, []).append(k)
             for (h, w, _), own in sizes.items():
                 for at in range(0, len(own), batch):
                     part = own[at : at + batch]
                     maps = np.asarray(model(_shown(np.stack([found[k] for k in part])))).reshape(len(part), -1)
                     n = pa.array([h] * len(part), pa.int32()), pa.array([w] * len(part), pa.int32())
-                    yield pa.RecordBatch.from_arrays([b.column("kept").take(pa.array(part)), *n, pa.array(maps.tolist(), pa.list_(pa.float64()))], ["kept", "h", "w", "p"])
+                    yield pa.RecordBatch.from_arrays([b.column("kept").take(pa.array(part)), *n, pa.ListArray.from_arrays(np.arange(0, maps.size + 1, maps.shape[1], dtype=np.int32), pa.array(maps.ravel().astype(float)))], ["kept", "h", "w", "p"])
 
-    given = _whole(images).select(F.struct(*kept).alias("kept"), F.col("h").cast("int"), F.col("w").cast("int"), F.col("p").cast("array<double>"))
+    given = images.select(F.struct(*kept).alias("kept"), F.col("h").cast("int"), F.col("w").cast("int"), F.col("p").cast("array<double>"))
     schema = StructType([given.schema["kept"], *StructType.fromDDL("h int, w int, p array<double>")])
     return given.mapInArrow(scan, schema).select("kept.*", "h", "w", "p")
 
@@ -160,13 +163,16 @@ def on_canvas(images: DataFrame, tile: int, overlap: int) -> DataFrame:
         for b in batches:
             rows = []
             for r in b.itertuples():
+                if not _whole(r.h, r.w, r.p):
+                    continue
                 image = pixels_of(r.h, r.w, r.p)
                 h, w = (max(0, -(-(n - tile) // step)) * step + tile for n in (r.h, r.w))
                 scale = 1.0 if (h, w) == (r.h, r.w) else r.w / w if r.w * h >= r.h * w else r.h / h
                 rows.append((r.image_id, h, w, resized(image, h, w, True).ravel().tolist(), scale))
             yield pd.DataFrame(rows, columns=["image_id", "h", "w", "p", "rescale"])
 
-    return _whole(images).select(F.col("image_id").cast("long"), F.col("h").cast("int"), F.col("w").cast("int"), F.col("p").cast("array<double>")).mapInPandas(scan, "image_id long, h int, w int, p array<double>, rescale double")
+    sized = images.where((F.col("h") > 0) & (F.col("w") > 0))
+    return sized.select(F.col("image_id").cast("long"), F.col("h").cast("int"), F.col("w").cast("int"), F.col("p").cast("array<double>")).mapInPandas(scan, "image_id long, h int, w int, p array<double>, rescale double")
 
 
 def recognise(images: DataFrame, model: Recogniser | MatrixRecogniser, height: int = 32, width: int = 100, upside_down: bool = False, matrices: bool = False, batch: int = 64) -> DataFrame:

@@ -35,12 +35,14 @@ def regions(maps: DataFrame, config: OcrConfig, sizes: DataFrame | None = None)
         placed = to.select("image_id", x.alias("sx"), y.alias("sy"))
         scaled = F.transform("pts", lambda p: F.struct((p["x"] * F.col("sx")).cast("int").alias("x"), (p["y"] * F.col("sy")).cast("int").alias("y")))
         kept = kept.join(placed, "image_id").select(*key, scaled.alias("pts"))
-    boxed = kept.withColumn("corners", scores.hull(F.col("pts"))).withColumn("b", scores.least_box(F.col("corners")))
+    parts = int(maps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    boxed = kept.repartition(parts, *key).withColumn("corners", scores.hull(F.col("pts"))).withColumn("b", scores.least_box(F.col("corners")))
+    # written, here and below, so that what is asked of a region is not put through its geometry
+    boxed = saved(boxed.select("image_id", "contour_idx", "b"), "boxes")
     exact = [(F.get("b.box", F.lit(i))["x"], F.get("b.box", F.lit(i))["y"]) for i in range(4)]
     flat = [c for p in exact for c in p]
     corners = boxed.select("image_id", F.col("contour_idx").alias("poly_idx"), F.least("b.box_w", "b.box_h").alias("short"), *(c.alias(f"d{n}") for c, n in zip(flat, results.POLY, strict=True)))
     whole = corners.select("image_id", "poly_idx", "short", *(F.rint(f"d{n}").cast("int").alias(n) for n in results.POLY), g.growth([(F.col(f"dx{i}"), F.col(f"dy{i}")) for i in range(1, 5)], config.unclip_ratio).alias("by"))
-    # written, so that what is asked of a region is not put through its geometry
     grown = saved(g.with_unclipped(whole, config.unclip_ratio, F.col("by")), "regions").where("short >= 1").drop("short", "by").dropna()
     formed = g.with_corners(grown, config.rotation_threshold)
     m = F.array(*g.homography([(F.col(f"{c}.x"), F.col(f"{c}.y")) for c in ("tl", "tr", "br", "bl")], config.crop_width, config.crop_height))
