@@ -549,3 +549,36 @@ def test_pipeline_stages(spark):
         assert kept.columns == seen.columns, name
         assert kept.join(seen, "doc_id", "left_anti").count() == 0
         assert 0 < kept.count() <= seen.count()
+
+
+def _tables(spark, documents, labels, benchmark):
+    folder = new_folder(spark, "tables")
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long, score string, row int").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_pipeline_of_empty_tables(spark):
+    import corpus_pipeline
+    from glyphflow.llm import quality
+
+    made = corpus_pipeline.run(spark, _tables(spark, [], [], []))
+    assert made.count() == 0 and {"doc_id", "lang", "source", "n_chars"} <= set(made.columns)
+    empty = spark.createDataFrame([], DOCS)
+    assert quality.scores(empty, quality.train(empty, spark.createDataFrame([], "doc_id long, quality int"))).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark):
+    import corpus_pipeline
+
+    plain = [f"the {a} {b} went over the hill and saw {c} and {a} again on day {k}" for k, (a, b, c) in enumerate(itertools.product(["fox", "cat", "hen"], ["old", "red"], ["rain", "snow", "fog"]))]
+    documents = [(k, t, "en", "s", len(t), "clash", k) for k, t in enumerate(plain)]
+    documents += [documents[3], (None, plain[3], None, None, None, None, None), (90, None, "en", None, 0, None, None), (91, "", None, "s", 0, None, None), (None, None, None, None, None, None, None)]
+    documents += [(92, "word " * 40_000, "en", "s", 200_000, "x", 1), (93, "x" * 150_000, "en", "s", 150_000, "x", 1), (94, "exam question one two three four five six seven eight nine ten", "en", "s", 60, "x", 1)]
+    benchmark = [(1, "question one two three four five six seven eight nine ten"), (2, None), (3, "")]
+    made = corpus_pipeline.run(spark, _tables(spark, documents, [(1, 1, 0), (None, 0, 1), (2, None, None)], benchmark))
+    got = made.toPandas()
+    # one kind of label alone: nothing is rejected; equal and empty texts leave one row each
+    assert sorted(got["doc_id"].dropna().astype(int)) == [*range(len(plain)), 90, 92, 93] and not got["doc_id"].isna().any()
+    assert {"lang", "source", "n_chars", "row"} <= set(made.columns)
