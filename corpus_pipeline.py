@@ -18,29 +18,41 @@ def _kept(docs: DataFrame, score: Callable[[DataFrame], DataFrame], wanted: int)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression distance doesn't reject; it learns from all labelled rows of its input."""
+    """Documents that the compression distance doesn't reject; it learns from all labelled rows of its input.
+
+    Null and empty texts stay. Without labels of both kinds every document stays. Equal texts have equal scores; repeated rows stay.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return _kept(docs, lambda rows: toxicity.scores(rows, model, ("row",)), 0)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at or above the ranking threshold."""
+    """Documents at or above the ranking threshold, those at it too.
+
+    A null or empty text is scored as one without words. Without labels of both kinds every document stays; repeated rows stay.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return _kept(docs, lambda rows: quality.scores(rows, model, ("row",)), 1)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies (five-word shingles, similarity 0.8)."""
+    """One document of each group of copies and near copies (five-word shingles, similarity 0.8): that of the smallest doc_id.
+
+    Null and empty texts are one group. A row without doc_id stays only where its group has none with one; of equal rows one stays.
+    """
     return near_copies.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage; null and empty texts stay, null and empty items match nothing, repeated rows stay."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars and the pieces of every document, with the scores of its five best segmentations."""
+    """doc_id, lang, source, n_chars and the pieces of every document, with the scores of its five best segmentations.
+
+    A null text has the pieces of an empty one: none. Of segmentations of equal score the order is the operator's.
+    """
     import public_tokenizers
 
     keep = tuple(c for c in docs.columns if c != "text")
