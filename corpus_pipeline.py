@@ -51,7 +51,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars and the pieces of every document, with the scores of its five best segmentations.
 
-    A null text has the pieces of an empty one: none. Of segmentations of equal score the order is the operator's.
+    A null text has the pieces of an empty one, a single blank piece. Of segmentations of equal score the order is the operator's.
     """
     import public_tokenizers
 
