@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import saved
+from ..storage import Rounds
 
 #: Far beyond what the largest graph takes: rounds grow with the logarithm of a component's size.
 MOST_ROUNDS = 100
@@ -33,9 +33,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     logarithm of the component size. Nodes are summarised by their minimum, never gathered. Links with a null end
     and of a node to itself are left out; no links give no rows.
     """
-    now, mark = saved(links.where("a <> b").select("a", "b"), "links"), None
+    rounds, mark = Rounds(links.sparkSession, "links"), None
+    now = rounds.saved(links.where("a <> b").select("a", "b"))
     for _ in range(MOST_ROUNDS):
-        now = saved(_small_star(_large_star(now)), "links")
+        now = rounds.saved(_small_star(_large_star(now)))
         state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if mark == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

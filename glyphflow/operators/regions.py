@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import saved
+from ..storage import Rounds, saved
 from . import scores
 from .components import connected_components
 
@@ -129,7 +129,8 @@ def _enclosed(regions: DataFrame, found: DataFrame) -> DataFrame:
     before = found.select("image_id", "y", (F.col("x1") + 1).alias("x"), F.col("region").alias("outer"))
     outside = regions.where(~F.col("on") & F.col("open")).select("image_id", F.col("region").alias("outer"), F.lit(True).alias("outside"))
     placed = inner.join(before, ["image_id", "y", "x"], "left").join(outside, ["image_id", "outer"], "left")
-    now = saved(placed.withColumn("outer", F.when(F.col("outside").isNull(), F.col("outer"))).withColumn("up", F.col("outer")).drop("outside"), "nesting")
+    rounds = Rounds(regions.sparkSession, "nesting")
+    now = rounds.saved(placed.withColumn("outer", F.when(F.col("outside").isNull(), F.col("outer"))).withColumn("up", F.col("outer")).drop("outside"))
     for _ in range(MOST_ROUNDS):
         if now.where("up is not null").isEmpty():
             return now.drop("up")
@@ -137,7 +138,7 @@ def _enclosed(regions: DataFrame, found: DataFrame) -> DataFrame:
         above = now.select("image_id", F.col("region").alias("up"), F.col("up").alias("next"))
         summed = now.join(below, ["image_id", "region"], "left").join(above, ["image_id", "up"], "left")
         more = lambda c: (F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c)
-        now = saved(summed.select("image_id", "region", "on", more("n"), more("total"), "y", "x", "open", "outer", F.col("next").alias("up")), "nesting")
+        now = rounds.saved(summed.select("image_id", "region", "on", more("n"), more("total"), "y", "x", "open", "outer", F.col("next").alias("up")))
     raise RuntimeError(f"regions are nested deeper than {MOST_ROUNDS} rounds reach")
 
 

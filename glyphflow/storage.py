@@ -30,7 +30,17 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Remove a folder that nothing reads any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+class Rounds:
+    """The tables of an iteration: each is written before the one it was made from is removed, so the folder holds two at most."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.what, self.held = spark, what, None
+
+    def saved(self, df: DataFrame) -> DataFrame:
+        path = new_folder(self.spark, self.what)
+        df.write.parquet(path)
+        if self.held:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(self.held)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.held = path
+        return self.spark.read.schema(df.schema).parquet(path)
