@@ -1,43 +1,5 @@
-"""Connected components of a link table by alternating star contraction (Kiveris et al. 2014)."""
+"""Connected components of a link table: the library's own, under the name that the training-data operators use."""
 
-from __future__ import annotations
+from ..operators.components import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import saved
-
-
-#: Far beyond what the largest graph takes: rounds grow with the logarithm of a component's size.
-MOST_ROUNDS = 100
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Hang every larger neighbour of a node on the node's smallest neighbour (itself included)."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Hang a node and its smaller neighbours on the smallest of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    hung = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return hung.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b); the root is the component's smallest node.
-
-    Each round is two aggregations and two joins over the links, written to the shared folder; the number of rounds
-    grows with the logarithm of the component size. Nodes are summarised by their minimum, never gathered.
-    """
-    now, mark = saved(edges.where("a <> b").select("a", "b"), "edges"), None
-    for _ in range(MOST_ROUNDS):
-        now = saved(_small_star(_large_star(now)), "edges")
-        state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if mark == tuple(state):
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = tuple(state)
-    raise RuntimeError(f"the components haven't settled after {MOST_ROUNDS} rounds")
+__all__ = ["connected_components"]
