@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..storage import new_folder
+
 
 def frame_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
     """A file stream whose pace is bounded by ``files_per_trigger``."""
@@ -35,12 +35,5 @@ def run_available(frames: DataFrame, path: str, checkpoint: str, mode: str = "ap
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder for a stream's output and checkpoint: below the cluster's shared folder, or a temporary one without it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        return "file://" + tempfile.mkdtemp(prefix="glyphflow-stream-")
-    import uuid
-
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder for a stream's output and checkpoint, below the folder that driver and executors share."""
+    return new_folder(spark, "stream")
