@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators import results
 from ..storage import new_folder
 
 
@@ -24,9 +25,15 @@ def windowed_counts(frames: DataFrame, late: str = "1 hour", width: str = "1 hou
 
 
 def numbered(frames: DataFrame) -> DataFrame:
-    """``frame_num`` of every frame (stream_id, ts, event_id) in its stream, from 0, by time and then by id; for tables."""
-    order = Window.partitionBy("stream_id").orderBy("ts", "event_id")
-    return frames.withColumn("frame_num", F.row_number().over(order).cast("long") - 1)
+    """``frame_num`` of every frame (stream_id, ts, event_id) in its stream, from 0, by time and then by id, nulls first; for tables.
+
+    Frames are numbered over all streams and a stream's first number is taken off, so a stream of any length is dealt out; a null
+    stream is one stream, repeated frames are numbered each.
+    """
+    placed = results.numbered(frames, "stream_id", "ts", "event_id")
+    first = placed.groupBy(F.col("stream_id").alias("_of")).agg(F.min("_n").alias("_first"))
+    joined = placed.join(first, placed["stream_id"].eqNullSafe(first["_of"]))
+    return joined.withColumn("frame_num", F.col("_n") - F.col("_first")).drop("_n", "_of", "_first")
 
 
 def run_available(frames: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -34,6 +34,17 @@ def test_numbers_go_on_after_a_restart(spark):
     assert sorted(((s, e, n) for s, _, e, n in got), key=str) == sorted([(1, 2, 0), (1, 9, 1), (1, 3, 2), (1, 1, 3), (1, 1, 4), (None, 4, 0), (None, 7, 1), (3, 8, 0), (4, 10, 0)], key=str)
 
 
+def test_numbers_of_a_table(spark):
+    rows = [(1, f"2024-01-01 00:00:{k % 60:02d}", k) for k in range(400)] + [(2, "2024-01-01 00:00:00", 5), (None, None, 1), (None, "2024-01-01 00:00:00", 0), (2, "2024-01-01 00:00:00", 5)]
+    got = frames.numbered(table(spark, rows).repartition(3)).collect()
+    for stream in (1, 2, None):
+        own = sorted((r for r in got if r["stream_id"] == stream), key=lambda r: r["frame_num"])
+        assert [r["frame_num"] for r in own] == [*range(len(own))]
+        order = [(r["ts"] is not None, str(r["ts"]), r["event_id"]) for r in own]
+        assert order == sorted(order)
+    assert len(got) == len(rows) and frames.numbered(table(spark, [])).count() == 0
+
+
 def test_cut_batches():
     assert stateful.cut_batches(np.array([1, 2, 3, 4, 5, 50, 51, 99]), 2, 10) == [(0, 2, True), (2, 4, True), (4, 5, True), (5, 7, True), (7, 8, False)]
     assert stateful.cut_batches(np.array([], int), 2, 10) == []
