@@ -352,7 +352,7 @@ def training_page(draw: random.Random) -> tuple[str, list[bool]]:
             out.append(title() + byline())
         if draw.random() < 0.1:
             out.append(f"<div{draw.choice(['', named('toc', 'contents')])}><ul>" + "".join(block("li", f'<a href="#{word()}">{word()}</a>', False) for _ in range(draw.randint(2, 6))) + "</ul></div>")
-        text = []
+        text, before = [], len(main)
         for _ in range(draw.choice([1, 1, 2, 3, 5, 8, 14])):
             kind = draw.random()
             if kind < 0.72:
@@ -370,6 +370,7 @@ def training_page(draw: random.Random) -> tuple[str, list[bool]]:
             elif not plain:
                 text.append(small("div", named("related", "share", "newsletter", "signup", "social")))
         if draw.random() < 0.1:  # lines of a part without paragraphs
+            del main[before:]
             text = [block("div", draw.choice([prose(), prose(), sentence(1, 5)]), True) for _ in range(draw.randint(2, 6))]
         inner = "".join(text)
         for _ in range(draw.choice([0, 0, 1, 1, 2])):
