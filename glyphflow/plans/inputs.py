@@ -28,12 +28,25 @@ def doc_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _word_steps(table(spark, sf_dir, "documents"), "doc_id")
 
 
-def _word_steps(rows: DataFrame, *key: str) -> DataFrame:
-    words = rows.select(*key, F.posexplode(F.split("text", " ")).alias("word_no", "word")).where("word <> ''")
+def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of every document, without steps: doc_id, word_no, word."""
+    return _words(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def _words(rows: DataFrame, *key: str) -> DataFrame:
+    return rows.select(*key, F.posexplode(F.split("text", " ")).alias("word_no", "word")).where("word <> ''")
+
+
+def with_steps(words: DataFrame) -> DataFrame:
+    """``words`` with the steps of each row's word: ids and probs."""
     codes = words.withColumn("codes", F.transform(F.split("word", ""), F.ascii))
     ids = F.transform("codes", lambda c: (c % 40).cast("int"))
     probs = F.transform("codes", lambda c, i: ((c * 31 + i * 17) % 100 + 1) / F.lit(101.0))
-    return codes.select(*key, "word_no", "word", ids.alias("ids"), probs.alias("probs"))
+    return codes.select(*words.columns, ids.alias("ids"), probs.alias("probs"))
+
+
+def _word_steps(rows: DataFrame, *key: str) -> DataFrame:
+    return with_steps(_words(rows, *key))
 
 
 STEPS_SQL = """

@@ -59,3 +59,10 @@ def test_decoders_read_every_word_of_documents(spark, db):
     words = db.sql("select count(*) from (select unnest(string_split(text, ' ')) as w from documents) where w <> ''").fetchall()[0][0]
     for name in ("q_ctc_decode_docs", "q_attention_decode_docs", "q_decode_alnum_lower_docs", "q_token_pad16_docs"):
         assert catalogue.queries()[name](spark, SF).count() == words
+
+
+@pytest.mark.parametrize("name", ["q_ctc_decode_docs", "q_attention_decode_docs", "q_upsidedown_select_docs"])
+def test_only_different_words_get_steps(spark, name):
+    """Every occurrence of a word is shuffled once, as a string; neither sorted nor aggregated with its arrays."""
+    plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "first(" not in plan
