@@ -1,7 +1,7 @@
 """Frames of many streams with keyed state: running numbers, batches by count or gap, results that arrive later, and a replay-safe sink.
 
-A frame has stream_id, ts (timestamp) and event_id. State is kept by stream_id, so a stream's frames meet in one task, with those
-of a trigger at a time; its pace is bounded by the source.
+A frame has stream_id, ts (timestamp) and event_id. State is kept by bucket of streams, so that a call into Python goes through many
+streams at once; a stream's frames meet in one task, with those of a trigger at a time; its pace is bounded by the source.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 NUMBERED = "stream_id long, ts timestamp, event_id long, frame_num long"
+#: Buckets that streams are dealt out over; a checkpoint holds for the number that it was begun with.
+BUCKETS = 1_024
 BATCHES = "stream_id long, batch long, n_frames int, begins timestamp, ends timestamp, frames array<long>"
 
 
@@ -23,6 +25,21 @@ def _timed(frames: DataFrame) -> DataFrame:
     return frames.select(F.col("stream_id").cast("long"), F.col("ts").cast("timestamp"), F.col("event_id").cast("long")).where("ts is not null and event_id is not null")
 
 
+def _dealt(timed: DataFrame) -> DataFrame:
+    """Frames with their bucket; a null stream is told by ``known``, as pandas would make its ids floats."""
+    known = F.col("stream_id").isNotNull().alias("known")
+    return timed.select(F.pmod(F.xxhash64("stream_id"), F.lit(BUCKETS)).alias("bucket"), known, F.coalesce("stream_id", F.lit(0)).alias("of"), "ts", "event_id")
+
+
+def _edges(known: np.ndarray, of: np.ndarray) -> list[int]:
+    """Where the streams of sorted frames begin, and the end."""
+    return [*np.flatnonzero(np.append(True, (known[1:] != known[:-1]) | (of[1:] != of[:-1]))[: len(of)]).tolist(), len(of)]
+
+
+def _ids(streams: list[tuple[bool, int]]) -> pd.api.extensions.ExtensionArray:
+    return pd.array([of if known else None for known, of in streams], "Int64")
+
+
 def numbered_stream(frames: DataFrame) -> DataFrame:
     """``frame_num`` of every frame in its stream, counted on from 0 over triggers and restarts, by time and id within a trigger.
 
@@ -31,12 +48,21 @@ def numbered_stream(frames: DataFrame) -> DataFrame:
     """
 
     def number(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(parts).sort_values(["ts", "event_id"], kind="stable")
-        first = state.get[0] if state.exists else 0
-        state.update((first + len(rows),))
-        yield pd.DataFrame({"stream_id": pd.array([key[0]] * len(rows), "Int64"), "ts": rows["ts"].to_numpy(), "event_id": rows["event_id"].to_numpy(), "frame_num": np.arange(first, first + len(rows))})
-
-    return _timed(frames).groupBy("stream_id").applyInPandasWithState(number, NUMBERED, "next long", "append", GroupStateTimeout.NoTimeout)
+        rows = pd.concat(parts).sort_values(["known", "of", "ts", "event_id"], kind="stable")
+        known, of = rows["known"].to_numpy(bool), rows["of"].to_numpy(np.int64)
+        held = state.get if state.exists else ([], [], [])
+        following = {(k, x): n for k, x, n in zip(*held, strict=True)}
+        numbers, edges = np.arange(len(rows)), _edges(known, of)
+        for a, b in zip(edges, edges[1:], strict=False):
+            stream = bool(known[a]), int(of[a])
+            first = following.get(stream, 0)
+            numbers[a:b] += first - a
+            following[stream] = first + b - a
+        state.update(([k for k, _ in following], [x for _, x in following], list(following.values())))
+        yield pd.DataFrame({"stream_id": pd.arrays.IntegerArray(of.copy(), ~known), "ts": rows["ts"].to_numpy(), "event_id": rows["event_id"].to_numpy(), "frame_num": numbers})
+
+    kept = "known array<boolean>, streams array<long>, next array<long>"
+    return _dealt(_timed(frames)).groupBy("bucket").applyInPandasWithState(number, NUMBERED, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def cut_batches(times: np.ndarray, size: int, gap: int) -> list[tuple[int, int, bool]]:
@@ -56,29 +82,47 @@ def batched_stream(frames: DataFrame, size: int, gap_seconds: int, late: str = "
     gap = gap_seconds * 1_000_000_000
 
     def cut(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        following, times, ids = state.get if state.exists else (0, [], [])
-        times, ids = np.array(times, np.int64), np.array(ids, np.int64)
+        held = state.get if state.exists else ([], [], [], [], [], [])
+        following = {(k, x): n for k, x, n in zip(*held[:3], strict=True)}
+        streams, waiting = list(following), held[3]
+        whose = np.repeat(np.arange(len(streams)), waiting)
+        known, of = (np.array([x[i] for x in streams], t)[whose] for i, t in ((0, bool), (1, np.int64)))
+        times, ids = np.array(held[4], np.int64), np.array(held[5], np.int64)
         if not state.hasTimedOut:
             rows = pd.concat(parts).sort_values(["ts", "event_id"], kind="stable")
+            known, of = np.concatenate([known, rows["known"].to_numpy(bool)]), np.concatenate([of, rows["of"].to_numpy(np.int64)])
             times, ids = np.concatenate([times, rows["ts"].to_numpy("datetime64[ns]").astype(np.int64)]), np.concatenate([ids, rows["event_id"].to_numpy(np.int64)])
-        cuts = cut_batches(times, size, gap)
-        due = (int(times[-1]) + gap) // 1_000_000 + 1 if len(times) else 0
-        late_already = state.hasTimedOut or due <= state.getCurrentWatermarkMs()
-        done = [c for c in cuts if c[2] or late_already]
-        rest = cuts[len(done)][0] if len(done) < len(cuts) else len(times)
-        state.update((following + len(done), times[rest:].tolist(), ids[rest:].tolist()))
-        if rest < len(times):
-            state.setTimeoutTimestamp(due)
-        if done:
+        order = np.lexsort((of, known))  # stable: a stream's waiting frames stay before its new ones
+        known, of, times, ids = known[order], of[order], times[order], ids[order]
+        now, next_due, made, left = state.getCurrentWatermarkMs(), [], [], {}
+        edges = _edges(known, of)
+        for start, end in zip(edges, edges[1:], strict=False):
+            stream, own = (bool(known[start]), int(of[start])), times[start:end]
+            due = (int(own[-1]) + gap) // 1_000_000 + 1
+            cuts = cut_batches(own, size, gap)
+            done = [c for c in cuts if c[2] or due <= now]
+            rest = start + cuts[len(done)][0] if len(done) < len(cuts) else end
+            first = following.get(stream, 0)
+            made.extend((stream, first + k, start + a, start + b) for k, (a, b, _) in enumerate(done))
+            following[stream] = first + len(done)
+            if rest < end:
+                left[stream] = (rest, end)
+                next_due.append(due)
+        rests = [left.get(x, (0, 0)) for x in following]
+        flat = lambda values: [x for a, b in rests for x in values[a:b].tolist()]
+        state.update(([k for k, _ in following], [x for _, x in following], list(following.values()), [b - a for a, b in rests], flat(times), flat(ids)))
+        if next_due:
+            state.setTimeoutTimestamp(min(next_due))
+        if made:
             yield pd.DataFrame(
                 {
-                    "stream_id": pd.array([key[0]] * len(done), "Int64"), "batch": [following + k for k in range(len(done))], "n_frames": [b - a for a, b, _ in done],
-                    "begins": pd.to_datetime([times[a] for a, _, _ in done]), "ends": pd.to_datetime([times[b - 1] for _, b, _ in done]), "frames": [ids[a:b].tolist() for a, b, _ in done],
+                    "stream_id": _ids([x for x, *_ in made]), "batch": [k for _, k, _, _ in made], "n_frames": [b - a for *_, a, b in made],
+                    "begins": pd.to_datetime([times[a] for *_, a, _ in made]), "ends": pd.to_datetime([times[b - 1] for *_, b in made]), "frames": [ids[a:b].tolist() for *_, a, b in made],
                 }
             )
 
-    kept = "next long, times array<long>, ids array<long>"
-    return _timed(frames).withWatermark("ts", late).groupBy("stream_id").applyInPandasWithState(cut, BATCHES, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    kept = "known array<boolean>, streams array<long>, next array<long>, waiting array<int>, times array<long>, ids array<long>"
+    return _dealt(_timed(frames).withWatermark("ts", late)).groupBy("bucket").applyInPandasWithState(cut, BATCHES, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def with_results(frames: DataFrame, results: DataFrame, within: str, late: str = "0 seconds") -> DataFrame:

@@ -96,3 +96,33 @@ def test_a_changed_setting_takes_effect_with_the_next_batch(spark):
     assert shown(PARTS[1]) == [(1, "b"), (1, "b"), (7, "a"), (8, "a")]
     now[0] = [(3, "c")]
     assert shown(PARTS[1]) == [(1, "a"), (1, "a"), (7, "a"), (8, "c")]
+
+
+def test_state_is_kept_by_bucket_and_not_by_stream(spark):
+    folder = new_folder(spark, "stream-test")
+    spark.range(3_000).select((F.col("id") % 2_000).alias("stream_id"), F.timestamp_seconds(F.col("id") + 10**9).alias("ts"), F.col("id").alias("event_id")).coalesce(1).write.parquet(f"{folder}/in")
+    schema = table(spark, []).schema
+    for make, n in ((stateful.numbered_stream, 3_000), (lambda f: stateful.batched_stream(f, 2, 10**6), 1_000)):
+        query = make(spark.readStream.schema(schema).parquet(f"{folder}/in")).writeStream.format("parquet").option("path", f"{folder}/out{n}").option("checkpointLocation", f"{folder}/state{n}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= stateful.BUCKETS
+        assert spark.read.parquet(f"{folder}/out{n}").count() == n
+
+
+def test_buckets_change_no_result(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    at = np.sort(draw.integers(0, 3_000, 200))
+    rows = [(None if s == 9 else int(s) * 2**53 + 1, f"2024-01-01 00:{t // 60:02d}:{t % 60:02d}", k) for k, (s, t) in enumerate(zip(draw.integers(0, 10, 200), at, strict=True))]
+    parts = [rows[:70], rows[70:71], rows[71:150], rows[150:]]
+    got = []
+    for n in (1, 1_024):
+        monkeypatch.setattr(stateful, "BUCKETS", n)
+        numbers = streamed(spark, parts, stateful.numbered_stream, stateful.NUMBERED)
+        batches = streamed(spark, parts, lambda f: stateful.batched_stream(f, 3, 200), stateful.BATCHES)
+        got.append((sorted(numbers, key=str), sorted(batches, key=str)))
+    assert got[0] == got[1] and len(got[0][0]) == 200
+    seen = {s: [e for x, _, e in rows if x == s] for s in {x for x, _, _ in rows}}
+    for s, ids in seen.items():
+        assert [e for _, e in sorted((n, e) for x, _, e, n in got[0][0] if x == s)] == ids
+        made = [e for b in sorted((b for b in got[0][1] if b[0] == s), key=lambda b: b[1]) for e in b[5]]
+        assert made == ids[: len(made)] and len(ids) - len(made) < 3
