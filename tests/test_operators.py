@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glyphflow.config import OcrConfig
 from glyphflow.functions import decode, pixels, tiling
 from glyphflow.functions import geometry as g
+from glyphflow.functions.text import token_words
 from glyphflow.functions import text as t
 from glyphflow.operators import bpe, contours, results
 from glyphflow.operators.contours import find_contours
@@ -358,3 +359,15 @@ def _inside(c, x, y):
         if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
             odd = not odd
     return odd
+
+
+def test_bpe_encodes_rows_where_they_are(spark):
+    texts = [None, "", "the hat"] + [f"word{i % 7} the a{i}" for i in range(2_500)]
+    merges = [("t", "h"), ("th", "e</w>"), ("o", "r")]
+    rows = spark.createDataFrame([(None if i == 1 else i // 2, t) for i, t in enumerate(texts)], "id long, text string").coalesce(1)
+    made = bpe.encode(rows, ["id"], "text", merges)
+    ranks, ids = {m: k for k, m in enumerate(merges)}, bpe.vocabulary(merges)
+    words = spark.createDataFrame([(t,) for t in texts], "text string").select(token_words(bpe.clean(F.col("text")))).coalesce(1).collect()
+    want = [[ids[x] for w in r[0] for x in bpe.merge_word(w, ranks)] for r in words]
+    assert [(r["id"], r["ids"]) for r in made.collect()] == [(None if i == 1 else i // 2, x) for i, x in enumerate(want)]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
