@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import let_go, saved, stretches
 from .components import connected_components
 from .simhash import fingerprint, near_links, shingle_hashes
 
@@ -69,7 +69,8 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 def _sketches(shingle: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        let_go()
+        for b in (part for whole in batches for part in stretches(whole)):
             fps, bands, low = [], [], []
             for t in b.column("text"):
                 h = shingle_hashes(t.as_py(), shingle)
@@ -311,7 +312,7 @@ def near_copy_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8,
     pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in stretches(whole)):
             found = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped_texts
+from .common import let_go, mapped_texts
 
 #: Labelled rows to learn from, at most (those of least hash), and preference pairs drawn from them.
 SAMPLE_ROWS, PAIRS = 20_000, 200_000
@@ -148,6 +148,7 @@ def scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
     at = float(np.log(ACCEPT / (1 - ACCEPT)))
 
     def make(texts: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
+        let_go()
         f = np.array([features(t.as_py()) for t in texts], float).reshape(-1, WIDTH)
         s = np.clip((f - centre) / scale, -6, 6) @ w - model.threshold
         p = 1 / (1 + np.exp(-np.clip(model.slope * s + at, -700, 700)))

@@ -486,6 +486,32 @@ def test_token_counts_odd_rows(spark):
     assert [r["n_tokens"] for r in spans] == [3, 3, 0, 2]
 
 
+def test_workers_hand_back_stretches_and_keep_no_other_state():
+    import pyarrow as pa
+
+    from glyphflow.llm import common
+
+    common.worker_state("savings", ("of another operator",), dict)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2_500), pa.int64()), pa.array([f"one two three four five {i}" for i in range(2_500)])], ["node", "text"])
+    got = list(near_copies._sketches(5)(iter([batch])))
+    assert not common._kept
+    assert [b.num_rows for b in got] == [1_000, 1_000, 500] and pa.Table.from_batches(got).column("node").to_pylist() == list(range(2_500))
+
+
+def test_a_kept_text_is_sent_once(spark):
+    import pyarrow as pa
+
+    from glyphflow.llm.common import mapped_texts
+
+    rows = docs(spark, [(k, None if k % 7 == 0 else "ab" * (k % 5), "x") for k in range(2_300)]).coalesce(1)
+    sizes = lambda texts: iter([(len(texts), [pa.array([len(t.as_py() or "") for t in texts], pa.int64())])])
+    made = mapped_texts(rows, ("doc_id", "text"), sizes, "n long")
+    got = sorted(tuple(r) for r in made.select("doc_id", F.coalesce("text", F.lit("-")), "n").collect())
+    assert got == [(k, "-" if k % 7 == 0 else "ab" * (k % 5), 0 if k % 7 == 0 else k % 5 * 2) for k in range(2_300)]
+    sent = next(line for line in made._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Project" in line and "AS row" in line)
+    assert sent.count("text#") == 1
+
+
 def test_pipeline_run_matches_brute_force(spark, monkeypatch):
     import duckdb
 
