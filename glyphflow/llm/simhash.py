@@ -117,6 +117,19 @@ def _bucket_links(radius: int):
     return scan
 
 
+def _dealt(rows: DataFrame, radius: int, level: int) -> DataFrame:
+    """fp, fixed, bucket and masked bits of every row in every table of the level's family.
+
+    Rows are short and few bytes, so Spark reads many in one task; as each becomes 31 (radius 4), they are dealt out first.
+    """
+    tables = F.array(*(F.struct(F.lit(i).cast("long").alias("t"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(covering_masks(radius, level))))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # by another hash than that of distinct values, else Spark leaves the step out
+    return rows.repartition(parts, F.xxhash64("fp")).withColumn("table", F.explode(tables)).select(
+        "fp", (F.col("fixed").bitwiseOR(F.col("table.mask"))).alias("fixed"), (F.xxhash64("bucket", F.lit(level), "table.t")).alias("bucket")
+    ).withColumn("masked", F.col("fp").bitwiseAND(F.col("fixed")))
+
+
 def near_links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) that connect exactly what lies within ``radius`` bits among the different values ``fp``.
 
@@ -129,11 +142,7 @@ def near_links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataF
     rows = nodes.select("fp", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("fixed"))
     found = None
     for level in range(4):
-        masks = covering_masks(radius, level)
-        tables = F.array(*(F.struct(F.lit(i).cast("long").alias("t"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks)))
-        dealt = rows.withColumn("table", F.explode(tables)).select(
-            "fp", (F.col("fixed").bitwiseOR(F.col("table.mask"))).alias("fixed"), (F.xxhash64("bucket", F.lit(level), "table.t")).alias("bucket")
-        ).withColumn("masked", F.col("fp").bitwiseAND(F.col("fixed")))
+        dealt = _dealt(rows, radius, level)
         sizes = dealt.groupBy("bucket", "masked").agg(F.count("*").alias("n")).where("n > 1")
         live = dealt.join(sizes, ["bucket", "masked"])
         last = level == 3

@@ -498,6 +498,37 @@ def test_workers_hand_back_stretches_and_keep_no_other_state():
     assert [b.num_rows for b in got] == [1_000, 1_000, 500] and pa.Table.from_batches(got).column("node").to_pylist() == list(range(2_500))
 
 
+def test_a_worker_gives_the_memory_of_a_state_back(monkeypatch):
+    import gc
+    import weakref
+
+    from glyphflow.llm import common
+
+    class State:
+        def __init__(self):
+            self.itself = self
+
+    asked = []
+    monkeypatch.setattr(common, "pa", type("Arrow", (), {"default_memory_pool": lambda: type("Pool", (), {"release_unused": lambda: asked.append(1)})}))
+    gc.disable()
+    try:
+        for leave in (lambda: common.worker_state("other", (), dict), common.let_go):
+            gone, before = weakref.ref(common.worker_state("state", (), State)), len(asked)
+            leave()
+            assert gone() is None and len(asked) > before
+    finally:
+        gc.enable()
+        common._kept.clear()
+
+
+def test_fingerprints_are_dealt_out_before_they_are_repeated_for_the_tables(spark):
+    distinct = spark.range(2_000).select(F.xxhash64("id").alias("fp")).distinct()
+    rows = distinct.select("fp", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("fixed"))
+    tasks = [r["count"] for r in simhash._dealt(rows, 4, 0).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 2_000 * 31
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(tasks) < 2 * sum(tasks) / len(tasks)
+
+
 def test_a_kept_text_is_sent_once(spark):
     import pyarrow as pa
 
