@@ -300,6 +300,20 @@ def _links_left(sketched: DataFrame, links: DataFrame, sets_of, similarity: floa
     return full.mapInArrow(_exact_links(similarity), "a long, b long").distinct()
 
 
+def shingle_sets(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node and its different shingle hashes, sorted, of every node of ``texts`` that ``nodes`` (node) names, once each.
+
+    A hash table of the nodes, a few bytes each, is met by the texts as they come, so that no text is sorted for those that are left out.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in stretches(whole)):
+            found = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return texts.join(nodes.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node long, shingles array<long>")
+
+
 def near_copy_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """Verified links (a, b) between nodes (different texts) at or above the similarity; ``texts`` has node and text (see ``prepared``)."""
     texts = texts.select("node", "text")
@@ -311,13 +325,8 @@ def near_copy_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8,
     pairs = _band_links(sketched, similarity).unionByName(same).unionByName(fewer.select(F.col("x").alias("a"), F.col("y").alias("b")))
     pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for whole in batches for part in stretches(whole)):
-            found = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
-
     def sets_of(nodes: DataFrame) -> DataFrame:
-        return texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node long, shingles array<long>")
+        return shingle_sets(texts, nodes, shingle)
 
     linked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     held = saved(sets_of(linked), "shingles")
@@ -339,4 +348,4 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     placed = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = placed.groupBy("root").agg(F.min(F.struct("first", "node")).alias("best")).select(F.col("best.node").alias("kept"), F.col("best.first.id").alias("kept_id"))
     mine = (rows["node"] == kept["kept"]) & rows["id"].eqNullSafe(kept["kept_id"])
-    return rows.join(kept, mine, "left_semi").dropDuplicates(["node", "id"]).select("row.*")
+    return rows.join(kept.hint("shuffle_hash"), mine, "left_semi").dropDuplicates(["node", "id"]).select("row.*")

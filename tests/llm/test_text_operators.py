@@ -229,6 +229,19 @@ def test_unlike_texts_under_one_header_do_not_all_meet(spark, monkeypatch):
     assert rows_of.get("apart", 0) < 600  # of the 600 * 600 / 2 pairs that share a bucket somewhere
 
 
+def test_texts_are_not_sorted_for_the_few_that_are_compared(spark):
+    words = "a b c d e f g".split()
+    texts = spark.createDataFrame([(1, " ".join(words)), (1, " ".join(words)), (2, "x y"), (3, ""), (4, "left out")], "node long, text string")
+    nodes = spark.createDataFrame([(1,), (2,), (3,), (9,)], "node long")
+    got = near_copies.shingle_sets(texts, nodes, 5)
+    want = {1: simhash.shingle_hashes(" ".join(words), 5), 2: simhash.shingle_hashes("x y", 5), 3: simhash.shingle_hashes("", 5)}
+    assert sorted((r["node"], r["shingles"]) for r in got.collect()) == [(k, np.unique(h).view(np.int64).tolist()) for k, h in want.items()]
+    kept = near_copies.one_of_each(docs(spark, ODD))
+    for frame in (got, kept):
+        plan = frame._jdf.queryExecution().sparkPlan().toString()
+        assert "ShuffledHashJoin" in plan and not re.search("(SortMergeJoin|BroadcastHashJoin).*LeftSemi", plan)
+
+
 def test_near_copies_of_nothing(spark):
     assert near_copies.one_of_each(docs(spark, [])).count() == 0
     assert near_copies.one_of_each(docs(spark, [(1, None, "a"), (2, "", "b"), (3, " ", "c")])).count() == 1
