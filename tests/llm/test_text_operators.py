@@ -362,6 +362,33 @@ def test_overlaps_match_all_diagonals(spark, monkeypatch, seeds):
     assert decontaminate.overlaps(frame, bench_frame.limit(0)).count() == decontaminate.overlaps(frame.limit(0), bench_frame).count() == 0
 
 
+def _joins(made) -> list[str]:
+    """Join and first key of every join in the plan that Spark begins with."""
+    return re.findall(r"(\w+Join) \[?(\w+)", made._jdf.queryExecution().executedPlan().toString())
+
+
+def test_large_benchmark_isnt_broadcast(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    made, write = [], getattr(decontaminate, "saved", None)
+    monkeypatch.setattr(decontaminate, "saved", lambda df, *what: (made.append(df), write(df, *what))[1], raising=False)
+    # of files Spark knows the size, but not that of what is exploded from them
+    spark.createDataFrame([(k // 3, " ".join(f"w{k // 3}x{i}" for i in range(30))) for k in range(90)], "item_id long, text string").write.parquet(f"{tmp_path}/bench")
+    docs(spark, [(1, " ".join(f"w7x{i}" for i in range(30)), None)]).write.parquet(f"{tmp_path}/docs")
+    found = decontaminate.overlaps(spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/bench"))
+    joins = [x for df in (*made, found) for x in _joins(df)]
+    assert {key for join, key in joins if join.startswith("Broadcast")} <= {"block"} and len(joins) >= 3
+    assert [r["item_id"] for r in found.collect()] == [7]
+
+
+@pytest.mark.parametrize("seeds", [decontaminate.BROADCAST_SEEDS, 0])
+def test_items_of_the_same_words(spark, monkeypatch, seeds):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", seeds)
+    one, two = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
+    bench = spark.createDataFrame([(1, one), (2, one.upper()), (2, one), (2, two), (None, one)], "item_id long, text string")
+    found = decontaminate.overlaps(docs(spark, [(5, f"x {one} y {two}", None), (6, two, None), (6, two, None)]), bench).select("doc_id", "item_id", "doc_start", "n_equal")
+    assert sorted(found.collect(), key=str) == [(5, 1, 1, 20), (5, 2, 1, 20), (5, None, 1, 20), (6, 2, 0, 20)]
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(spark, rule):
     library, width = token_counts._encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
