@@ -144,7 +144,8 @@ def near_links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataF
     for level in range(4):
         dealt = _dealt(rows, radius, level)
         sizes = dealt.groupBy("bucket", "masked").agg(F.count("*").alias("n")).where("n > 1")
-        live = dealt.join(sizes, ["bucket", "masked"])
+        # Spark takes the size of what was exploded for that of the rows before, 31 times too low, and would broadcast the buckets
+        live = dealt.join(sizes.hint("merge"), ["bucket", "masked"])
         last = level == 3
         small = live if last else live.where(F.col("n") <= bucket)
         links = small.select("bucket", "masked", "fp").repartition(parts, "bucket", "masked").sortWithinPartitions("bucket", "masked", "fp").mapInArrow(_bucket_links(radius), "a long, b long")
@@ -163,12 +164,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     included; rows without a doc_id take part and get the component of their fingerprint, null where no row in it has
     a doc_id. Null, empty and blank texts share fingerprint 0. Repeated rows give repeated rows; an empty table gives
     none; other columns are ignored. Links are found among different fingerprints only and connected by repeated
-    joins, never on the driver.
+    joins, never on the driver. No table that grows with the documents is broadcast here.
     """
     marked = saved(fingerprints(docs, shingle), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
     roots = connected_components(near_links(nodes.select("fp"), radius))
-    member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    member = nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = member.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = member.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = member.join(least.hint("merge"), "root").select("fp", "component_id")
+    return marked.join(named.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -118,6 +118,22 @@ def test_near_links_connect_like_all_pairs(spark, bucket):
     assert groups((r["a"], r["b"]) for r in links) == groups(near)
 
 
+def _joins(made) -> list[str]:
+    """Join and first key of every join in the plan that Spark begins with."""
+    return re.findall(r"(\w+Join) \[?(\w+)", made._jdf.queryExecution().executedPlan().toString())
+
+
+def test_near_duplicates_broadcast_nothing(spark, monkeypatch, tmp_path):
+    made, write = [], simhash.saved
+    monkeypatch.setattr(simhash, "saved", lambda df, *what: (made.append(df), write(df, *what))[1])
+    docs(spark, [(k, f"some words {k // 2} of a text", None) for k in range(20)]).write.parquet(f"{tmp_path}/docs")
+    found = simhash.near_duplicates(spark.read.parquet(f"{tmp_path}/docs"))
+    joins = [x for df in (*made, found) for x in _joins(df)]
+    assert ("SortMergeJoin", "bucket") in joins and len(joins) >= 4
+    assert not [x for x in joins if x[0].startswith("Broadcast")]
+    assert {r["component_id"] for r in found.collect()} >= {0} and found.count() == 20
+
+
 def test_near_duplicates_odd_rows(spark):
     got = simhash.near_duplicates(docs(spark, [*ODD, (1, "A  B a\tb " * 3000, None), (8, " \n", None)])).collect()
     by = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in got}
@@ -362,11 +378,6 @@ def test_overlaps_match_all_diagonals(spark, monkeypatch, seeds):
     assert decontaminate.overlaps(frame, bench_frame.limit(0)).count() == decontaminate.overlaps(frame.limit(0), bench_frame).count() == 0
 
 
-def _joins(made) -> list[str]:
-    """Join and first key of every join in the plan that Spark begins with."""
-    return re.findall(r"(\w+Join) \[?(\w+)", made._jdf.queryExecution().executedPlan().toString())
-
-
 def test_large_benchmark_isnt_broadcast(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
     made, write = [], getattr(decontaminate, "saved", None)
