@@ -14,8 +14,8 @@ from glyphflow.llm.common import saved, table
 def _kept(docs: DataFrame, score: Callable[[DataFrame], DataFrame], wanted: int) -> DataFrame:
     """The rows that ``score`` predicts ``wanted`` for, with all their columns, whatever these are called."""
     is_text = lambda c: c.lower() == "text"
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if not is_text(c))).alias("row"), F.col("text"))
-    return score(rows).where(F.col("predicted") == wanted).select(*(F.col("text").alias(c) if is_text(c) else F.col("row").getField(c).alias(c) for c in docs.columns))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`").alias("text" if is_text(c) else c) for c in docs.columns)).alias("row"))
+    return score(rows).where(F.col("predicted") == wanted).select(*(F.col("row").getField("text" if is_text(c) else c).alias(c) for c in docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay. Without labels of both kinds every document stays. Equal texts have equal scores; repeated rows stay.
     """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, lambda rows: toxicity.scores(rows, model, ("row", "text")), 0)
+    return _kept(docs, lambda rows: toxicity.scores(rows, model, ("row",)), 0)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A null or empty text is scored as one without words. Without labels of both kinds every document stays; repeated rows stay.
     """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, lambda rows: quality.scores(rows, model, ("row", "text")), 1)
+    return _kept(docs, lambda rows: quality.scores(rows, model, ("row",)), 1)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
