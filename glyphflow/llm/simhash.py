@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     included; rows without a doc_id take part and get the component of their fingerprint, null where no row in it has
     a doc_id. Null, empty and blank texts share fingerprint 0. Repeated rows give repeated rows; an empty table gives
     none; other columns are ignored. Links are found among different fingerprints only and connected by repeated
-    joins, never on the driver. No table that grows with the documents is broadcast here.
+    joins, never on the driver. No table is broadcast but, in those joins, small ones of links.
     """
     marked = saved(fingerprints(docs, shingle), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
